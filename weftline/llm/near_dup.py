@@ -12,8 +12,9 @@
    a pair is looked at in the first band only that its two sketches share.
 4. Confirmed links are joined to components.
 
-Two sets of similarity 0.85 share no band with probability below 1e-6, and the
-estimate's bar lies six standard errors below the threshold. Every candidate
+Bands are as long as the threshold lets them be with a chance below 1e-6 that
+two sets just at it share none, and the estimate's bar lies six standard errors
+below the threshold. Every candidate
 pair is confirmed or refused on full sets; there is no cap on buckets.
 """
 
@@ -64,15 +65,15 @@ def signatures(docs: DataFrame, k: int = 3, short: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, registers binary")
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """(band, bucket, id): one row for each class and band."""
+def bands(classes: DataFrame, rows: int) -> DataFrame:
+    """(band, bucket, id): one row for each class and band of ``rows`` registers."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = setsketch.band_keys(_registers(batch.column(1)))
+                keys = setsketch.band_keys(_registers(batch.column(1)), rows)
                 flat = pa.array(keys.ravel(), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * setsketch.BANDS, pa.int32()), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "keys"])
 
     keyed = classes.select("id", "registers").mapInArrow(run, "id long, keys array<long>")
@@ -139,7 +140,7 @@ def _compare_block(group: pd.DataFrame, percent: int, k: int, short: bool) -> pd
     """A spanning set of the confirmed links between the two sides of a block (or inside it, if it has one side)."""
     left = group[group["side"] == 0]
     right = group[group["side"] == 1] if (group["side"] == 1).any() else left
-    regs = [np.frombuffer(b"".join(x["registers"]), dtype=np.uint16).reshape(len(x), setsketch.BANDS, setsketch.ROWS) for x in (left, right)]
+    regs = [np.frombuffer(b"".join(x["registers"]), dtype=np.uint16).reshape(len(x), -1, setsketch.band_rows(percent / 100)) for x in (left, right)]
     band = int(group["band"].iloc[0])
     comps, ids, sizes = ([x[c].to_numpy() for x in (left, right)] for c in ("component", "id", "n_shingles"))
     rows, cols = [], []
@@ -187,9 +188,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, short: bool
     k-word shingles; component_id is the smallest doc_id that links reach.
     With ``short``, a text of fewer than k words counts as one shingle.
 
-    A null or empty text has no shingles and stands alone. Rows that share a
-    doc_id count as one document. A row without doc_id keeps a null component
-    unless its set equals another row's. Other columns play no part. An empty
+    A null or empty text has no shingles and stands alone. Every row is judged by
+    its own text, also if another row has the same doc_id. A row without doc_id
+    has a null component unless its set equals that of a row with one. Other columns play no part. An empty
     table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, short: bool
     known = signed.where("n_shingles > 0")
     first = known.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = materialize(first, "classes")
-    banded = bands(classes.where("id is not null"))
+    banded = bands(classes.where("id is not null"), setsketch.band_rows(percent / 100))
     buckets = banded.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, ["band", "bucket"]), "members")
 

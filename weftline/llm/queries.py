@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import near_dup
+from . import decontaminate, nbsvm, near_dup, piece_lattice, secrets
+
+
+def op1_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    return secrets.scan(table(spark, base, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
+    return piece_lattice.digests(table(spark, base, "documents"))
 
 
 def op8_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
@@ -33,8 +41,20 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, n.doc_id = m
 FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = n.doc_id
 """
 
+def op9_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, base: str) -> DataFrame:
+    return nbsvm.quality(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 _SQL = {
     "op8_near_duplicates": OP8_SQL,

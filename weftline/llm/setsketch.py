@@ -16,7 +16,7 @@ REGISTERS = 120
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65535
-BANDS, ROWS = 24, 5
+MISS = 1e-6
 
 _LOG_BASE = np.log(BASE)
 _STEP = U(0x9E3779B97F4A7C15)
@@ -50,11 +50,20 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each row and band of register values."""
-    parts = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP, (len(registers), BANDS))
-    for j in range(ROWS):
+def band_rows(similarity: float) -> int:
+    """The most registers a band can have while two sets of this similarity share no band with probability under MISS."""
+    for rows in (8, 6, 5, 4, 3, 2):
+        if (1 - similarity**rows) ** (REGISTERS // rows) < MISS:
+            return rows
+    return 1
+
+
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each row and band of ``rows`` register values."""
+    bands = REGISTERS // rows
+    parts = registers.reshape(len(registers), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(registers), bands))
+    for j in range(rows):
         key = mix(key + parts[:, :, j] * U(0xD6E8FEB86659FD93) + U(j))
     return key.view(np.int64)
 
