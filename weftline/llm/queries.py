@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, nbsvm, near_dup, piece_lattice, secrets
+from . import decontaminate, media, nbsvm, near_dup, piece_lattice, secrets, toxicity, warc
 
 
 def op1_secret_scan(spark: SparkSession, base: str) -> DataFrame:
     return secrets.scan(table(spark, base, "documents"))
 
 
+def op4_warc(spark: SparkSession, base: str) -> DataFrame:
+    return warc.round_trip(table(spark, base, "pages"))
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to
+FROM f
+"""
+
+
+def op5_media(spark: SparkSession, base: str) -> DataFrame:
+    return media.digests(table(spark, base, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
     return piece_lattice.digests(table(spark, base, "documents"))
 
@@ -51,12 +74,16 @@ def op10_quality(spark: SparkSession, base: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_warc": op4_warc,
+    "op5_media": op5_media,
+    "op6_toxicity": op6_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 _SQL = {
+    "op4_warc": OP4_SQL,
     "op8_near_duplicates": OP8_SQL,
 }
 
