@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, media, nbsvm, near_dup, piece_lattice, secrets, toxicity, warc
+from . import decontaminate, langid, media, nbsvm, near_dup, pii, piece_lattice, secrets, toxicity, warc
 
 
 def op1_secret_scan(spark: SparkSession, base: str) -> DataFrame:
     return secrets.scan(table(spark, base, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, base: str) -> DataFrame:
+    return pii.replace(table(spark, base, "documents").select("doc_id", "text"), key="op2")
+
+
+def op3_language_id(spark: SparkSession, base: str) -> DataFrame:
+    return langid.identify(table(spark, base, "pages"), table(spark, base, "documents"))
+
+
 def op4_warc(spark: SparkSession, base: str) -> DataFrame:
     return warc.round_trip(table(spark, base, "pages"))
 
@@ -74,6 +82,8 @@ def op10_quality(spark: SparkSession, base: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,

@@ -29,7 +29,7 @@ PARTS = 1 + len(PREFIXES)
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 8
+EPOCHS, MOST_EPOCHS, VISITS = 8, 30, 60_000
 BATCH = 32
 
 #: Frequent function words by language.
@@ -161,7 +161,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Network:
     share = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
     squares = {"table": np.full(PARTS * BUCKETS, 1e-3, np.float32), "out": np.full_like(net.out, 1e-3), "offset": np.full_like(net.offset, 1e-3), "bias": 1e-3, "filters": [np.full_like(f, 1e-3) for f in net.filters]}
     fit = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
+    for epoch in range(int(np.clip(VISITS // max(len(fit), 1), EPOCHS, MOST_EPOCHS))):
         rate = 0.15 / (1 + epoch / 3)
         shuffled = np.random.default_rng(seed + 1 + epoch).permutation(fit)
         for at in range(0, len(shuffled), BATCH):
