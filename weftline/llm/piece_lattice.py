@@ -24,21 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, chunks, mix, text_bytes, word_hashes
+from .textkit import U, chunks, hash_sums, mix, span_hashes, text_bytes, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x20
 _STEP = U(0x9E3779B97F4A7C15)
+CHUNK_BYTES = 3 << 20
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 
 
 @dataclass
 class Vocabulary:
-    """hashes, ids, scores: of ordinary pieces, sorted by hash; maybe: low hash bits in use; byte_ids: of the 256 byte pieces."""
+    """hashes, ids, scores: of ordinary pieces, sorted by hash; slots: two hash tables of their places; byte_ids: of the 256 byte pieces."""
 
     hashes: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
-    maybe: np.ndarray
+    slots: tuple[np.ndarray, np.ndarray]
     lengths: np.ndarray
     byte_ids: np.ndarray
     byte_scores: np.ndarray
@@ -48,12 +51,11 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of pieces with these hashes, -1 where there is none."""
-        out = np.full(len(hashes), -1)
-        some = np.flatnonzero(self.maybe[hashes & U(len(self.maybe) - 1)])
-        at = np.searchsorted(self.hashes, hashes[some])
-        at[at == len(self.hashes)] = 0
-        out[some] = np.where(self.hashes[at] == hashes[some], at, -1)
-        return out
+        place = self.slots[0][hashes & U(SLOTS - 1)]
+        missed = np.flatnonzero(self.hashes[place] != hashes)
+        second = self.slots[1][hashes[missed] >> U(64 - SLOT_BITS)]
+        place[missed] = np.where(self.hashes[second] == hashes[missed], second, -1)
+        return place
 
 
 def vocabulary(pieces: list[tuple[bytes, float]], byte_pieces: dict[int, int], ids: list[int], size: int, alpha: float = 1.0) -> Vocabulary:
@@ -70,8 +72,14 @@ def vocabulary(pieces: list[tuple[bytes, float]], byte_pieces: dict[int, int], i
     ends = np.cumsum([len(p) for p in spelled])
     hashes = word_hashes(data, ends - [len(p) for p in spelled], ends, fold=False)
     order = np.argsort(hashes)
-    maybe = np.zeros(1 << 21, dtype=bool)
-    maybe[hashes & U(len(maybe) - 1)] = True
+    hashes = hashes[order]
+    slots = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    low, high = hashes & U(SLOTS - 1), hashes >> U(64 - SLOT_BITS)
+    slots[0][low] = np.arange(len(hashes))
+    rest = np.flatnonzero(slots[0][low] != np.arange(len(hashes)))  # those that another one displaced
+    slots[1][high[rest]] = rest
+    if (slots[1][high[rest]] != rest).any():
+        raise ValueError("two pieces share both hash slots")
     scores = np.array([s for _, s in pieces]) * alpha
     inner = np.zeros(256, dtype=bool)  # bytes that ordinary pieces contain
     inner[data] = True
@@ -83,7 +91,7 @@ def vocabulary(pieces: list[tuple[bytes, float]], byte_pieces: dict[int, int], i
     begin = np.concatenate([[0], np.cumsum([len(p) for p in by_id])])
     byte_ids = np.array([byte_pieces[b] for b in range(256)])
     floor = scores.min() if len(scores) else 0.0
-    return Vocabulary(hashes[order], np.array(ids)[order], scores[order], maybe, np.unique([len(p) for p in spelled]), byte_ids, np.full(256, floor), inner, begin, np.frombuffer(b"".join(by_id), dtype=np.uint8))
+    return Vocabulary(hashes, np.array(ids)[order], scores[order], slots, np.unique([len(p) for p in spelled]), byte_ids, np.full(256, floor), inner, begin, np.frombuffer(b"".join(by_id), dtype=np.uint8))
 
 
 def load(path: str, alpha: float = 1.0) -> Vocabulary:
@@ -122,8 +130,8 @@ def _stretches(data: np.ndarray, rows: np.ndarray, inner: np.ndarray) -> np.ndar
 def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabulary):
     """Filter the given stretches (each once).
 
-    Returns, for edges sorted by (stretch, end): their length, id, and place of their end plus the cumulative posterior
-    share among the edges of that end; and the number of places before each stretch's first.
+    Returns, for edges sorted by (stretch, end, falling length): their length, id, and cumulative posterior share among
+    the edges of that end; each place's first edge; and the number of places before each stretch's first.
     """
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
     owner = np.repeat(np.arange(len(starts)), sizes)
@@ -134,12 +142,12 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     wide = np.where(flat < 0x80, 1, np.where(flat < 0xE0, 2, np.where(flat < 0xF0, 3, 4)))
     lead = (flat < 0x80) | (flat >= 0xC0)
     lone = np.ones(len(flat), dtype=bool)
-    live = np.flatnonzero(lead)
+    live, sums = np.flatnonzero(lead), hash_sums(flat, fold=False)
     for n in v.lengths:
         live = live[left[live] >= n]
         if not len(live):
             break
-        place = v.find(word_hashes(flat, live, live + n, fold=False))
+        place = v.find(span_hashes(sums, live, live + n))
         hit = place >= 0
         where, place = live[hit], place[hit]
         at.append(where)
@@ -157,7 +165,7 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     scores.append(v.byte_scores[flat[spelled]])
     at, lengths, ids, scores = map(np.concatenate, (at, lengths, ids, scores))
     end = offset[at] + lengths
-    order = np.lexsort((lengths, owner[at], end))
+    order = np.lexsort((-lengths, owner[at], end))
     at, lengths, ids, scores, end = at[order], lengths[order], ids[order], scores[order], end[order]
     target = base[owner[at]] + end
     source = target - lengths
@@ -177,12 +185,12 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     target, share = target[final], share[final]
     last = np.append(target[1:] != target[:-1], True)
     share[last] = 1.0  # whatever rounding says
-    return lengths[final], ids[final], target + np.minimum(share, 1.0), base[:-1]
+    return lengths[final], ids[final], share, np.searchsorted(target, np.arange(base[-1])), base[:-1]
 
 
 def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
     """Yield (row, ids of all rows of a chunk in order, where each row's begin)."""
-    for row, data, offsets in chunks(column):
+    for row, data, offsets in chunks(column, CHUNK_BYTES):
         filled = np.flatnonzero(np.diff(offsets) > 0)
         data = np.insert(data, offsets[:-1][filled], _SPACE)
         rows = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
@@ -193,7 +201,7 @@ def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
         sizes = np.diff(np.append(starts, len(data)))
         first = np.searchsorted(starts, rows)
         _, sample, kind = np.unique(word_hashes(data, starts, starts + sizes, fold=False), return_index=True, return_inverse=True)
-        lengths, ids, rank, base = _lattice(data, starts[sample], sizes[sample], v)
+        lengths, ids, share, begin, base = _lattice(data, starts[sample], sizes[sample], v)
         own = np.repeat(np.arange(len(first) - 1), np.diff(first))
         nth = np.arange(len(starts)) - first[own]
         salt = mix(mix(keys[row + own] + U(seed) * _STEP) + nth.astype(np.uint64) * U(0xD6E8FEB86659FD93))
@@ -201,7 +209,11 @@ def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
         drawn, count = [], np.zeros(len(starts), dtype=np.int64)
         while len(live):
             random = (mix(salt[live] + (place - base[kind[live]]).astype(np.uint64) * _STEP) >> U(11)).astype(np.float64) / 2.0**53
-            edge = np.searchsorted(rank, place + random, side="right")
+            edge = begin[place]
+            on = np.flatnonzero(share[edge] <= random)
+            while len(on):
+                edge[on] += 1
+                on = on[share[edge[on]] <= random[on]]
             drawn.append((live, ids[edge]))
             count[live] += 1
             place = place - lengths[edge]

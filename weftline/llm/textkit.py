@@ -82,16 +82,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def hash_sums(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Prefix sums from which the hash of any span follows."""
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum((_letters if fold else _exact_letters)[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+    return mix(found + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, of its A-Z-folded form if ``fold``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((_letters if fold else _exact_letters)[data] * up[: len(data)], out=sums[1:])
-    found = (sums[ends] - sums[starts]) * down[starts]
-    return mix(found + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return span_hashes(hash_sums(data, fold), starts, ends)
 
 
 _PLACE = np.random.default_rng(7).integers(1, 2**64 - 1, 64, dtype=np.uint64) | U(1)
