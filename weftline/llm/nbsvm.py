@@ -58,6 +58,7 @@ def features(data: np.ndarray, offsets: np.ndarray):
     case = np.where(upper == 0, 0, np.where(upper == size, 1, np.where((upper == 1) & (_upper[data[starts]] > 0), 2, 3))) if len(starts) else size
     glued = np.zeros(len(starts), dtype=np.int64)
     glued[1:] = starts[1:] == ends[:-1]
+    glued[first[:-1][first[:-1] < len(starts)]] = 0  # what stands before is another row
     shape = mix(((np.minimum(size, 12) * 4 + case) * 4 + kind).astype(np.uint64) * U(2) + glued.astype(np.uint64))
     two = mix(words[:-1] * U(3) + words[1:])
     shape2 = mix(shape[:-1] * U(5) + shape[1:])

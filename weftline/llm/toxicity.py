@@ -75,6 +75,14 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (mix(words + U(11)) & U(BUCKETS - 1)).astype(np.int64) + BUCKETS * np.arange(PARTS)
 
 
+def _times(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A product whose rows do not depend, even in rounding, on what other rows there are."""
+    out = vectors[:, :1] * matrix[0]
+    for d in range(1, len(matrix)):
+        out += vectors[:, d : d + 1] * matrix[d]
+    return out
+
+
 @dataclass
 class Network:
     table: np.ndarray = field(default_factory=lambda: np.random.default_rng(8).normal(0, 0.1, (PARTS * BUCKETS, DIM)).astype(np.float32))
@@ -94,9 +102,9 @@ class Network:
             n = len(words) - width + 1
             if n <= 0:
                 continue
-            response = (vectors @ f[0])[at[:n]]
+            response = _times(vectors, f[0])[at[:n]]
             for j in range(1, width):
-                response += (vectors @ f[j])[at[j : n + j]]
+                response += _times(vectors, f[j])[at[j : n + j]]
             some = np.flatnonzero(np.diff(first) >= width)
             if len(some):
                 # segments [first, last start], and what lies between them
@@ -106,7 +114,7 @@ class Network:
         return out
 
     def logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return (self.pooled(words, first) @ self.out).astype(np.float64) + self.bias
+        return (self.pooled(words, first) * self.out).sum(axis=1, dtype=np.float64) + self.bias
 
 
 def _gradient(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray):
