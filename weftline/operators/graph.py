@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through the checkpoint folder; a folder of its own only where the session names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -50,7 +50,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         nodes = frontier.join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
         if found is not None:
             nodes = nodes.join(found.select("root", "node"), ["root", "node"], "left_anti")
-        nodes = _settle(nodes.withColumn("depth", F.lit(d)))
+        nodes = settle(nodes.withColumn("depth", F.lit(d)))
         found = nodes if found is None else found.unionByName(nodes)
         frontier = nodes.select("root", F.col("node").alias("src"))
     return found
@@ -63,12 +63,12 @@ def closest_reaching(edges: DataFrame, starts: DataFrame, stops: DataFrame, hops
     """
     edges = edges.select("src", "dst").where("dst is not null and src is not null").distinct()
     stops = stops.toDF("node").distinct()
-    found = _settle(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")))
+    found = settle(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")))
     frontier = found
     for d in range(1, hops + 1):
         going = frontier.join(stops, "node", "left_anti")
         nodes = going.select("start", F.col("node").alias("dst")).join(edges, "dst").select("start", F.col("src").alias("node")).distinct()
-        nodes = _settle(nodes.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(d)))
+        nodes = settle(nodes.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(d)))
         if nodes.isEmpty():
             break
         found = found.unionByName(nodes)
@@ -93,7 +93,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, most: int, rank: Column |
         if found is not None:
             steps = steps.join(found.select("root", "node"), ["root", "node"], "left_anti")
         best = steps.groupBy("root", "node").agg(F.min_by(F.struct("path", "_ranks"), "_ranks").alias("_b"))
-        best = _settle(best.select("root", "node", "_b.path", "_b._ranks"))
+        best = settle(best.select("root", "node", "_b.path", "_b._ranks"))
         found = best if found is None else found.unionByName(best)
         frontier = best.select("root", F.col("node").alias("src"), "path", "_ranks")
     return found.drop("_ranks")
@@ -105,13 +105,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Colouring: in each round every node takes the least node that reaches it;
     those that also reach that node form its component and leave the graph.
     """
-    live = _settle(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    live = settle(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     done = None
     while True:
         # nodes that nothing leads to or from lie on no cycle
         while True:
             inner = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            inner = _settle(inner.select("src", "dst"))
+            inner = settle(inner.select("src", "dst"))
             if inner.count() == live.count():
                 break
             live = inner
@@ -121,7 +121,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         own = live.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd")
         back = _reaching_back(own.select("src", "dst", F.col("cs").alias("c")))
         done = back if done is None else done.unionByName(back)
-        live = _settle(live.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        live = settle(live.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     if done is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     sizes = done.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1")
@@ -130,10 +130,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _least(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node, itself included."""
-    colour = _settle(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    colour = settle(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
     while True:
         passed = edges.join(colour.toDF("src", "colour"), "src").select(F.col("dst").alias("node"), "colour")
-        new = _settle(colour.unionByName(passed).groupBy("node").agg(F.min("colour").alias("colour")))
+        new = settle(colour.unionByName(passed).groupBy("node").agg(F.min("colour").alias("colour")))
         changed = new.join(colour.toDF("node", "old"), "node").where("colour <> old").isEmpty()
         colour = new
         if changed:
@@ -142,14 +142,14 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _reaching_back(edges: DataFrame) -> DataFrame:
     """(node, component): nodes of colour c that reach c inside the colour."""
-    found = _settle(edges.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
+    found = settle(edges.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
     frontier = found
     while True:
         step = frontier.select(F.col("node").alias("dst"), F.col("component").alias("c")).join(edges, ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("component")).distinct()
-        step = _settle(step.join(found, ["node", "component"], "left_anti"))
+        step = settle(step.join(found, ["node", "component"], "left_anti"))
         if step.isEmpty():
             return found
-        found = _settle(found.unionByName(step))
+        found = settle(found.unionByName(step))
         frontier = step
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import METHODS, effective_path, has_prefix, join_path, path_matches, segment_matches, segments
+from .graph import settle
 
 # How much a kind of match is trusted, and from where on a unique best match is followed.
 CONFIDENCE = {"exact": 1.0, "param": 0.9, "suffix": 0.6, "wildcard": 0.6, "method": 0.5}
@@ -176,7 +177,7 @@ def _at() -> Column:
     return F.concat_ws(":", F.col("file"), F.col("line").cast("string"))
 
 
-def mounts(calls: DataFrame, most: int = 16) -> DataFrame:
+def mounts(calls: DataFrame) -> DataFrame:
     """(key, prefix, chain, seen, places, app): every way to reach a receiver from an app that nothing mounts.
 
     ``chain`` has the mounts (file, line, end_line, prefix) from outside in,
@@ -190,18 +191,20 @@ def mounts(calls: DataFrame, most: int = 16) -> DataFrame:
     level = "struct<key:string,prefix:string,pos:int,handler:int,order_idx:int>"
     mount = "struct<file:string,line:int,end_line:int,prefix:string>"
     now = roots.select("key", F.lit("/").alias("prefix"), F.array().cast(f"array<{mount}>").alias("chain"), F.array("key").alias("seen"), F.array().cast(f"array<{level}>").alias("places"), F.lit(0).alias("depth"))
-    out = now
-    for depth in range(1, most + 1):
+    steps, now = settle(steps), settle(now)
+    out, depth = now, 0
+    while not now.isEmpty():
+        depth += 1
         joined = now.join(steps, "key").where(~F.array_contains("seen", F.col("target")))
         place = F.struct("key", "prefix", F.col("pos").cast("int").alias("pos"), F.col("handler").cast("int").alias("handler"), F.col("order_idx").cast("int").alias("order_idx"))
-        now = joined.select(
+        now = settle(joined.select(
             F.col("target").alias("key"),
             join_path(F.col("prefix"), F.col("path")).alias("prefix"),
             F.concat("chain", F.array(F.struct("file", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), F.col("path").alias("prefix")))).alias("chain"),
             F.concat("seen", F.array("target")).alias("seen"),
             F.concat("places", F.array(place)).alias("places"),
             F.lit(depth).alias("depth"),
-        )
+        ))
         out = out.unionByName(now)
     return out
 
@@ -218,7 +221,7 @@ def _mount_steps(rows: DataFrame) -> DataFrame:
     return exploded.where("h.kind = 'router'").select("key", "pos", "order_idx", "file", "line", "end_line", "path", "handler", F.col("h.receiver_key").alias("target"), F.col("h.text").alias("text"))
 
 
-def stitch(calls: DataFrame, most: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stitch(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Full routes, their middleware and warnings, from registrations.
 
     ``calls`` has seq (order of the facts), file, receiver_key, receiver_kind,
@@ -234,7 +237,7 @@ def stitch(calls: DataFrame, most: int = 16) -> tuple[DataFrame, DataFrame, Data
     ``route`` is one registration in one way of reaching it.
     """
     rows = _positioned(calls)
-    walked = mounts(calls, most)
+    walked = mounts(calls)
     kinds = rows.groupBy("key").agg(F.max_by("kind", F.col("seq")).alias("kind_"))
     own = F.filter("handlers", lambda h: h["kind"] != "router")
     placed = rows.where("call_kind = 'route'").withColumn("own", own).where("size(own) > 0").join(walked, "key")
