@@ -1 +1,60 @@
-"""Queries over the built-in code facts."""
+"""Queries over small built-in code facts; their SQL states the known answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.sql_effects import sql_effects as effects_of
+from ..operators import routes
+from ..sources.facts import HANDLER
+from .registry import query
+
+#: (statement, what it reads and writes)
+STATEMENTS = [
+    ("SELECT * FROM orders o JOIN unnest(o.items) i ON true", "SELECT orders"),
+    ("UPDATE stock SET n = n - 1 FROM orders WHERE orders.id = $1", "UPDATE stock, SELECT orders"),
+    ("INSERT INTO audit SELECT * FROM (SELECT id FROM parts FOR UPDATE) p ON CONFLICT (id) DO UPDATE SET n = 1", "INSERT audit, SELECT parts"),
+    ("WITH old AS (DELETE FROM queue RETURNING *) SELECT count(*) FROM old WHERE extract(day FROM ts) = 1", "DELETE queue"),
+    ("ROLLBACK", ""),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("sql_effects", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(s)}, {_quoted(e)})" for s, e in STATEMENTS) + ") v(statement, effects)")
+def sql_effects(spark, base):
+    frame = spark.createDataFrame([(s,) for s, _ in STATEMENTS], "statement string").withColumn("e", effects_of(F.col("statement")))
+    return frame.select("statement", F.array_join(F.transform("e", lambda e: e["detail"]), ", ").alias("effects"))
+
+
+def _fn(name: str, arity: int = 3) -> dict:
+    return {"kind": "symbol", "key": {"file": "app.ts", "name": name, "start_line": 1}, "arity": arity, "text": name}
+
+
+#: (receiver, kind, call, method, path, order, handlers) of a small application.
+REGISTRATIONS = [
+    ("app.ts#app", "app", "use", None, None, 0, [{"kind": "package", "package": "express", "text": "express.json()"}]),
+    ("app.ts#app", "app", "use", None, "/shop", 1, [_fn("requireUser"), {"kind": "router", "receiver_key": "shop.ts#shop", "text": "shop"}]),
+    ("app.ts#app", "app", "GET", "GET", "/health", 2, [_fn("health", 2)]),
+    ("app.ts#app", "app", "use", None, None, 3, [_fn("onError", 4)]),
+    ("shop.ts#shop", "router", "use", None, "/admin", 0, [_fn("adminOnly")]),
+    ("shop.ts#shop", "router", "POST", "POST", "/orders/:id", 1, [_fn("limit"), _fn("placeOrder", 2)]),
+    ("shop.ts#shop", "router", "GET", "GET", "/admin/stock", 2, [_fn("stock", 2)]),
+]
+STITCHED = [
+    ("GET", "/health", "app:express.json() error:onError"),
+    ("POST", "/shop/orders/:id", "app:express.json() app:requireUser route:limit error:onError"),
+    ("GET", "/shop/admin/stock", "app:express.json() app:requireUser router:adminOnly error:onError"),
+]
+
+
+@query("stitch_routes", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(m)}, {_quoted(p)}, {_quoted(c)})" for m, p, c in STITCHED) + ") v(method, full_path, chain)")
+def stitch_routes(spark, base):
+    schema = f"seq int, file string, receiver_key string, receiver_kind string, receiver_text string, call_kind string, method string, path string, path_text string, line int, end_line int, order_idx int, handlers array<{HANDLER}>"
+    rows = [(i, key.split("#")[0], key, kind, key.split("#")[1], "use" if call == "use" else "route", method, path, None, i + 1, i + 1, order, handlers) for i, (key, kind, call, method, path, order, handlers) in enumerate(REGISTRATIONS)]
+    found, middleware, _ = routes.stitch(spark.createDataFrame(rows, schema))
+    entry = F.struct("order_idx", F.concat_ws(":", "phase", routes.handler_label(F.col("handler"))).alias("entry"))
+    chain = middleware.groupBy("route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]), " ").alias("chain"))
+    return found.join(chain, "route", "left").select("method", "full_path", F.coalesce("chain", F.lit("")).alias("chain"))
