@@ -70,9 +70,17 @@ def languages(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(counts.max(axis=0) > 0, counts.argmax(axis=0), len(LANGUAGES) - 1)
 
 
+_PART = BUCKETS * np.arange(PARTS)
+
+
+def _places(words: np.ndarray) -> np.ndarray:
+    """Each word's row within each part of the table, in two bytes."""
+    return (mix(words + U(11)) & U(BUCKETS - 1)).astype(np.uint16)
+
+
 def _slots(words: np.ndarray) -> np.ndarray:
     """The table rows of each word: one in each part of the table."""
-    return (mix(words + U(11)) & U(BUCKETS - 1)).astype(np.int64) + BUCKETS * np.arange(PARTS)
+    return _places(words) + _PART
 
 
 def _times(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -96,10 +104,13 @@ class Network:
         """(rows, filters): the largest response of each filter; rows shorter than a filter (and negative responses) give 0."""
         _, sample, at = np.unique(words[:, 0], return_index=True, return_inverse=True)
         vectors = self.table[_slots(words[sample])].sum(axis=1)
-        rows = len(first) - 1
-        out = np.zeros((rows, FILTERS * len(WIDTHS)), np.float32)
+        return self.pool(vectors, at, first)
+
+    def pool(self, vectors: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same for words ``at`` places in a table of vectors."""
+        out = np.zeros((len(first) - 1, FILTERS * len(WIDTHS)), np.float32)
         for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-            n = len(words) - width + 1
+            n = len(at) - width + 1
             if n <= 0:
                 continue
             response = _times(vectors, f[0])[at[:n]]
@@ -116,18 +127,23 @@ class Network:
     def logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         return (self.pooled(words, first) * self.out).sum(axis=1, dtype=np.float64) + self.bias
 
+    def logits_of(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The same for rows of table places, as ``train`` gets them."""
+        pooled = [self.pool(self.table[r + _PART].sum(axis=1), np.arange(len(r)), np.array([0, len(r)])) for r in rows]
+        return (np.concatenate(pooled) * self.out).sum(axis=1, dtype=np.float64) + self.bias
+
 
 def _gradient(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray):
     """Gradients of the weighted logistic loss: table rows and their values, filters, their offsets, output, bias."""
     rows, values = [], []
     g_filters = [np.zeros_like(f) for f in net.filters]
     g_out, g_offset, g_bias = np.zeros_like(net.out), np.zeros_like(net.offset), 0.0
-    for words, target, w in zip(docs, y, weight, strict=True):
-        slots = _slots(words)
+    for places_, target, w in zip(docs, y, weight, strict=True):
+        slots = places_ + _PART
         vectors = net.table[slots].sum(axis=1)
         pool, places = np.zeros_like(net.out), []
         for k, (width, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-            n = len(words) - width + 1
+            n = len(slots) - width + 1
             if n <= 0:
                 places.append(None)
                 continue
@@ -155,10 +171,10 @@ def _gradient(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.nd
     return rows, values, g_filters, g_offset, g_out, g_bias
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Network:
-    """Fit to word-hash rows with labels 0 and 1; with a single class (or none) all scores are on that class's side."""
+def train(docs: list[np.ndarray], labels: np.ndarray, language: np.ndarray, seed: int = 3) -> Network:
+    """Fit to rows of word places with labels 0 and 1; with a single class (or none) all scores are on that class's side."""
     net = Network()
-    labels = np.asarray(labels)
+    labels, language = np.asarray(labels), np.asarray(language)
     if len(set(labels.tolist())) < 2:
         net.out[:] = 0
         net.bias = -1.0 if not len(labels) or labels[0] == 0 else 1.0
@@ -191,8 +207,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Network:
                 squares["table"][where] += (g * g).sum(axis=1)
                 net.table[where] -= rate * g / np.sqrt(squares["table"][where])[:, None]
     some = np.flatnonzero(held)
-    words, first = np.concatenate([docs[i] for i in some]), np.concatenate([[0], np.cumsum([len(docs[i]) for i in some])])
-    logits, language = net.logits(words, first), languages(words, first)
+    logits, language = net.logits_of([docs[i] for i in some]), language[some]
     overall = _threshold(logits, labels[some])
     for k in range(len(LANGUAGES)):
         own = language == k
@@ -213,7 +228,7 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((value[best] + value[best + 1]) / 2) if best + 1 < len(value) else float(value[best]) - 1e-6
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 5000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000) -> Network:
     """Train on at most ``sample`` labelled rows of each class outside ``held``, those with the smallest hash of doc_id."""
 
     def run(batches):
@@ -221,11 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 5000
             for row, data, offsets in chunks(batch.column(2)):
                 words, first = _word_rows(data, offsets)
                 n = len(first) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array([np.ascontiguousarray(words[first[i] : first[i + 1]]).tobytes() for i in range(n)], pa.binary())], ["doc_id", "y", "words"])
+                places = np.ascontiguousarray(_places(words))
+                rows = pa.array([places[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(languages(words, first), pa.int32()), rows], ["doc_id", "y", "language", "places"])
 
-    found = labelled_sample(docs, labels, label, held, sample).mapInArrow(run, "doc_id long, y int, words binary").collect()
-    found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return train([np.frombuffer(r[2], np.uint64).reshape(-1, PARTS) for r in found], np.array([r[1] for r in found], dtype=np.int64))
+    found = labelled_sample(docs, labels, label, held, sample).mapInArrow(run, "doc_id long, y int, language int, places binary").collect()
+    found.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
+    rows = [np.frombuffer(r[3], np.uint16).reshape(-1, PARTS) for r in found]
+    return train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[2] for r in found], dtype=np.int64))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -248,7 +266,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text, ...), learnt from ``labels.toxic``.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 teach nothing. Null and empty
