@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import arrow_map
 from .textkit import U, chunks, mix, shingles, word_hashes, word_spans
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
@@ -220,7 +221,7 @@ def _search(docs: DataFrame, items, threshold: float) -> DataFrame:
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in names])
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.transform(arrow_map, run, SCHEMA)
 
 
 def _without(docs: DataFrame, items, threshold: float) -> DataFrame:
@@ -233,7 +234,7 @@ def _without(docs: DataFrame, items, threshold: float) -> DataFrame:
                 keep[row] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def _touched(index: Items, words: np.ndarray, first: np.ndarray) -> np.ndarray:

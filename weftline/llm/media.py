@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import arrow_map
+
 TILE = 32
 BATCH_BYTES = 4 << 20
 _HEADER = re.compile(rb"P([1-6])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)")
@@ -155,7 +157,7 @@ def store_texts(docs: DataFrame, width: int = 64, form: str = "pgm") -> DataFram
                 media = [encoder(np.frombuffer(t + bytes(-len(t) % width or (0 if t else width)), np.uint8).reshape(-1, width)) for t in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, "doc_id long, n_bytes long, media binary")
 
 
 def tiles(media: DataFrame, side: int = TILE) -> DataFrame:
@@ -186,7 +188,7 @@ def tiles(media: DataFrame, side: int = TILE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m, t) for m, t in zip(made, (pa.binary(), pa.string(), pa.string()), strict=True))], [*columns, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields), "tile binary, dhash string, media_error string"])
-    return media.mapInArrow(run, schema)
+    return media.transform(arrow_map, run, schema)
 
 
 def digests(docs: DataFrame, width: int = 64) -> DataFrame:
@@ -208,4 +210,4 @@ def digests(docs: DataFrame, width: int = 64) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return tiles(store_texts(docs, width)).select("doc_id", "n_bytes", "media", "tile", "dhash").mapInArrow(run, schema)
+    return tiles(store_texts(docs, width)).select("doc_id", "n_bytes", "media", "tile", "dhash").transform(arrow_map, run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .storage import arrow_map
 from .textkit import U, chunks, mix, word_hashes
 
 FEATURE_BITS = 18
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 3000
                 rows = [np.sort(f).astype(np.int32).tobytes() for f in features(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(rows)), batch.column(1).slice(row, len(rows)), pa.array(rows, pa.binary())], ["doc_id", "y", "features"])
 
-    found = labelled_sample(docs, labels, label, held, sample).mapInArrow(run, "doc_id long, y int, features binary").collect()
+    found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, features binary").collect()
     found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
     return train([np.frombuffer(r[2], dtype=np.int32).astype(np.int64) for r in found], np.array([r[1] for r in found], dtype=np.int64))
 
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [*docs.columns, "score"]
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.transform(arrow_map, run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .components import components
-from .storage import materialize
+from .storage import arrow_map, materialize
 from .textkit import U, chunks, distinct, mix, shingles, text_bytes, word_hashes, word_spans
 
 BLOCK = 256
@@ -62,7 +62,7 @@ def signatures(docs: DataFrame, k: int = 3, short: bool = True) -> DataFrame:
                     ["doc_id", "n_shingles", "set_hi", "set_lo", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, "doc_id long, n_shingles long, set_hi long, set_lo long, registers binary")
 
 
 def bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -76,7 +76,7 @@ def bands(classes: DataFrame, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "keys"])
 
-    keyed = classes.select("id", "registers").mapInArrow(run, "id long, keys array<long>")
+    keyed = classes.select("id", "registers").transform(arrow_map, run, "id long, keys array<long>")
     return keyed.select("id", F.posexplode("keys").alias("band", "bucket"))
 
 
@@ -112,7 +112,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, k: int, short: bool
 
     left = texts.toDF("a", "n_a", "r_a", "t_a")
     right = texts.toDF("b", "n_b", "r_b", "t_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b", "t_a", "t_b").transform(arrow_map, run, "a long, b long")
 
 
 def _bits(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:

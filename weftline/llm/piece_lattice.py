@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import arrow_map
 from .textkit import U, chunks, hash_sums, mix, span_hashes, text_bytes, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x20
 _STEP = U(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 3 << 20
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 
@@ -190,7 +190,7 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
 
 def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
     """Yield (row, ids of all rows of a chunk in order, where each row's begin)."""
-    for row, data, offsets in chunks(column, CHUNK_BYTES):
+    for row, data, offsets in chunks(column):
         filled = np.flatnonzero(np.diff(offsets) > 0)
         data = np.insert(data, offsets[:-1][filled], _SPACE)
         rows = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: fl
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out, pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids.slice(row, len(first) - 1), lists], ["doc_id", "pieces"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pieces array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, "doc_id long, pieces array<int>")
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -273,7 +273,7 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.large_utf8(), len(some), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), raw.cast(pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces")).transform(arrow_map, run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: float = 1.0) -> DataFrame:
@@ -307,4 +307,4 @@ def digests(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: f
                 )
 
     schema = "doc_id long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, schema)

@@ -1,10 +1,13 @@
-"""Where intermediate tables go: the folder that the whole cluster shares."""
+"""Where intermediate tables go, and how rows go through Python: both within bounds."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +30,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of one Arrow batch, on both sides of the pipe to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of bounded size, whose task gives back all its memory.
+
+    Python workers live on from task to task and stage to stage. What one task
+    has freed would stay with its worker: garbage in cycles, Arrow's pool and the
+    C heap are therefore emptied at its end. The batch limits are lowered for the
+    session, never raised.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .nbsvm import held_out, labelled_sample, tokens
+from .storage import arrow_map
 from .textkit import U, chunks, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000
                 rows = pa.array([places[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(languages(words, first), pa.int32()), rows], ["doc_id", "y", "language", "places"])
 
-    found = labelled_sample(docs, labels, label, held, sample).mapInArrow(run, "doc_id long, y int, language int, places binary").collect()
+    found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, language int, places binary").collect()
     found.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
     rows = [np.frombuffer(r[3], np.uint16).reshape(-1, PARTS) for r in found]
     return train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[2] for r in found], dtype=np.int64))
@@ -263,7 +264,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     names = [*docs.columns, "score"]
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.transform(arrow_map, run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, shared_dir
+from .storage import arrow_map, materialize, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "records": [records]}, pa.schema([("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())]))
 
-    return pages.select("page_id", "url", "kind", "refers_to", "digest", "length", "payload").mapInArrow(run, "path string, size long, records long")
+    return pages.select("page_id", "url", "kind", "refers_to", "digest", "length", "payload").transform(arrow_map, run, "path string, size long, records long")
 
 
 def splits(spark: SparkSession, files: list[tuple[str, int]], most: int = SPLIT_BYTES) -> DataFrame:
@@ -191,7 +191,7 @@ def read_archives(ranges: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return ranges.mapInArrow(run, "headers map<string,string>, block binary")
+    return ranges.transform(arrow_map, run, "headers map<string,string>, block binary")
 
 
 def _batch(records: list[Record]) -> pa.RecordBatch:
