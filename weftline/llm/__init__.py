@@ -1,11 +1 @@
-"""Operators for training-data pipelines.
-
-Nothing else in the library imports this subpackage. Its functions travel to
-the executors by value, so that a cluster needs no copy of the package there.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import arrow_map
+from .storage import Shared, arrow_map
 from .textkit import U, chunks, mix, shingles, word_hashes, word_spans
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
@@ -198,7 +198,7 @@ def _item_blocks(benchmark: DataFrame, k: int):
     blocks = -(-size // BLOCK_BYTES)
     for block in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], k))
+        yield Shared(benchmark.sparkSession, Items([r[0] for r in rows], [r[1] for r in rows], k))
 
 
 def _hits(index: Items, texts: pa.Array, threshold: float):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .storage import arrow_map
+from .storage import Shared, arrow_map
 from .textkit import U, chunks, mix, word_hashes
 
 FEATURE_BITS = 18
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 3000
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with a column score (replacing one of that name) for each row's whole text (null counts as empty)."""
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches):
         model = shared.value

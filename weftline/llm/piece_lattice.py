@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import arrow_map
+from .storage import Shared, arrow_map
 from .textkit import U, chunks, hash_sums, mix, span_hashes, text_bytes, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: fl
     null doc_id counts as -1, a null or empty text gives no pieces. Other
     columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(model, alpha))
+    shared = Shared(docs.sparkSession, load(model, alpha))
 
     def run(batches):
         for batch in batches:
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: fl
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """(doc_id, text): the texts that ``encode`` was given (null texts come back empty)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(model))
+    shared = Shared(encoded.sparkSession, load(model))
 
     def run(batches):
         for batch in batches:
@@ -283,7 +283,7 @@ def digests(docs: DataFrame, model: str = DEFAULT_MODEL, seed: int = 1, alpha: f
     """
     import hashlib
 
-    shared = docs.sparkSession.sparkContext.broadcast(load(model, alpha))
+    shared = Shared(docs.sparkSession, load(model, alpha))
 
     def run(batches):
         v = shared.value

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +63,16 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
                 trim(0)
 
     return df.mapInArrow(lean, schema)
+
+
+class Shared:
+    """A broadcast value that brings its classes along; each task loads it once."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._sent, self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self):
+        if self._held is None:
+            self._held = pickle.loads(self._sent.value)
+        return self._held

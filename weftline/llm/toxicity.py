@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .nbsvm import held_out, labelled_sample, tokens
-from .storage import arrow_map
+from .storage import Shared, arrow_map
 from .textkit import U, chunks, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of ``docs`` with a column score (replacing one of that name) for each row's whole text (null counts as empty)."""
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     def run(batches):
         net = shared.value
