@@ -105,6 +105,7 @@ def test_budget_never_exceeds_its_limit_and_skips(spark, sizes, limit):
             left -= cost
             expected.append(i)
     assert sorted(r.id for r in relational.greedy_budget(f, ["g"], ["id"], limit).collect()) == expected
+    assert sorted(r.id for r in relational.greedy_budget(f, ["g"], ["id"], limit, block=2).collect()) == expected
 
 
 def test_dependency_order(spark):

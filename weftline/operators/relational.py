@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import block_cost, hash_lines
+from .graph import settle
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -105,24 +106,36 @@ def window_hashes(lines: Column, length: Column) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("line"), hash_lines(F.slice(lines, s, length)).alias("hash")))
 
 
-def greedy_budget(rows: DataFrame, group: list[str], order: list[str], limit: int, text: str = "text", key: str = "id") -> DataFrame:
+def greedy_budget(rows: DataFrame, group: list[str], order: list[str], limit: int, text: str = "text", key: str = "id", block: int = 2000) -> DataFrame:
     """(group, key, cost) of the rows taken: in order, each whose cost still fits; one that does not is skipped and costs nothing.
 
-    What fits depends on all earlier choices, so a group's candidates are folded
-    one by one; only keys and costs, not texts, are gathered for that.
+    What fits depends on all earlier choices, so candidates are folded one by
+    one, but never more than ``block`` of a group at once: those before all
+    others by order that what is left could pay for. Groups that filled their
+    block go on behind it with what is left, until it pays for nothing more.
+    Only keys and costs, not texts, are moved; the row limit applies before the shuffle.
     """
-    costed = rows.select(*group, F.struct(*order, F.col(key).alias("_key"), block_cost(F.col(text)).cast("long").alias("_cost")).alias("_row"))
-    gathered = costed.groupBy(*group).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    kind = dict(rows.dtypes)[key]
+    costed = rows.select(*group, F.struct(*order).alias("_at"), F.col(key).alias("_key"), block_cost(F.col(text)).cast("long").alias("_cost"))
+    candidates, out = costed.withColumn("_left", F.lit(limit).cast("long")), None
 
     def take(state: Column, row: Column) -> Column:
         fits = row["_cost"] <= state["left"]
         taken = F.concat(state["taken"], F.array(F.struct(row["_key"].alias("key"), row["_cost"].alias("cost"))))
         return F.struct(F.when(fits, state["left"] - row["_cost"]).otherwise(state["left"]).alias("left"), F.when(fits, taken).otherwise(state["taken"]).alias("taken"))
 
-    kind = dict(rows.dtypes)[key]
-    start = F.struct(F.lit(limit).cast("long").alias("left"), F.array().cast(f"array<struct<key:{kind},cost:bigint>>").alias("taken"))
-    folded = gathered.select(*group, F.explode(F.aggregate("_rows", start, take, lambda s: s["taken"])).alias("_t"))
-    return folded.select(*group, F.col("_t.key").alias(key), F.col("_t.cost").alias("cost"))
+    while True:
+        nth = F.row_number().over(W.partitionBy(*group).orderBy("_at", "_key"))
+        first = candidates.where("_cost <= _left").withColumn("_nth", nth).where(F.col("_nth") <= block)
+        gathered = first.groupBy(*group).agg(F.first("_left").alias("_left"), F.array_sort(F.collect_list(F.struct("_at", "_key", "_cost"))).alias("_rows"))
+        start = F.struct(F.col("_left").alias("left"), F.array().cast(f"array<struct<key:{kind},cost:bigint>>").alias("taken"))
+        folded = settle(gathered.select(*group, F.aggregate("_rows", start, take).alias("_s"), F.element_at("_rows", -1).alias("_last"), (F.size("_rows") == block).alias("_full")))
+        taken = folded.select(*group, F.explode("_s.taken").alias("_t")).select(*group, F.col("_t.key").alias(key), F.col("_t.cost").alias("cost"))
+        out = taken if out is None else out.unionByName(taken)
+        on = folded.where("_full").select(*group, F.col("_s.left").alias("_left"), F.struct("_last._at", "_last._key").alias("_done"))
+        if on.isEmpty():
+            return out
+        candidates = costed.join(on, group).where(F.struct("_at", "_key") > F.col("_done")).drop("_done")
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
