@@ -30,6 +30,7 @@ from .textkit import U, chunks, hash_sums, mix, span_hashes, text_bytes, word_ha
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x20
 _STEP = U(0x9E3779B97F4A7C15)
+CHUNK_BYTES = 1 << 19
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 
@@ -190,7 +191,7 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
 
 def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
     """Yield (row, ids of all rows of a chunk in order, where each row's begin)."""
-    for row, data, offsets in chunks(column):
+    for row, data, offsets in chunks(column, CHUNK_BYTES):
         filled = np.flatnonzero(np.diff(offsets) > 0)
         data = np.insert(data, offsets[:-1][filled], _SPACE)
         rows = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])

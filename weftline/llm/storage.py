@@ -36,6 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows and bytes of one Arrow batch, on both sides of the pipe to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = -3, -1  # of mallopt() in the C library
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
@@ -43,8 +44,9 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
 
     Python workers live on from task to task and stage to stage. What one task
     has freed would stay with its worker: garbage in cycles, Arrow's pool and the
-    C heap are therefore emptied at its end. The batch limits are lowered for the
-    session, never raised.
+    C heap are therefore emptied at its end, and large arrays are mapped one by
+    one, so that freeing them returns their pages. The batch limits are lowered
+    for the session, never raised.
     """
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
@@ -53,14 +55,18 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
             conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def lean(batches):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(M_MMAP_THRESHOLD, 4 << 20)
+            libc.mallopt(M_TRIM_THRESHOLD, 64 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return df.mapInArrow(lean, schema)
 
