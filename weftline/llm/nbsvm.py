@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .storage import Shared, arrow_map
+from .storage import Shared, arrow_map, give_back
 from .textkit import U, chunks, mix, word_hashes
 
 FEATURE_BITS = 18
@@ -182,7 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 3000
 
     found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, features binary").collect()
     found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return train([np.frombuffer(r[2], dtype=np.int32).astype(np.int64) for r in found], np.array([r[1] for r in found], dtype=np.int64))
+    rows, labels_ = [np.frombuffer(r[2], dtype=np.int32) for r in found], np.array([r[1] for r in found], dtype=np.int64)
+    del found
+    model = train(rows, labels_)
+    del rows
+    give_back()  # the driver has little memory to spare
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

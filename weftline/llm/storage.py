@@ -39,6 +39,15 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = -3, -1  # of mallopt() in the C library
 
 
+def give_back() -> None:
+    """Return what this Python process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with batches of bounded size, whose task gives back all its memory.
 
@@ -63,10 +72,7 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return df.mapInArrow(lean, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .nbsvm import held_out, labelled_sample, tokens
-from .storage import Shared, arrow_map
+from .storage import Shared, arrow_map, give_back
 from .textkit import U, chunks, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -244,7 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000
     found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, language int, places binary").collect()
     found.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
     rows = [np.frombuffer(r[3], np.uint16).reshape(-1, PARTS) for r in found]
-    return train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[2] for r in found], dtype=np.int64))
+    net = train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[2] for r in found], dtype=np.int64))
+    del rows, found
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
