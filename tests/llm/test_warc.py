@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -57,3 +58,18 @@ def test_truncated_archives_lose_only_the_last_record():
     members = [warc.format_record("response", f"urn:page:{i}", "http://x", b"body" * 50, {}) for i in range(3)]
     data = b"".join(members)[:-5]
     assert len(list(warc.read_range(io.BytesIO(data), 0, len(data)))) == 2
+
+
+def test_long_urls_are_read_back(spark):
+    url = "data:" + "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=500_000))
+    rows = [(1, url, "z" * 200), (2, "http://b", "z" * 200), (3, url[:110_000], None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+    data = b"".join(warc.format_record("response", f"urn:page:{i}", u, b"body", {}) for i, u, _ in rows)
+    assert [r.headers["warc-target-uri"] for r in warc.read_range(io.BytesIO(data), 0, len(data))] == [u for _, u, _ in rows]
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_member", lambda source, start: None)
+    with pytest.raises(ValueError, match="1 records were written, but 0 read"):
+        warc.round_trip(spark.createDataFrame([(1, "http://a", "x")], "page_id long, url string, html string")).collect()

@@ -2,11 +2,13 @@
 
 A reading task is given a byte range. It looks for the gzip magic bytes in it,
 takes each find for a candidate and accepts it only if decompressing from there
-gives a WARC record header (version line, type, target or length, blank line).
+gives a WARC record header (version line, type, target or length, blank line),
+however long that is: a url of any length is written whole and read back.
 A task owns the records that start inside its range and reads past its end to
 finish the last one, so that the ranges of a file give every record once,
 wherever they are cut. Magic bytes inside compressed data fail validation, or
-lie before the end of the record read last and are skipped.
+lie before the end of the record read last and are skipped. A round trip
+compares the number of records read with the number written.
 
 Archive files go to the cluster's shared folder through pyarrow's file systems.
 Each task writes under a name of its own attempt, and only the names that
@@ -29,7 +31,6 @@ from .storage import arrow_map, materialize, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
 STEP_BYTES = 1 << 16
-HEADER_LIMIT = 1 << 16
 DEDUP_FROM = 100
 
 
@@ -87,7 +88,7 @@ class _Bytes:
 def _member(source: _Bytes, start: int) -> Record | None:
     """The record whose gzip member starts at ``start``, or None if there is none."""
     source.drop_to(start)
-    unpack, out, fed = zlib.decompressobj(31), bytearray(), 0
+    unpack, out, fed, searched = zlib.decompressobj(31), bytearray(), 0, 0
     headers = None
     while not unpack.eof:
         held = source.at_least(fed + STEP_BYTES)
@@ -102,13 +103,12 @@ def _member(source: _Bytes, start: int) -> Record | None:
         if headers is None:
             if not b"WARC/".startswith(bytes(out[:5])) and not out.startswith(b"WARC/"):
                 return None
-            stop = out.find(b"\r\n\r\n")
+            stop = out.find(b"\r\n\r\n", max(searched - 3, 0))
+            searched = len(out)
             if stop >= 0:
                 headers = _parse_header(bytes(out[:stop]))
                 if headers is None:
                     return None
-            elif len(out) > HEADER_LIMIT:
-                return None
     if headers is None:
         return None
     size = int(headers["content-length"])
@@ -184,7 +184,7 @@ def read_archives(ranges: DataFrame, folder: str) -> DataFrame:
                 with filesystem.open_input_file(row["path"]) as file:
                     for record in read_range(file, row["start"], row["end"]):
                         held.append(record)
-                        size += len(record.block)
+                        size += len(record.block) + sum(map(len, record.headers.values()))
                         if size > 4 << 20:
                             yield _batch(held)
                             held, size = [], 0
@@ -223,19 +223,26 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     page_id stays null and never is the first of equal payloads unless all are.
     Repeated rows are written once each; equal rows of the smallest page_id are
     all responses. Other columns play no part; an empty table gives no rows.
+    ValueError if not as many records are read as were written.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/warc"
     # the manifest has a row for each file, as a listing would
-    files = materialize(write_archives(plan_records(pages), folder), "manifest").select("path", "size").collect()
+    files = materialize(write_archives(plan_records(pages), folder), "manifest").select("path", "size", "records").collect()
     records = read_archives(splits(spark, sorted((r[0], r[1]) for r in files), split_bytes), folder)
     header = lambda name: F.col("headers").getItem(name)
     number = lambda name: F.nullif(F.regexp_extract(header(name), "urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
     revisit = header("warc-type") == "revisit"
-    return records.select(
+    found = records.select(
         number("warc-record-id").alias("page_id"),
         F.when(revisit, header("x-payload-length").cast("long")).otherwise(F.octet_length("block").cast("long")).alias("payload_bytes"),
         F.when(revisit, F.substring_index(header("warc-payload-digest"), ":", -1)).otherwise(F.sha2("block", 256)).alias("payload_digest"),
         header("warc-type").alias("record_type"),
         F.when(revisit, number("warc-refers-to")).alias("refers_to"),
     )
+    # without blocks and urls the result is small; it is kept so that it can be counted before it is used
+    found = materialize(found, "records")
+    written, read = sum(r[2] for r in files), found.count()
+    if written != read:
+        raise ValueError(f"{written} records were written, but {read} read back")
+    return found
