@@ -4,9 +4,10 @@ Three kinds come from patterns: assignments, access keys and long hex runs. The
 fourth, ``entropy``, comes from sliding windows: within every candidate (a run
 of at least WINDOW characters of the base64 and URL alphabets) the Shannon
 entropy of each window of WINDOW characters is kept by counts that change at
-the window's two ends only. A candidate counts if some window reaches the
-threshold of its character class, no allow-list pattern suppresses it and no
-pattern span overlaps it.
+the window's two ends only. Pattern spans are cut out of a candidate, and each
+remaining piece counts if some window in it that touches no match of the
+allow-list reaches the threshold of its character class: that of the window, or
+of the whole stretch between such matches if that is lower.
 
 Positions are code points, ends exclusive. Matches are found by marking them
 with U+0001 (a U+0001 of the text stands in as U+0002 meanwhile, which no
@@ -26,18 +27,21 @@ HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: character class -> (what a candidate of it looks like, least entropy of a window in bits)
+#: character class -> (what a stretch of it looks like, least entropy of a window in bits)
 CLASSES = {
     "hex": (r"^[0-9a-fA-F]+$", 3.0),
     "alnum": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", 3.6),
     "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.8),
 }
-#: Candidates that are no secrets: UUIDs, placeholders, counting sequences, one character repeated.
+#: The same for single windows of one kind of letter with digits, or of letters only: (least numbers of upper-case
+#: letters, lower-case letters and digits, least entropy). No other symbols. The counts spare words of prose.
+NARROW = {"lower": (0, 1, 2, 3.5), "upper": (1, 0, 1, 3.5), "letters": (4, 4, 0, 3.7)}
+#: What is no secret: UUIDs, placeholders, counting sequences. (A character repeated eight times needs no pattern: a
+#: window that holds it has 3.12 bits at most.)
 ALLOWED = [
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(api|key|token|secret)",
-    r"(?i)0123456789|abcdefghij",
-    r"(.)\1{7}",
+    r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])",
+    r"(?i:example|sample|dummy|placeholder|changeme|your[_-]?(?:api|key|token|secret))",
+    r"(?i:0123456789|abcdefghij)",
 ]
 
 _MARK = "\u0001"
@@ -48,14 +52,17 @@ def _none() -> Column:
     return F.array().cast(f"array<{_SPAN}>")
 
 
-def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches whose text ``keep`` accepts."""
+def _matches(text: Column, pattern: str, kind: int, keep=None, pieces=None) -> Column:
+    """Spans of the leftmost non-overlapping matches whose text ``keep`` accepts, or of the ``pieces`` (of text and start) of each."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
     def step(state: Column, part: Column) -> Column:
         end = state["at"] + F.char_length(part)
-        span = F.array(F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end")))
-        found = F.when(state["odd"] & keep(part), F.concat(state["spans"], span)).otherwise(state["spans"])
+        if pieces:
+            found = F.when(state["odd"], F.concat(state["spans"], pieces(part, state["at"]))).otherwise(state["spans"])
+        else:
+            span = F.array(F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end")))
+            found = F.when(state["odd"] & keep(part), F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), found.alias("spans"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), _none().alias("spans"))
@@ -68,13 +75,16 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of the candidate's windows (0 if it is shorter than one).
+def _over_windows(candidate: Column, window: int, first: Column, seen_one, kinds: bool = False) -> Column:
+    """Fold ``seen_one`` (of result, entropy in bits, kinds) over the candidate's windows, from ``first``.
 
     State: the count of each symbol in the window and the sum of count * log2(count);
     each step changes the counts of the symbol that leaves and of the one that enters.
+    With ``kinds`` the numbers of its upper-case letters, lower-case letters, digits and
+    symbols that are not hexadecimal are kept in the bytes of one number.
     """
     codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    kind_of = F.array(F.lit(0), *(F.lit(c.isupper() + (c.islower() << 8) + (c.isdigit() << 16) + ((c not in "0123456789abcdefABCDEF") << 24)) for c in ALPHABET))
 
     def pairs(own: Column) -> Column:
         leaving = F.concat(F.array_repeat(F.lit(0), window), own)
@@ -89,27 +99,67 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
         total = state["total"] - (term(n_out) - term(n_out - 1)) + (term(n_in + 1) - term(n_in))
         seen = state["seen"] + 1
         counts = F.transform(state["counts"], lambda c, k: c + (k + 1 == pair["i"]).cast("int") - (k + 1 == pair["o"]).cast("int"))
-        entropy = F.when(seen >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), seen.alias("seen"), F.greatest(state["best"], entropy).alias("best"))
+        has = state["kinds"] + F.get(kind_of, pair["i"]) - F.get(kind_of, pair["o"]) if kinds else state["kinds"]
+        result = F.when(seen >= window, seen_one(state["result"], F.log2(F.lit(float(window))) - total / window, has)).otherwise(state["result"])
+        return F.struct(counts.alias("counts"), total.alias("total"), seen.alias("seen"), has.alias("kinds"), result.alias("result"))
+
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("seen"), F.lit(0).alias("kinds"), first.alias("result"))
+    return F.aggregate(_let(codes, pairs), start, step, lambda s: s["result"])
+
+
+def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy, in bits, of the candidate's windows (0 if it is shorter than one)."""
+    return _over_windows(candidate, window, F.lit(0.0), lambda best, entropy, _: F.greatest(best, entropy))
+
+
+def _high(stretch: Column) -> Column:
+    """Whether some window of a stretch reaches the bar of its own class or of the stretch's."""
+    own = F.when(F.lit(False), F.lit(99.0))
+    for looks, least in CLASSES.values():
+        own = own.when(F.regexp_like(stretch, F.lit(looks)), F.lit(least))
+
+    def reaches(bar: Column):
+        def seen_one(found: Column, entropy: Column, kinds: Column) -> Column:
+            upper, lower, digits, not_hex = (F.shiftright(kinds, 8 * i).bitwiseAND(F.lit(255)) for i in range(4))
+            plain = upper + lower + digits == WINDOW
+            every = (upper > 0) & (lower > 0) & (digits > 0)
+            high = (entropy >= bar) | (not_hex == 0) & (entropy >= CLASSES["hex"][1]) | every & (entropy >= F.when(plain, F.lit(CLASSES["alnum"][1])).otherwise(F.lit(CLASSES["base64"][1])))
+            few = {"lower": upper == 0, "upper": lower == 0, "letters": digits == 0}
+            for name, (least_upper, least_lower, least_digits, least) in NARROW.items():
+                high = high | plain & few[name] & (upper >= least_upper) & (lower >= least_lower) & (digits >= least_digits) & (entropy >= least)
+            return found | ((entropy >= CLASSES["hex"][1]) & high)
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("seen"), F.lit(0.0).alias("best"))
-    return F.aggregate(_let(codes, pairs), start, step, lambda s: s["best"])
+        return seen_one
+
+    # words of one case, with other symbols or not, reach no bar
+    mixed = F.regexp_like(stretch, F.lit("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]"))
+    return (F.char_length(stretch) >= WINDOW) & mixed & _let(F.coalesce(own, F.lit(99.0)), lambda bar: _over_windows(stretch, WINDOW, F.lit(False), reaches(bar), kinds=True))
 
 
 def _entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates of high windowed entropy that are not allowed and do not overlap base spans."""
-
-    def is_secret(part: Column) -> Column:
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | F.regexp_like(part, F.lit(pattern))
-        bar = F.when(F.lit(False), F.lit(99.0))
-        for looks, least in CLASSES.values():
-            bar = bar.when(F.regexp_like(part, F.lit(looks)), F.lit(least))
-        return F.when(allowed | bar.isNull(), F.lit(False)).otherwise(window_entropy(part) >= bar)
-
-    found = _matches(text, CANDIDATE, KINDS.index("entropy"), is_secret)
-    return _let(base, lambda own: F.filter(found, lambda c: ~F.exists(own, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    """The pieces of candidates, between base spans, that have a window of high entropy clear of the allow-list."""
+    allowed = F.lit("|".join(ALLOWED))
+
+    def is_secret(piece: Column) -> Column:
+        stretches = F.split(F.regexp_replace(piece, allowed, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+        return F.exists(F.filter(stretches, lambda _, i: i % 2 == 0), _high)
+
+    def pieces(part: Column, at: Column) -> Column:
+        end = at + F.char_length(part)
+        inside = F.filter(base, lambda b: (b["start"] < end) & (at < b["end"]))
+        ordered = F.array_sort(F.transform(inside, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+
+        def span(start: Column, stop: Column) -> Column:
+            return F.struct(F.lit(KINDS.index("entropy")).alias("kind"), start.alias("start"), stop.alias("end"))
+
+        def step(state: Column, b: Column) -> Column:
+            return F.struct(F.greatest(state["at"], b["end"]).alias("at"), F.concat(state["out"], F.array(span(state["at"], b["start"]))).alias("out"))
+
+        gaps = F.aggregate(ordered, F.struct(at.alias("at"), _none().alias("out")), step, lambda s: F.concat(s["out"], F.array(span(s["at"], end))))
+        piece = lambda g: F.substring(part, (g["start"] - at + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+        return F.filter(gaps, lambda g: (g["end"] - g["start"] >= WINDOW) & is_secret(piece(g)))
+
+    return _matches(text, CANDIDATE, KINDS.index("entropy"), pieces=pieces)
 
 
 def spans(text: Column) -> Column:
