@@ -51,3 +51,11 @@ def test_page_parsing():
     assert langid.declared_language('<HTML xml:lang="PT-br">') == "pt"
     assert langid.declared_language('<meta http-equiv="content-language" content="es">') == "es"
     assert langid.declared_language("<p lang=de>") is None
+
+
+def test_declared_language_is_searched_in_the_whole_page():
+    for long in ("<!--" + "x" * 100_000 + "-->", "<style>" + "p{} " * 30_000 + "</style>", "<p>" * 50_000):
+        assert langid.declared_language(long + "<html lang=fr>") == "fr"
+        assert langid.declared_language(long + '<meta http-equiv="content-language" content="es">') == "es"
+    assert langid.declared_language("<!-- <html lang=de> --><script>'<html lang=fr>'</script><html lang=en>") == "en"
+    assert langid.declared_language("<html <meta content-language content= " * 30_000) is None

@@ -37,8 +37,9 @@ MOST_LANGUAGES = 64
 _hidden = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _tag = re.compile(r"<[^>]*>?")
 _entity = re.compile(r"&(?:[a-zA-Z]+|#x?[0-9a-fA-F]+);")
-_declared = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
-_meta = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_heads = re.compile(_hidden.pattern + r"|<(html|meta)\b([^>]*)", re.S | re.I)
+_declared = re.compile(r"\b(?:xml:)?lang\s*+=\s*+[\"']?\s*+([A-Za-z]{2,3})", re.I)
+_meta = re.compile(r"content\s*+=\s*+[\"']?\s*+([A-Za-z]{2,3})", re.I)
 _lower = np.arange(256, dtype=np.uint32)
 _lower[65:91] += 32
 
@@ -49,10 +50,21 @@ def visible_text(html: str) -> str:
 
 
 def declared_language(html: str) -> str | None:
-    """The primary tag of the html element's lang, else of a content-language meta element; lower-cased."""
-    head = html[: 1 << 16]
-    found = _declared.search(head) or _meta.search(head)
-    return found[1].lower() if found else None
+    """The primary tag of the html element's lang, else of a content-language meta element; lower-cased.
+
+    The tags of the whole page are scanned once, those in comments, scripts and the like left out.
+    """
+    meta = None
+    for tag in _heads.finditer(html):
+        if not tag[2]:
+            continue
+        if tag[2].lower() == "html":
+            if found := _declared.search(tag[3]):
+                return found[1].lower()
+        elif meta is None and (at := tag[3].lower().find("content-language")) >= 0:
+            values = _meta.findall(tag[3], at)
+            meta = values[-1].lower() if values else None
+    return meta
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
