@@ -59,3 +59,15 @@ def test_declared_language_is_searched_in_the_whole_page():
         assert langid.declared_language(long + '<meta http-equiv="content-language" content="es">') == "es"
     assert langid.declared_language("<!-- <html lang=de> --><script>'<html lang=fr>'</script><html lang=en>") == "en"
     assert langid.declared_language("<html <meta content-language content= " * 30_000) is None
+
+
+def test_every_language_of_the_documents_is_modelled(spark):
+    rng = random.Random(8)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(70)}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=30))
+    documents = spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(words)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, None, f"<p>{text(lang)}</p>") for i, lang in enumerate(words)], "page_id long, url string, html string")
+    names, blocks = langid.train(documents)
+    assert names == sorted(words) and len(blocks) == 2
+    got = {r.page_id: r for r in langid.identify(pages, documents).select("page_id", "lang", "text_lang").collect()}
+    assert [got[i].text_lang for i in range(70)] == [got[i].lang for i in range(70)] == list(words)

@@ -22,17 +22,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Shared, arrow_map, materialize
+from .storage import arrow_map, materialize
 from .textkit import U, text_bytes
 
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 60.0
 SMOOTH = 2.0
 SAMPLE = 400
-MOST_LANGUAGES = 64
+#: Languages are modelled in blocks of so many, each a table of 16 MB; a worker keeps KEPT_BLOCKS of them loaded.
+LANGUAGE_BLOCK, KEPT_BLOCKS = 64, 4
 
 _hidden = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _tag = re.compile(r"<[^>]*>?")
@@ -76,55 +78,66 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return ((code * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64)
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages (of at most MOST_LANGUAGES, the most frequent) and their log trigram probabilities (BUCKETS, languages).
+def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[Broadcast]]:
+    """All languages, in order, and their log trigram probabilities: a broadcast (BUCKETS, languages) table for each block.
 
     About ``sample`` documents of each language are counted, chosen by a hash of
     doc_id. Without labelled documents there are no languages.
     """
+    spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = documents.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return [], np.zeros((BUCKETS, 0))
-    names = sorted(r[0] for r in counts)
+    counts = sorted((r[0], r[1]) for r in documents.groupBy("lang").count().collect())
+    return [r[0] for r in counts], [spark.sparkContext.broadcast(_table(documents, counts[at : at + LANGUAGE_BLOCK], sample)) for at in range(0, len(counts), LANGUAGE_BLOCK)]
+
+
+def _table(documents: DataFrame, counts: list[tuple[str, int]], sample: int) -> np.ndarray:
+    """The log trigram probabilities of the languages in ``counts`` (language, documents)."""
+    place = {r[0]: i for i, r in enumerate(counts)}
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, sample / r[1]))))
     chosen = documents.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < F.lit(1_000_000) * F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def run(batches):
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, lang in enumerate(batch.column(0).to_pylist()):
-                total[names.index(lang)] += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
+                total[place[lang]] += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
         at, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[at, bucket], pa.int64())], ["at", "bucket", "n"])
+        for i in range(0, len(at), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(at[part], pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(total[at[part], bucket[part]], pa.int64())], ["at", "bucket", "n"])
 
-    table = np.full((BUCKETS, len(names)), 0.5)
-    for at, bucket, n in chosen.select("lang", "text").transform(arrow_map, run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n")).collect():
-        table[bucket, at] += n
-    return names, np.log(table / table.sum(axis=0))
+    table = np.full((BUCKETS, len(place)), 0.5)
+    found = chosen.select("lang", "text").transform(arrow_map, run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table[found["bucket"].to_numpy(), found["at"].to_numpy()] += found["n"].to_numpy()
+    return np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
+def evidence(pages: DataFrame, names: list[str], model: list[Broadcast]) -> DataFrame:
     """(page_id, url, declared, n_text, text array<double>): what each page's html says.
 
     ``text`` has the tempered log likelihoods, their largest being 0; a page without text has zeros.
     """
-    shared = Shared(pages.sparkSession, model.astype(np.float32))
 
     def run(batches):
         for batch in batches:
-            table = shared.value
-            declared, sizes, values = [], [], []
+            declared, grams = [], []
             for i in range(batch.num_rows):
                 html = batch.column(2)[i].as_py() or ""
-                grams = trigrams(np.frombuffer(visible_text(html).encode(), np.uint8))
-                mean = table[grams].mean(axis=0, dtype=np.float64) if len(grams) else np.zeros(len(names))
-                mean = mean * min(len(grams), TEXT_WEIGHT)
+                grams.append(trigrams(np.frombuffer(visible_text(html).encode(), np.uint8)).astype(np.uint16))
                 declared.append(declared_language(html))
-                sizes.append(len(grams))
-                values.append(mean - mean.max())
-            lists = pa.array([v.tolist() for v in values], pa.list_(pa.float64()))
+            sizes = [len(g) for g in grams]
+            means = np.zeros((len(grams), len(names)))
+            for block, shared in enumerate(model):
+                own = slice(block * LANGUAGE_BLOCK, (block + 1) * LANGUAGE_BLOCK)
+                for i, g in enumerate(grams):
+                    if len(g):
+                        means[i, own] = shared.value[g].mean(axis=0, dtype=np.float64) * min(len(g), TEXT_WEIGHT)
+                if block >= KEPT_BLOCKS:
+                    # loaded again from the worker's file for the next batch
+                    shared.__dict__.pop("_value", None)
+            values = means - means.max(axis=1, keepdims=True)
+            lists = pa.array(values.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(sizes, pa.int64()), lists], ["page_id", "url", "declared", "n_text", "text"])
 
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -173,13 +186,15 @@ def identify(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> Da
     base = F.array(*map(F.lit, overall))
     size = F.array(*(F.lit(x) for x in everything))
 
-    # markup and path code have at most languages + 2 values: their tables are literals
+    # markup and path code have at most languages + 2 values: one small row each
     logs = [F.col("text")]
     for column in ("markup", "code"):
         sums = {r[0]: r[1] for r in _sum_by(rows, column, names, "sums").collect()}
         every = [*names, "other", "none"]
-        table = F.create_map(*(x for v in every for x in (F.lit(v), F.array(*(F.lit(float(np.log(((sums.get(v) or [0.0] * len(names))[i] + SMOOTH / len(every)) / (everything[i] + SMOOTH)))) for i in range(len(names)))))))
-        logs.append(table[F.col(column)])
+        table = [(v, [float(np.log(((sums.get(v) or [0.0] * len(names))[i] + SMOOTH / len(every)) / (everything[i] + SMOOTH))) for i in range(len(names))]) for v in every]
+        table = rows.sparkSession.createDataFrame(table, f"{column} string, {column}_log array<double>")
+        rows = rows.join(F.broadcast(table), column, "left")
+        logs.append(F.col(f"{column}_log"))
     hosts, domains, suffixes = (_sum_by(rows, c, names, f"{c}_sums") for c in ("host", "domain", "suffix"))
     rows = rows.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
     nothing = F.array_repeat(F.lit(0.0), len(names))
