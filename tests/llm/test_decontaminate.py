@@ -73,3 +73,23 @@ def test_index_finds_all_within_radius():
         flips = [sum(1 << int(b) for b in rng.choice(64, distance, replace=False)) for _ in range(200)]
         prints = index.prints[0] ^ np.array(flips, dtype=np.uint64)
         assert len(index.near(prints, 30)[0]) == (200 if distance <= decontaminate.RADIUS else 0)
+
+
+def test_documents_shorter_than_the_item_are_compared_whole(docs, spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate([15, 50, 59, 4, 6])]
+    rows = [(10 * i + cut, " ".join(item.split()[cut:] if i % 2 else item.split()[: len(item.split()) - cut])) for i, item in items for cut in range(6)]
+    rows += [(100, " ".join(items[1][1].split()[:20])), (101, "w1x0"), (102, "")]
+    expected = {}
+    for d, text in rows:
+        words = text.split()
+        for i, item in items:
+            own = item.split()
+            size, n = min(5, len(own)), min(len(own), len(words))
+            best = max(((similarity(shingled(words[s : s + n], size), shingled(own, size)), -s, n) for s in range(len(words) - n + 1)), default=(0, 0, 0))
+            if best[0] >= 0.8:
+                expected[(d, i)] = (-best[1], best[2], round(best[0], 9))
+    assert {11, 12, 21, 22} <= {d for d, _ in expected}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.window_start, r.window_words, round(r.similarity, 9)) for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert got == expected
+    assert {r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in expected}

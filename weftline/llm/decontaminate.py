@@ -1,7 +1,8 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 For each item of n words, all n-word windows of all documents are searched for
-fingerprints within ``RADIUS`` of the item's. Fingerprints (64 bits, a majority
+fingerprints within ``RADIUS`` of the item's; a document of fewer words is itself
+the window. Fingerprints (64 bits, a majority
 vote of word hashes) are cut into BLOCKS blocks; by the pigeonhole principle two
 fingerprints within RADIUS differ by at most BLOCK_RADIUS bits in some block, so
 looking up every block value among all values within BLOCK_RADIUS of an item's
@@ -139,19 +140,18 @@ class Items:
             held = np.concatenate([[0], np.cumsum(np.where(hit, weights, 0))])
             total = np.concatenate([[0], np.cumsum(weights)])
             for n in lengths:
-                if n > len(words):
-                    continue
-                span = n - size + 1
+                width = min(n, len(words))
+                span = width - size + 1
                 start = np.flatnonzero(held[span:] - held[:-span] >= threshold * (total[span:] - total[:-span]) - 1e-9)
                 if not len(start):
                     continue
                 ones = _ones(words) if ones is None else ones
-                for window, item in zip(*self.near(_vote(ones[start + n] - ones[start], n), n), strict=True):
+                for window, item in zip(*self.near(_vote(ones[start + width] - ones[start], width), n), strict=True):
                     at = int(start[window])
                     s = _similarity(_weighted(values[at : at + span], weights[at : at + span]), self.sets[item])
                     if s >= threshold and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
-                        best[item] = (s, at, int(np.bitwise_count(_vote((ones[at + n] - ones[at])[None], n)[0] ^ self.prints[item])))
-        return [(int(self.ids[i]), at, int(self.lengths[i]), distance, s) for i, (s, at, distance) in best.items()]
+                        best[item] = (s, at, int(np.bitwise_count(_vote((ones[at + width] - ones[at])[None], width)[0] ^ self.prints[item])))
+        return [(int(self.ids[i]), at, min(int(self.lengths[i]), len(words)), distance, s) for i, (s, at, distance) in best.items()]
 
     def _by_size(self):
         for size in self.known:
@@ -166,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Only pairs
     with a similarity of at least ``threshold`` are put out; of equally similar
-    windows the first counts. window_start counts words from 0.
+    windows the first counts. window_start counts words from 0. A document of
+    fewer words than an item is compared with it as a whole.
 
     Null and empty texts, on either side, hold nothing. An item of fewer than k
     words has one shingle, all its words. Rows of a repeated doc_id or item_id
