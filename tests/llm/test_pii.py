@@ -78,3 +78,16 @@ def test_native_plan_and_empty_table(docs):
     frame = pii.replace(docs(ROWS), "k")
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
     assert pii.replace(docs(ROWS).limit(0), "k").collect() == []
+
+
+def test_telephone_numbers_in_other_formats(docs):
+    numbers = ["+14155552671", "+49 30 1234567", "415 555 2671", "+4930 1234567", "+49 (0)30 123456", "+33 1 23 45 67 89", "030 1234567", "01 23 45 67 89", "+358401234567", "+1 4155552671"]
+    rows = [(i, f"call {n}, or not") for i, n in enumerate(numbers)] + [(100, "12 apples, 100 200 of 2024-01-02 and 01-02-2024, +12 +1 2"), (101, "+14155552671 12 apples")]
+    got = {r.doc_id: r for r in pii.replace(docs(rows), "k").collect()}
+    for i, n in enumerate(numbers):
+        new = re.fullmatch("call (.*), or not", got[i].text)[1]
+        assert got[i].n_entities == 1 and new != n and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", n)
+    assert got[0].text[5:7] == "+1" and got[1].text[5:8] == "+49" and got[8].text[5:9] == "+358"
+    assert re.sub("[^0-9]", "", got[0].text) == re.sub("[^0-9]", "", got[9].text) and re.sub("[^0-9]", "", got[1].text) == re.sub("[^0-9]", "", got[3].text)
+    assert got[100].n_entities == 0 and got[101].text.endswith(" 12 apples")
+    assert pii.collisions(pii.surrogates(docs(rows), "k")).collect() == []

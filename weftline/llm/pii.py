@@ -62,13 +62,17 @@ SOUNDS = [
 ]
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Country codes of one and two digits; the others have three.
+_CODES = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])[2-6](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<=[0-9][ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<=[0-9][ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"
+    # + and 7 to 15 digits, together or apart; national numbers with a leading 0, by spaces
+    r"|(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{6,14}|\+[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}|(?=(?:[0-9] ?){7,15}(?![0-9]))0[0-9]{1,4}(?: [0-9]{2,8}){1,4})(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -180,8 +184,8 @@ def _gender(entity: Column) -> Column:
 
 
 def _country(entity: Column) -> Column:
-    """The + and country code of a telephone number, if it has one set apart."""
-    return F.regexp_extract(entity, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)
+    """The + and country code of a telephone number: as set apart, else by the codes' numbering; empty without a +."""
+    return F.regexp_extract(entity, rf"^(\+(?:[0-9]{{1,3}}(?=[ ./(-])|{_CODES}))", 1)
 
 
 def surrogate(entity: Column, key: str) -> Column:
