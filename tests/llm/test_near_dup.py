@@ -78,6 +78,57 @@ def test_repeated_rows_and_empty_table(docs, spark):
     assert near_dup.near_duplicates(docs(rows).limit(0)).collect() == []
 
 
+def flipped(n):
+    """Words of 2**n letters a and b that every polynomial hash modulo 2**64 takes for equal from n = 11 on."""
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(n):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_ids_that_are_null_or_repeated_between_near_copies(docs):
+    base = [f"w{i}" for i in range(60)]
+    changed = lambda at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    tail = " ".join(f"t{i}" for i in range(60))
+    near_tail = tail.replace("t3 ", "u3 ")
+    rows = [(1, changed({0, 1, 2})), (None, " ".join(base)), (2, changed({57, 58, 59}))]
+    rows += [(70, "first text of seventy " * 9 + "end"), (70, tail), (90, "first text of seventy " * 9 + "end"), (30, near_tail), (30, near_tail), (30, near_tail)]
+    rows += [(None, "nobody owns this text"), (None, "nobody owns this text"), (None, None)]
+    got = near_dup.near_duplicates(docs(rows), k=3, percent=85).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in got if r.component_id is not None) == [x for x in brute(rows, 3, 85) if x[2] is not None]
+    assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and len(got) == len(rows)
+
+
+def test_words_that_polynomial_hashes_confuse(docs):
+    a, b = flipped(11)
+    c, d = flipped(7)
+    rows = [(1, f"{a} {c}"), (2, f"{b} {c}"), (3, f"{a} {d}"), (4, f"{a.upper()} {c}")]
+    got = near_dup.near_duplicates(docs(rows), k=1, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1)]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_loose_bucket_in_small_blocks(docs, monkeypatch, block):
+    """Many groups whose bases resemble each other below the threshold share buckets: several components, several blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "FAN", 5)
+    rng = random.Random(3)
+    root = [f"b{i}" for i in range(200)]
+    rows = []
+    for group in range(12):
+        base = root[:]
+        for _ in range(9):
+            base[rng.randrange(200)] = f"g{group}x{rng.randrange(999)}"
+        for _ in range(8):
+            copy = base[:]
+            copy[rng.randrange(200)] = f"e{rng.randrange(999)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = near_dup.near_duplicates(docs(rows), k=3, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 80)
+    assert len({r.component_id for r in got}) > 1
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (300, 5))

@@ -8,7 +8,8 @@ partitions, batches or retries.
 
 No piece spans the place before a space that follows another character, so the
 posterior factors there: each distinct stretch between such places is filtered
-once a batch, and every occurrence is sampled on its own.
+once a batch, and every occurrence is sampled on its own. Stretches are found
+equal by hash and then compared byte by byte.
 
 Spaces are pieces' U+2581; one is put before each text and taken off again on
 decoding. A U+2581 of the text itself, like any character without a piece, is
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Shared, arrow_map
-from .textkit import U, chunks, hash_sums, mix, span_hashes, text_bytes, word_hashes
+from .textkit import U, chunks, hash_sums, mix, same_spans, span_hashes, text_bytes, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x20
@@ -71,7 +72,7 @@ def vocabulary(pieces: list[tuple[bytes, float]], byte_pieces: dict[int, int], i
         raise ValueError("a piece has a space after another character")
     data = np.frombuffer(b"".join(spelled), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in spelled])
-    hashes = word_hashes(data, ends - [len(p) for p in spelled], ends, fold=False)
+    hashes = span_hashes(hash_sums(data), ends - [len(p) for p in spelled], ends)
     order = np.argsort(hashes)
     hashes = hashes[order]
     slots = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
@@ -143,7 +144,7 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     wide = np.where(flat < 0x80, 1, np.where(flat < 0xE0, 2, np.where(flat < 0xF0, 3, 4)))
     lead = (flat < 0x80) | (flat >= 0xC0)
     lone = np.ones(len(flat), dtype=bool)
-    live, sums = np.flatnonzero(lead), hash_sums(flat, fold=False)
+    live, sums = np.flatnonzero(lead), hash_sums(flat)
     for n in v.lengths:
         live = live[left[live] >= n]
         if not len(live):
@@ -189,6 +190,19 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     return lengths[final], ids[final], share, np.searchsorted(target, np.arange(base[-1])), base[:-1]
 
 
+def _kinds(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sample of each distinct stretch, and each stretch's place among the samples; equal means equal bytes."""
+    _, sample, kind = np.unique(word_hashes(data, starts, starts + sizes, fold=False), return_index=True, return_inverse=True)
+    own = sample[kind]
+    odd = np.flatnonzero((sizes != sizes[own]) | ~same_spans(data, starts, starts[own], np.minimum(sizes, sizes[own])))
+    more: dict[bytes, int] = {}
+    for i in odd:
+        kind[i] = more.setdefault(data[starts[i] : starts[i] + sizes[i]].tobytes(), len(sample))
+        if kind[i] == len(sample):
+            sample = np.append(sample, i)
+    return sample, kind
+
+
 def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
     """Yield (row, ids of all rows of a chunk in order, where each row's begin)."""
     for row, data, offsets in chunks(column, CHUNK_BYTES):
@@ -201,7 +215,7 @@ def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
         starts = _stretches(data, rows[:-1], v.inner)
         sizes = np.diff(np.append(starts, len(data)))
         first = np.searchsorted(starts, rows)
-        _, sample, kind = np.unique(word_hashes(data, starts, starts + sizes, fold=False), return_index=True, return_inverse=True)
+        sample, kind = _kinds(data, starts, sizes)
         lengths, ids, share, begin, base = _lattice(data, starts[sample], sizes[sample], v)
         own = np.repeat(np.arange(len(first) - 1), np.diff(first))
         nth = np.arange(len(starts)) - first[own]

@@ -1,12 +1,16 @@
 """Words and word shingles of Arrow text batches, in numpy over the UTF-8 bytes.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased;
-both rules are safe on UTF-8. A word's hash comes from prefix sums of a
-polynomial modulo 2**64, so that no Python object is made for a word.
+both rules are safe on UTF-8. A word's hash chains a 64-bit mixer over its
+lanes of eight bytes, all words at once, so that no Python object is made for a
+word; two words of the same length up to eight bytes never share a hash, others
+with a chance of 2**-64. Words of more than LONG bytes are digested one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,9 +21,9 @@ _space = np.zeros(256, dtype=bool)
 _space[[0x20, 9, 10, 11, 12, 13]] = True
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
-_letters = np.random.default_rng(20240607).integers(1, 2**64 - 1, 256, dtype=np.uint64)[_fold]
-_exact_letters = np.random.default_rng(20240607).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_letters = np.random.default_rng(20240607).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+_STEP = U(_BASE)
 _powers: list = [None, None]
 
 
@@ -82,24 +86,65 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hash_sums(data: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Prefix sums from which the hash of any span follows."""
+def hash_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any short span follows."""
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((_letters if fold else _exact_letters)[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    np.cumsum(_letters[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of overlapping spans, for look-ups of spans far shorter than 1024 bytes: from there on a polynomial modulo 2**64 is no sound hash."""
     found = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
     return mix(found + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+LONG = 256
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def lanes(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """For each byte the eight bytes from there on, as an integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _fold[data] if fold else data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, of its A-Z-folded form if ``fold``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return span_hashes(hash_sums(data, fold), starts, ends)
+    eight, left = lanes(data, fold), ends - starts
+    out = mix(left.astype(np.uint64) + _STEP)
+    for i in np.flatnonzero(left > LONG):
+        own = data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((_fold[own] if fold else own).tobytes(), digest_size=8).digest(), "little")
+    live = np.flatnonzero((left > 0) & (left <= LONG))
+    place, left, own = starts[live], left[live], out[live]
+    while len(live):
+        own = mix(own ^ (eight[place] & _KEEP[np.minimum(left, 8)]))
+        out[live] = own
+        on = np.flatnonzero(left > 8)
+        live, place, left, own = live[on], place[on] + 8, left[on] - 8, own[on]
+    return out
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a[i] and at b[i], sizes[i] of each, are equal."""
+    out = np.ones(len(a), dtype=bool)
+    for i in np.flatnonzero((sizes > LONG) & (a != b)):
+        out[i] = np.array_equal(data[a[i] : a[i] + sizes[i]], data[b[i] : b[i] + sizes[i]])
+    eight = lanes(data)
+    live = np.flatnonzero((sizes > 0) & (sizes <= LONG) & (a != b))
+    at = 0
+    while len(live):
+        keep = _KEEP[np.minimum(sizes[live] - at, 8)]
+        equal = (eight[a[live] + at] & keep) == (eight[b[live] + at] & keep)
+        out[live[~equal]] = False
+        at += 8
+        live = live[equal & (sizes[live] > at)]
+    return out
 
 
 _PLACE = np.random.default_rng(7).integers(1, 2**64 - 1, 64, dtype=np.uint64) | U(1)
