@@ -108,7 +108,7 @@ def test_words_that_polynomial_hashes_confuse(docs):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1)]
 
 
-@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize("block", [(7, 9), near_dup.BLOCK])
 def test_loose_bucket_in_small_blocks(docs, monkeypatch, block):
     """Many groups whose bases resemble each other below the threshold share buckets: several components, several blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", block)

@@ -36,8 +36,8 @@ from .components import components
 from .storage import arrow_map, materialize
 from .textkit import U, chunks, distinct, mix, shingles, text_bytes, word_hashes, word_spans
 
-#: A block has about so many members at most, and about so many shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
+#: A block has about a sixteenth of its bucket's members, but from the first to the second number of them, and at most about so many shingles.
+BLOCK, BLOCK_SHINGLES = (256, 2048), 1 << 18
 #: Rows of one key that are joined under one part of it.
 FAN = 256
 SLACK = 6 * 0.033
@@ -353,7 +353,8 @@ def _sets_of(docs: DataFrame, classes: DataFrame, k: int, short: bool) -> DataFr
     wanted = materialize(classes.select("id", "sample_doc", F.col("text_key").alias("sample_key")), "wanted")
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     same = keyed.doc_id.eqNullSafe(wanted.sample_doc) & (keyed.text_key == wanted.sample_key)
-    sets = materialize(full_sets(keyed.join(wanted, same).select("id", "text"), k, short), "sets")
+    # wanted grows with the corpus; both sides are dealt by text key, which only repeated rows share
+    sets = materialize(full_sets(keyed.join(wanted.hint("merge"), same).select("id", "text"), k, short), "sets")
     if sets.count() == wanted.count():
         return sets
     # some row occurs more than once
@@ -373,7 +374,8 @@ def _within_buckets(members: DataFrame, comps: DataFrame, sketches: DataFrame, s
     in_main = lambda value: F.sum(F.when(F.col("rest"), 0).otherwise(value))
     one, size = F.lit(1), F.col("n_shingles")
     counts = rows.groupBy("band", "bucket").agg(F.max("n").alias("n"), in_rest(one).alias("n_rest"), in_main(one).alias("n_main"), in_rest(size).alias("w_rest"), in_main(size).alias("w_main"))
-    blocks = lambda s: F.ceil(F.greatest(F.col(f"n_{s}") / BLOCK, F.col(f"w_{s}") / BLOCK_SHINGLES)).cast("int").alias(f"b_{s}")
+    block = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
+    blocks = lambda s: F.ceil(F.greatest(F.col(f"n_{s}") / block, F.col(f"w_{s}") / BLOCK_SHINGLES)).cast("int").alias(f"b_{s}")
     counts = counts.where("n_rest > 0 and n_rest + n_main > 1").select("band", "bucket", _parts("n"), blocks("rest"), blocks("main"))
     rows = rows.join(counts, bucket)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("b_rest")).otherwise(F.col("b_main"))).cast("int")
