@@ -60,7 +60,7 @@ def test_equals_brute_force(docs, spark):
 def test_blocks_of_items_give_the_same(docs, spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)], "item_id long, text string")
     rows = docs([(i, "before " + " ".join(f"w{i}x{j}" for j in range(20)) + " after") for i in range(9)])
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8000)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, items).collect()} == {(i, i) for i in range(9)}
     assert decontaminate.contaminated(rows, items.limit(0)).collect() == []
     assert decontaminate.contaminated(rows.limit(0), items).collect() == []
@@ -93,3 +93,43 @@ def test_documents_shorter_than_the_item_are_compared_whole(docs, spark):
     got = {(r.doc_id, r.item_id): (r.window_start, r.window_words, round(r.similarity, 9)) for r in decontaminate.contaminated(docs(rows), bench).collect()}
     assert got == expected
     assert {r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in expected}
+
+
+def test_structure_is_as_small_as_estimated():
+    import pickle
+
+    rng = random.Random(8)
+    for n in (2, 20, 60):
+        texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for _ in range(2000)]
+        size = len(pickle.dumps(decontaminate.Items(list(range(2000)), texts, 5)))
+        assert size <= sum(decontaminate.ITEM_BYTES + decontaminate.TEXT_BYTES * len(t) for t in texts)
+
+
+def test_long_texts_are_voted_on_in_strides(monkeypatch):
+    words = np.random.default_rng(1).integers(1, 2**63, 500, dtype=np.uint64)
+    starts = np.array([0, 1, 2, 90, 91, 300, 301, 470])
+    whole = decontaminate._prints(words, starts, 30)
+    monkeypatch.setattr(decontaminate, "STRIDE", 7)
+    assert (decontaminate._prints(words, starts, 30) == whole).all()
+    assert (whole == [decontaminate._vote(decontaminate._ones(words[s : s + 30])[-1:], 30)[0] for s in starts]).all()
+
+
+def test_recall_at_the_threshold(docs, spark):
+    """Edited passages by their similarity: the Hamming radius loses under a tenth of them in each band."""
+    rng = random.Random(11)
+    vocabulary = [f"{rng.choice('bcdfgt')}{rng.randrange(2000)}" for _ in range(900)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(25, 60)))) for i in range(120)]
+    rows, expected = [], {}
+    for i, item in items:
+        for e in range(1, 6):
+            words = item.split()
+            for j in rng.sample(range(len(words)), e) if e % 2 else range(len(words) - e, len(words)):
+                words[j] = f"new{rng.randrange(10**6)}"
+            s = similarity(shingled(words, 5), shingled(item.split(), 5))
+            if s >= 0.8:
+                expected[(len(rows), i)] = s
+            rows.append((len(rows), " ".join(["before", "this", *words, "and", "after"])))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = {pair for pair, s in expected.items() if low <= s < high}
+        assert len(own) > 20 and len(own & found) >= 0.9 * len(own)

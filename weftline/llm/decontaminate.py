@@ -4,9 +4,10 @@ For each item of n words, all n-word windows of all documents are searched for
 fingerprints within ``RADIUS`` of the item's; a document of fewer words is itself
 the window. Fingerprints (64 bits, a majority
 vote of word hashes) are cut into BLOCKS blocks; by the pigeonhole principle two
-fingerprints within RADIUS differ by at most BLOCK_RADIUS bits in some block, so
-looking up every block value among all values within BLOCK_RADIUS of an item's
-finds every such pair. Candidates are confirmed by the exact similarity of
+fingerprints within RADIUS differ by at most BLOCK_RADIUS bits in some block.
+Items are entered under all block values within ITEM_FLIPS of their own, and
+windows look up all within the remaining flips of theirs, which finds every such
+pair. Candidates are confirmed by the exact similarity of
 weighted shingle multisets: sum of min over sum of max of the counts, each
 shingle weighted by the bytes of its words.
 
@@ -27,15 +28,26 @@ from pyspark.sql import functions as F
 from .storage import Shared, arrow_map
 from .textkit import U, chunks, mix, shingles, word_hashes, word_spans
 
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS, ITEM_FLIPS = 4, 16, 3, 1
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Items are broadcast in blocks of at most about so many bytes of text; each block is one pass over the documents.
-BLOCK_BYTES = 8 << 20
+#: The search structure over one block of items has about so many bytes at most; each block is one pass over the documents.
+BLOCK_BYTES = 64 << 20
+#: What an item takes in the structure, and what each byte of its text does; both are upper estimates.
+ITEM_BYTES, TEXT_BYTES = 1500, 16
+#: Window starts whose words are voted on together.
+STRIDE = 4096
 
-_NEAR = np.array([sum(1 << b for b in some) for r in range(BLOCK_RADIUS + 1) for some in itertools.combinations(range(BLOCK_BITS), r)], dtype=np.uint64)
 _BIT = np.arange(64, dtype=np.uint64)
 
 
+def _flips(most: int) -> np.ndarray:
+    """All block values with at most so many bits."""
+    return np.array([sum(1 << b for b in some) for r in range(most + 1) for some in itertools.combinations(range(BLOCK_BITS), r)], dtype=np.uint64)
+
+
+_ITEM_NEAR, _WINDOW_NEAR = _flips(ITEM_FLIPS), _flips(BLOCK_RADIUS - ITEM_FLIPS)
+
+
 def _ones(words: np.ndarray) -> np.ndarray:
     """Prefix sums (words + 1, 64) of the bits of the words' hashes."""
     sums = np.zeros((len(words) + 1, 64), dtype=np.int32)
@@ -47,6 +59,19 @@ def _vote(ones: np.ndarray, n: int) -> np.ndarray:
     return ((2 * ones >= n).astype(np.uint64) << _BIT).sum(axis=1, dtype=np.uint64)
 
 
+def _prints(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of the windows of ``width`` words at the rising ``starts``; memory goes with the width, not with the text."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        end = int(np.searchsorted(starts, starts[at] + STRIDE))
+        own = starts[at:end] - starts[at]
+        ones = _ones(words[starts[at] : starts[end - 1] + width])
+        out[at:end] = _vote(ones[own + width] - ones[own], width)
+        at = end
+    return out
+
+
 def _weighted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles with their weight times their count."""
     found, at = np.unique(values, return_inverse=True)
@@ -71,26 +96,31 @@ class Items:
             kept += [(ids[row + i], words[first[i] : first[i + 1]], sizes[first[i] : first[i + 1]]) for i in range(len(first) - 1) if first[i] < first[i + 1]]
         self.ids = np.array([x[0] for x in kept], dtype=np.int64)
         self.lengths = np.array([len(x[1]) for x in kept], dtype=np.int64)
-        self.sets = [_weighted(*self.shingles(w, s, min(k, len(w)))) for _, w, s in kept]
+        sets = [_weighted(*self.shingles(w, s, min(k, len(w)))) for _, w, s in kept]
+        self.first = np.concatenate([[0], np.cumsum([len(v) for v, _ in sets])]).astype(np.int64)
+        self.values, self.weights = (np.concatenate([x[i] for x in sets]) if sets else np.zeros(0) for i in (0, 1))
         self.prints = np.array([_vote(_ones(w)[-1:], len(w))[0] for _, w, _ in kept], dtype=np.uint64)
         #: item shingles by their number of words: a sorted array and a small table of low bits before it
         self.known = {}
         for size in np.unique(np.minimum(self.lengths, k)):
-            values = np.unique(np.concatenate([s[0] for s, n in zip(self.sets, self.lengths, strict=True) if min(n, k) == size]))
-            table = np.zeros(1 << int(np.clip(np.ceil(np.log2(64 * len(values))), 12, 26)), dtype=bool)
+            values = np.unique(self.values[np.repeat(np.minimum(self.lengths, k) == size, np.diff(self.first))])
+            table = np.zeros(1 << int(np.clip(np.ceil(np.log2(32 * len(values))), 12, 26)), dtype=bool)
             table[values & U(len(table) - 1)] = True
             self.known[int(size)] = (values, table)
         # (item length, block, block value) -> items, for all values near an item's
         keys, owners = [], []
         for block in range(BLOCKS):
             own = (self.prints >> U(block * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)
-            near = own[:, None] ^ _NEAR
-            keys.append((self._key(self.lengths[:, None], block) | near).ravel())
-            owners.append(np.repeat(np.arange(len(kept)), len(_NEAR)))
+            keys.append((self._key(self.lengths[:, None], block) | (own[:, None] ^ _ITEM_NEAR)).ravel())
+            owners.append(np.repeat(np.arange(len(kept), dtype=np.int32), len(_ITEM_NEAR)))
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
 
+    def set_of(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.first[item], self.first[item + 1])
+        return self.values[own], self.weights[own]
+
     @staticmethod
     def _key(length: np.ndarray | int, block: int) -> np.ndarray:
         return (np.asarray(length).astype(np.uint64) << U(20)) | U(block << BLOCK_BITS)
@@ -112,24 +142,34 @@ class Items:
         return out
 
     def near(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) index pairs with fingerprints within RADIUS."""
-        windows, items = [], []
-        for block in range(BLOCKS):
-            keys = self._key(length, block) | ((prints >> U(block * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1))
-            low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            count = high - low
-            window = np.repeat(np.arange(len(prints)), count)
-            items.append(self.owners[np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)])
-            windows.append(window)
-        pairs = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
-        window, item = np.divmod(pairs, max(len(self.ids), 1))
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[close], item[close]
+        """(window, item) index pairs with fingerprints within RADIUS, for items of this length."""
+        low, high = np.searchsorted(self.keys, [self._key(length, 0), self._key(length + 1, 0)])
+        keys, owners = self.keys[low:high], self.owners[low:high]
+        distinct, kind = np.unique(prints, return_inverse=True)
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(distinct), STRIDE):
+            some = distinct[at : at + STRIDE]
+            for block in range(BLOCKS):
+                own = (some >> U(block * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)
+                wanted = (self._key(length, block) | (own[:, None] ^ _WINDOW_NEAR)).ravel()
+                low = np.searchsorted(keys, wanted)
+                hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == wanted) if len(keys) else low[:0]
+                low, high = low[hit], np.searchsorted(keys, wanted[hit], "right")
+                count = high - low
+                items = owners[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+                found.append((at + np.repeat(hit // len(_WINDOW_NEAR), count)) * len(self.ids) + items)
+        which, item = np.divmod(np.unique(np.concatenate(found)), max(len(self.ids), 1))
+        close = np.bitwise_count(distinct[which] ^ self.prints[item]) <= RADIUS
+        which, item = which[close], item[close]
+        # back from distinct fingerprints to windows
+        order = np.argsort(kind, kind="stable")
+        first = np.searchsorted(kind[order], which)
+        count = np.bincount(kind, minlength=len(distinct))[which]
+        return order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)], np.repeat(item, count)
 
     def search(self, words: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, distance, similarity) of the best window of each item that one document holds."""
         best: dict[int, tuple[float, int, int]] = {}
-        ones = None
         for size, lengths in self._by_size():
             if len(words) < size:
                 continue
@@ -145,12 +185,12 @@ class Items:
                 start = np.flatnonzero(held[span:] - held[:-span] >= threshold * (total[span:] - total[:-span]) - 1e-9)
                 if not len(start):
                     continue
-                ones = _ones(words) if ones is None else ones
-                for window, item in zip(*self.near(_vote(ones[start + width] - ones[start], width), n), strict=True):
+                prints = _prints(words, start, width)
+                for window, item in zip(*self.near(prints, n), strict=True):
                     at = int(start[window])
-                    s = _similarity(_weighted(values[at : at + span], weights[at : at + span]), self.sets[item])
+                    s = _similarity(_weighted(values[at : at + span], weights[at : at + span]), self.set_of(item))
                     if s >= threshold and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
-                        best[item] = (s, at, int(np.bitwise_count(_vote((ones[at + width] - ones[at])[None], width)[0] ^ self.prints[item])))
+                        best[item] = (s, at, int(np.bitwise_count(prints[window] ^ self.prints[item])))
         return [(int(self.ids[i]), at, min(int(self.lengths[i]), len(words)), distance, s) for i, (s, at, distance) in best.items()]
 
     def _by_size(self):
@@ -195,7 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
 def _item_blocks(benchmark: DataFrame, k: int):
     """Yield the broadcast search structures of all items; the hash deals them out evenly over blocks of bounded size."""
     benchmark = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = benchmark.agg(F.sum(ITEM_BYTES + TEXT_BYTES * F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     for block in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()

@@ -37,7 +37,7 @@ from .storage import arrow_map, materialize
 from .textkit import U, chunks, distinct, mix, shingles, text_bytes, word_hashes, word_spans
 
 #: A block has about a sixteenth of its bucket's members, but from the first to the second number of them, and at most about so many shingles.
-BLOCK, BLOCK_SHINGLES = (256, 2048), 1 << 18
+BLOCK, BLOCK_SHINGLES = (1024, 4096), 1 << 18
 #: Rows of one key that are joined under one part of it.
 FAN = 256
 SLACK = 6 * 0.033
