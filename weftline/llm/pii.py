@@ -1,19 +1,25 @@
 """Personal data in text replaced by keyed surrogates, with built-in column functions only.
 
-Entities are e-mail addresses, IPv4 addresses, payment card numbers, US social
-security numbers, telephone numbers and names after a title. Each is reduced to
-its symbols (letters, digits or octets) and these are permuted by a keyed
-Feistel network whose rounds add, symbol by symbol, a digest of the other half
-modulo the size of the symbol's class. So a surrogate has the type, script,
-case, length and punctuation of what it replaces. The map is a bijection on
-each shape: different entities stay different, and mentions of one entity
-(whatever their case or punctuation) stay the same. Further rules:
-
-* cards keep their first digit and whether the Luhn check holds;
+Entities are e-mail addresses, IPv4 and IPv6 addresses, IBANs, payment card
+numbers, US social security numbers, telephone numbers, names after a title, and
+further mentions of those names in the same text. Each is reduced to its symbols
+(letters, digits or octets). A keyed Feistel network, whose rounds add, symbol by
+symbol, a digest of the other half modulo the size of the symbol's class, maps
+them to others; one symbol is moved on by one there, and the network is run
+backwards. The result is a bijection on each shape without fixed points: it has
+the type, script, case, length and punctuation of what it replaces, different
+entities stay different, mentions of one entity (whatever their case or
+punctuation) stay the same, and none stays what it was. Further rules:
+
+* cards keep their first digit and whether the Luhn check holds, IBANs their
+  country and the remainder of their check;
 * telephone numbers keep a leading + and country code;
 * e-mail addresses keep their dots and top-level domain;
-* a given name that is on the list of its title's gender and script is permuted
-  within that list, others letter by letter among vowels and among consonants.
+* a given name that is on the list of its title's gender and script (of any
+  gender after Dr or Prof) is permuted within that list; other words of names go
+  letter by letter among vowels and among consonants, or within their script;
+* the words of a name have their surrogates wherever they follow each other in a
+  text that holds the name with a title, its last word also alone.
 
 ``surrogates`` lists entities with their replacements and checks that no two
 entities of a type share one; ``replace`` refuses to go on if any do.
@@ -34,6 +40,7 @@ ROUNDS = 4
 TITLES = {
     "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "Госпожа", "Κυρία"],
+    "n": ["Dr", "Dra", "Prof", "Doctor", "Professor"],
 }
 NAMES = {
     ("m", "latin"): "James John Robert Michael William David Richard Thomas Peter Paul Hans Karl Stefan Jürgen Jean Pierre Michel Louis José Juan Carlos Luis",
@@ -55,27 +62,47 @@ LETTERS = [
     "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ",
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    "ąęěůűőāēīōūėįųćčďđğłńňřśşšťźżžĺľŕșțģķļņ",
+    "ĄĘĚŮŰŐĀĒĪŌŪĖĮŲĆČĎĐĞŁŃŇŘŚŞŠŤŹŻŽĹĽŔȘȚĢĶĻŅ",
+    "ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹơưă",
+    "ẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼẾỀỂỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴỶỸƠƯĂ",
+    "άέήίόύώϊϋ",
+    "ΆΈΉΊΌΎΏΪΫ",
+    "іїєґўђјљњћџ",
+    "ІЇЄҐЎЂЈЉЊЋЏ",
 ]
 SOUNDS = [
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñýÿß", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÑÝ",
     "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "АЕИОУЫЭЮЯЁ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "ąęěůűőāēīōūėįų", "ćčďđğłńňřśşšťźżžĺľŕșțģķļņ", "ĄĘĚŮŰŐĀĒĪŌŪĖĮŲ", "ĆČĎĐĞŁŃŇŘŚŞŠŤŹŻŽĹĽŔȘȚĢĶĻŅ", *LETTERS[11:],
+]
+#: First and last code points of scripts whose letters are permuted among themselves.
+SCRIPTS = [
+    (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0531, 0x0556), (0x0561, 0x0586), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10D0, 0x10FA),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 ]
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Country codes of one and two digits; the others have three.
 _CODES = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
+_TITLED = rf"(?:(?:{_TITLE})\.? )+"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_WORD = r"\p{Lu}[\p{L}'’-]+|[\p{Lo}][\p{Lo}'’-]+"
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}})(?![0-9A-Za-z:]|\.[0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}(?:0[2-9]|[1-8][0-9]|9[0-8])(?=(?: ?[A-Z0-9])*? ?[0-9])(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[2-6](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<=[0-9][ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"
     # + and 7 to 15 digits, together or apart; national numbers with a leading 0, by spaces
-    r"|(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{6,14}|\+[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}|(?=(?:[0-9] ?){7,15}(?![0-9]))0[0-9]{1,4}(?: [0-9]{2,8}){1,4})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    r"|(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{6,14}|\+[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}|(?=(?:[0-9] ?){7,15}(?![0-9]))0[0-9]{1,4}(?: [0-9]{2,8}){1,4}|(?=(?:[0-9][ /-]?){7,15}(?![0-9]))0[0-9]{2,4}[/-][0-9]{2,8}(?:[ /-][0-9]{2,8}){0,3})(?![0-9A-Za-z])",
+    "name": rf"(?<![\p{{L}}]){_TITLED}(?:{_WORD})(?: (?:{_WORD})){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+WORDS = rf"{ENTITY}|(?<![\p{{L}}])(?:{_WORD})"
 _MARK = "\u0001"
 
 
@@ -85,52 +112,79 @@ def _let(value: Column, body) -> Column:
 
 
 def _place(c: Column, classes: list[str]) -> Column:
-    """struct(index, first, size) of a character's class in the joined classes; index -1 outside them."""
-    at = F.instr(F.lit("".join(classes)), c) - 1
-    first, size, start = F.when(at < 0, F.lit(0)), F.when(at < 0, F.lit(1)), 0
-    for own in classes:
-        first, size, start = first.when(at < start + len(own), F.lit(start)), size.when(at < start + len(own), F.lit(len(own))), start + len(own)
-    return F.struct((at - F.coalesce(first, F.lit(0))).alias("v"), F.coalesce(first, F.lit(0)).alias("first"), F.coalesce(size, F.lit(1)).alias("size"), (at >= 0).alias("known"), c.alias("c"))
+    """struct(v, first, size, kind, c) of a character: its place in its class, a list (kind 1) or a script (2); kind 0 is of none."""
+    starts = [len("".join(classes[:i])) for i in range(len(classes))]
+    scripts = sorted(SCRIPTS) if len(classes) > 1 else []
+
+    def within(place: Column, firsts: list[int], sizes: list[int], kind: int) -> Column:
+        # the last class that begins at or before the place
+        k = F.size(F.filter(F.lit(firsts), lambda f: f <= place)) - 1
+        return _let(k, lambda i: F.struct((place - F.get(F.lit(firsts), i)).cast("int").alias("v"), F.get(F.lit(firsts), i).alias("first"), F.get(F.lit(sizes), i).alias("size"), F.lit(kind).alias("kind"), c.alias("c")))
+
+    at, code = F.instr(F.lit("".join(classes)), c) - 1, F.ascii(c)
+    out = F.when(at >= 0, within(at, starts, [len(x) for x in classes], 1))
+    if scripts:
+        own = within(code, [a for a, _ in scripts], [b - a + 1 for a, b in scripts], 2)
+        out = out.when((code >= scripts[0][0]) & (own["v"] < own["size"]), own)
+    return out.otherwise(F.struct(F.lit(0).alias("v"), F.lit(0).alias("first"), F.lit(1).alias("size"), F.lit(0).alias("kind"), c.alias("c")))
 
 
-def _feistel(symbols: Column, key: Column) -> Column:
-    """Permute array<struct<v, size, ...>>: v is changed within its size, everything else stays.
+def _feistel(symbols: Column, key: Column, back: bool = False) -> Column:
+    """Permute array<struct<v, size, ...>>: v is changed within its size, everything else stays; ``back`` gives the inverse.
 
     Each round replaces (left, right) by (right, left + digest of right); after an even number of rounds both are back in place.
     """
 
     def step(state: Column, n: Column) -> Column:
-        seen = F.array_join(F.transform(state["b"], lambda s: s["v"].cast("string")), ",")
-        digest = F.sha2(F.concat_ws("|", key, n.cast("string"), F.size(state["a"]).cast("string"), seen).cast("binary"), 256)
+        still, moved = (state["a"], state["b"]) if back else (state["b"], state["a"])
+        seen = F.array_join(F.transform(still, lambda s: s["v"].cast("string")), ",")
+        digest = F.sha2(F.concat_ws("|", key, n.cast("string"), F.size(moved).cast("string"), seen).cast("binary"), 256)
 
         def add(hex_: Column) -> Column:
             def one(s: Column, i: Column) -> Column:
                 more = F.conv(F.substring(hex_, F.pmod(i * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
-                return s.withField("v", F.pmod(s["v"] + more, s["size"]).cast("int"))
+                return s.withField("v", F.pmod(s["v"] - more if back else s["v"] + more, s["size"]).cast("int"))
 
-            return F.transform(state["a"], one)
+            return F.transform(moved, one)
 
-        return F.struct(state["b"].alias("a"), _let(digest, add).alias("b"))
+        new = _let(digest, add)
+        return F.struct(new.alias("a"), still.alias("b")) if back else F.struct(still.alias("a"), new.alias("b"))
 
     def halves(own: Column) -> Column:
         h = F.floor(F.size(own) / 2).cast("int")
         return F.struct(F.slice(own, F.lit(1), h).alias("a"), F.slice(own, h + 1, F.size(own) - h).alias("b"))
 
-    rounds = F.array(*map(F.lit, range(ROUNDS)))
+    rounds = F.array(*map(F.lit, reversed(range(ROUNDS)) if back else range(ROUNDS)))
     return F.aggregate(rounds, _let(symbols, halves), step, lambda s: F.concat(s["a"], s["b"]))
 
 
+def _moved(symbols: Column, key: Column) -> Column:
+    """A permutation without fixed points: there by the network, one step on in the first symbol that has others in its class, and back."""
+
+    def on(own: Column) -> Column:
+        first = F.array_position(F.transform(own, lambda s: s["size"] > 1), True) - 1
+        return F.transform(own, lambda s, i: F.when(i == first, s.withField("v", F.pmod(s["v"] + 1, s["size"]).cast("int"))).otherwise(s))
+
+    return _feistel(_let(_feistel(symbols, key), on), key, back=True)
+
+
 def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _permuted(text: Column, key: Column, classes: list[str]) -> Column:
     """The text with its characters permuted within their classes; characters of none stay, and key the rest."""
-    places = F.transform(_characters(text), lambda c: _place(c, classes))
-    fixed = F.array_join(F.transform(_characters(text), lambda c: F.when(F.instr(F.lit("".join(classes)), c) > 0, ".").otherwise(c)), "")
-    mixed = _feistel(F.transform(places, lambda s: s.withField("v", F.when(s["known"], s["v"]).otherwise(0))), F.concat_ws("|", key, fixed))
     joined = F.lit("".join(classes))
-    return F.array_join(F.transform(mixed, lambda s: F.when(s["known"], F.substring(joined, s["first"] + s["v"] + 1, F.lit(1))).otherwise(s["c"])), "")
+
+    def mixed(places: Column) -> Column:
+        fixed = F.array_join(F.transform(places, lambda s: F.when(s["kind"] > 0, ".").otherwise(s["c"])), "")
+        return _moved(places, F.concat_ws("|", key, fixed))
+
+    def spelled(s: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.hex(s["first"] + s["v"]), 4, "0")), "UTF-16BE")
+        return F.when(s["kind"] == 1, F.substring(joined, s["first"] + s["v"] + 1, F.lit(1))).when(s["kind"] == 2, code).otherwise(s["c"])
+
+    return F.array_join(F.transform(_let(F.transform(_characters(text), lambda c: _place(c, classes)), mixed), spelled), "")
 
 
 def _recased(new: Column, like: Column) -> Column:
@@ -142,12 +196,12 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _refilled(text: Column, digits: Column) -> Column:
-    """``text`` with its digits replaced, in order, by ``digits``."""
+def _refilled(text: Column, digits: Column, what: str = "[0-9]") -> Column:
+    """``text`` with its digits (or ``what``) replaced, in order, by ``digits``."""
 
     def fill(own: Column) -> Column:
         def step(state: Column, c: Column) -> Column:
-            digit = c.rlike("[0-9]")
+            digit = c.rlike(what)
             return F.struct((state["n"] + digit.cast("int")).alias("n"), F.concat(state["out"], F.when(digit, F.substring(own, state["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
         return F.aggregate(_characters(text), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
@@ -170,17 +224,29 @@ def kind_of(entity: Column) -> Column:
     return out.otherwise(F.lit("phone"))
 
 
+def _remainder(iban: Column) -> Column:
+    """An IBAN (without spaces) modulo 97: letters count from 10, the first four characters come last."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.char_length(iban)), F.substring(iban, 1, 4))
+    values = F.transform(_characters(turned), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(values, F.lit(0), lambda sum_, v: (sum_ * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
 def canonical(kind: Column, entity: Column) -> Column:
     """What all mentions of one entity have in common."""
     digits = _digits(entity)
-    name = F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " +", " ")
-    gendered = F.concat(_gender(entity), F.lit(":"), name)
-    return F.when(kind == "email", F.lower(entity)).when(kind == "ipv4", entity).when(kind == "name", gendered).when(kind == "phone", F.concat(_country(entity), digits)).otherwise(digits)
+    gendered = F.concat(_gender(entity), F.lit(":"), _untitled(entity))
+    same = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind == "ipv4", entity).when(kind == "name", gendered)
+    return same.when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "phone", F.concat(_country(entity), digits)).otherwise(digits)
+
+
+def _untitled(entity: Column) -> Column:
+    return F.regexp_replace(entity, rf"^{_TITLED}", "")
 
 
 def _gender(entity: Column) -> Column:
-    men = "|".join(TITLES["m"])
-    return F.when(entity.rlike(rf"^(?:{men})\.? "), "m").otherwise("f")
+    """Of the first title that has one; n if none does."""
+    given = lambda g: entity.rlike(rf"^(?:(?:{'|'.join(TITLES['n'])})\.? )*(?:{'|'.join(TITLES[g])})\.? ")
+    return F.when(given("m"), "m").when(given("f"), "f").otherwise("n")
 
 
 def _country(entity: Column) -> Column:
@@ -188,6 +254,32 @@ def _country(entity: Column) -> Column:
     return F.regexp_extract(entity, rf"^(\+(?:[0-9]{{1,3}}(?=[ ./(-])|{_CODES}))", 1)
 
 
+def _name_words(entity: Column, key: str) -> Column:
+    """array<struct<old, new>>: the words of a titled name and their surrogates."""
+    lists = [(g, F.array(*map(F.lit, names.split()))) for (g, _), names in NAMES.items()]
+
+    def of_words(words: Column) -> Column:
+        gender, rest = _gender(entity), F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
+        fits = lambda sex: gender.isin(sex, "n")
+        on_list = lambda w: reduce(lambda a, b: a | b, (fits(s) & F.array_contains(names, w) for s, names in lists))
+
+        def one(w: Column, i: Column) -> Column:
+            # a word alone is a family name, unless it is on a list
+            own = F.when((i > 0) | (F.size(words) == 1), F.lit(f"{key}|family")).otherwise(F.concat_ws("|", F.lit(f"{key}|given"), gender, rest))
+            # cycle walking: a spelled first name that falls on a list is permuted again, so that it meets no listed one
+            walk = lambda g, n: F.when((n == 0) | ((i == 0) & on_list(g)), _permuted(g, own, SOUNDS)).otherwise(g)
+            new = F.when(F.lit(False), F.lit(""))
+            for sex, names in lists:
+                n, at = F.size(names), F.array_position(names, w) - 1
+                shift = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|list"), gender, rest).cast("binary"), 256), 1, 6), 16, 10).cast("int")
+                new = new.when((i == 0) & fits(sex) & (at >= 0), F.get(names, F.pmod(at.cast("int") + 1 + F.pmod(shift, n - 1), n).cast("int")))
+            return new.otherwise(F.aggregate(F.array(*map(F.lit, range(5))), w, walk))
+
+        return F.transform(words, lambda w, i: F.struct(w.alias("old"), one(w, i).alias("new")))
+
+    return _let(F.split(_untitled(entity), " "), of_words)
+
+
 def surrogate(entity: Column, key: str) -> Column:
     """The replacement of one mention."""
     keyed = lambda name: F.lit(f"{key}|{name}")
@@ -199,7 +291,24 @@ def surrogate(entity: Column, key: str) -> Column:
 
     def ipv4(e: Column) -> Column:
         octets = F.transform(F.split(e, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("size")))
-        return F.array_join(F.transform(_feistel(octets, keyed("ipv4")), lambda s: s["v"].cast("string")), ".")
+        return F.array_join(F.transform(_moved(octets, keyed("ipv4")), lambda s: s["v"].cast("string")), ".")
+
+    def ipv6(e: Column) -> Column:
+        return _recased(_permuted(F.lower(e), keyed("ipv6"), ["0123456789abcdef"]), e)
+
+    def iban(e: Column) -> Column:
+        def of(own: Column) -> Column:
+            country, body = F.substring(own, 1, 2), F.substring(own, F.lit(5), F.char_length(own))
+            new = _permuted(body, F.concat_ws("|", keyed("iban"), country), LETTERS[:1] + LETTERS[2:3])
+
+            def checked(n: Column) -> Column:
+                # the check digits restore the remainder
+                check = F.pmod(_remainder(own) - _remainder(F.concat(country, F.lit("00"), n)), F.lit(97))
+                return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), n)
+
+            return _let(new, checked)
+
+        return _refilled(e, _let(F.replace(e, F.lit(" "), F.lit("")), of), "[A-Z0-9]")
 
     def card(e: Column) -> Column:
         def from_digits(d: Column) -> Column:
@@ -219,55 +328,57 @@ def surrogate(entity: Column, key: str) -> Column:
         return F.concat(code, _refilled(rest, _permuted(_digits(rest), F.concat_ws("|", keyed("phone"), code), LETTERS[:1])))
 
     def name(e: Column) -> Column:
-        title = F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)
-        words = F.split(F.substring(e, F.char_length(title) + 1, F.char_length(e)), " ")
-        gender = _gender(e)
-
-        def of_words(w: Column) -> Column:
-            given, family = w[0], F.array_join(F.slice(w, F.lit(2), F.size(w)), " ")
-            new_family = _permuted(family, F.concat_ws("|", keyed("family"), gender), SOUNDS)
-            spelled = lambda g: _permuted(g, F.concat_ws("|", keyed("given"), gender, family), SOUNDS)
-            lists = [(g, F.array(*map(F.lit, names.split()))) for (g, _), names in NAMES.items()]
-            on_list = lambda g: reduce(lambda a, b: a | b, ((gender == F.lit(s)) & F.array_contains(names, g) for s, names in lists))
-            # cycle walking: a spelled name that falls on a list is permuted again, so that it meets no listed one
-            other = spelled(given)
-            for _ in range(3):
-                other = _let(other, lambda g: F.when(on_list(g), spelled(g)).otherwise(g))
-            new = F.when(F.lit(False), F.lit(""))
-            for sex, names in lists:
-                n = F.size(names)
-                at = F.array_position(names, given) - 1
-                shift = F.conv(F.substring(F.sha2(F.concat_ws("|", keyed("list"), gender, family).cast("binary"), 256), 1, 6), 16, 10).cast("int")
-                new = new.when((gender == sex) & (at >= 0), F.get(names, F.pmod(at.cast("int") + 1 + F.pmod(shift, n - 1), n).cast("int")))
-            new = new.otherwise(other)
-            return F.concat(title, F.when(family == "", new).otherwise(F.concat_ws(" ", new, new_family)))
-
-        return _let(words, of_words)
+        return F.concat(F.regexp_extract(e, rf"^({_TITLED})", 1), _let(e, lambda own: F.array_join(F.transform(_name_words(own, key), lambda w: w["new"]), " ")))
 
     def chosen(e: Column) -> Column:
         kind = kind_of(e)
-        return F.when(kind == "email", email(e)).when(kind == "ipv4", ipv4(e)).when(kind == "card", card(e)).when(kind == "ssn", ssn(e)).when(kind == "name", name(e)).otherwise(phone(e))
+        return F.when(kind == "email", email(e)).when(kind == "ipv4", ipv4(e)).when(kind == "ipv6", ipv6(e)).when(kind == "iban", iban(e)).when(kind == "card", card(e)).when(kind == "ssn", ssn(e)).when(kind == "name", name(e)).otherwise(phone(e))
 
     return _let(entity, chosen)
 
 
-def _parts(text: Column) -> Column:
+def _parts(text: Column, pattern: str = ENTITY) -> Column:
     """The text cut at its entities: these are the elements at odd indexes."""
     text = F.translate(text, _MARK, "\u0002")
-    return F.split(F.regexp_replace(text, F.lit(ENTITY), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
 
 def _may_hold(text: Column) -> Column:
     """A quick necessary condition for an entity."""
-    return text.rlike(rf"[0-9][0-9 .()-]{{5}}|@|(?:{_TITLE})\.? \p{{Lu}}")
+    return text.rlike(rf"[0-9][0-9 ./()-]{{5}}|@|[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]{{9}}|:[0-9A-Fa-f]{{0,4}}:|{_TITLED}[\p{{Lu}}\p{{Lo}}]")
+
+
+def _mentions(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 1)
+
+
+def _names(parts: Column, key: str) -> Column:
+    """array<struct<old, next, new>>: words of the titled names of a text, each with the word that must follow it (null: any) and its surrogate."""
+
+    def pairs(words: Column) -> Column:
+        return F.transform(words, lambda w, i: F.struct(w["old"].alias("old"), F.get(words, i + 1)["old"].alias("next"), w["new"].alias("new")))
+
+    titled = F.filter(_mentions(parts), lambda e: e.rlike(rf"^{PATTERNS['name']}$") & e.rlike(rf"^{_TITLED}\S+ "))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(titled), lambda e: pairs(_name_words(e, key)))))
+
+
+def _replaced(parts: Column, names: Column, key: str) -> Column:
+    """The parts with surrogates for entities and for words of the names; without names all mentions are entities."""
+    entity = lambda p: p.rlike(rf"^(?:{ENTITY})$")
+
+    def one(p: Column, i: Column) -> Column:
+        follows = F.when(F.get(parts, i + 1) == " ", F.get(parts, i + 2))
+        known = F.filter(names, lambda n: (n["old"] == p) & (n["next"].isNull() | (n["next"] == follows)))
+        return F.when(i % 2 == 0, p).when((F.size(names) == 0) | entity(p), surrogate(p, key)).otherwise(F.coalesce(F.get(known, F.lit(0))["new"], p))
+
+    return F.transform(parts, one)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """(doc_id, type, entity, canonical): all mentions in ``docs`` (doc_id, text, ...)."""
     text = F.col("text").cast("string")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(_may_hold(F.col("text")))
-    mentions = F.filter(_parts(F.col("text")), lambda _, i: i % 2 == 1)
-    found = found.select("doc_id", F.explode(mentions).alias("entity")).withColumn("type", kind_of(F.col("entity")))
+    found = found.select("doc_id", F.explode(_mentions(_parts(F.col("text")))).alias("entity")).withColumn("type", kind_of(F.col("entity")))
     return found.select("doc_id", "type", "entity", canonical(F.col("type"), F.col("entity")).alias("canonical"))
 
 
@@ -284,19 +395,24 @@ def collisions(found: DataFrame) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with its entities replaced in text, and n_entities (a column of that name is replaced).
+    """``docs`` with its entities replaced in text, and n_entities, the number of replaced mentions (a column of that name is replaced).
 
     ValueError if two entities of a type would get the same surrogate. A null
     text stays null, with 0 entities; an empty one stays empty. A text without
     entities comes back unchanged, but for U+0001, which becomes U+0002 in texts
-    with entities. Rows are independent of each other and of doc_id.
+    with entities. Characters of no listed script stay; a mention of nothing else
+    is not counted. Rows are independent of each other and of doc_id.
     """
     clash = collisions(materialize(surrogates(docs, key), "surrogates")).limit(5).collect()
     if clash:
         raise ValueError(f"several entities share a surrogate under this key: {[tuple(r) for r in clash]}")
     text = F.col("text").cast("string")
     parts = F.when(_may_hold(text), _parts(text)).otherwise(F.array(text))
-    done = docs.drop("n_entities").withColumn("_parts", parts)
-    new = F.array_join(F.transform("_parts", lambda p, i: F.when(i % 2 == 1, surrogate(p, key)).otherwise(p)), "")
-    n = F.when(text.isNull(), 0).otherwise(F.floor(F.size("_parts") / 2)).cast("long")
-    return done.withColumns({"text": F.when(F.size("_parts") > 1, new).otherwise(text), "n_entities": n}).drop("_parts")
+    done = docs.drop("n_entities").withColumn("_parts", parts).withColumn("_names", F.when(F.size("_parts") > 1, _names(F.col("_parts"), key)))
+    # only a text with names is cut again, at its capitalized words too
+    again = F.size("_names") > 0
+    done = done.withColumn("_parts", F.when(again, _parts(text, WORDS)).otherwise(F.col("_parts")))
+    done = done.withColumn("_new", F.when(F.size("_parts") > 1, _replaced(F.col("_parts"), F.col("_names"), key)))
+    changed = F.size(F.filter(F.zip_with("_parts", "_new", lambda old, n: old != n), lambda x: x))
+    n = F.coalesce(F.when(F.size("_parts") > 1, changed), F.lit(0)).cast("long")
+    return done.withColumns({"text": F.when(F.size("_parts") > 1, F.array_join("_new", "")).otherwise(text), "n_entities": n}).drop("_parts", "_names", "_new")
