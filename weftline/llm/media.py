@@ -22,6 +22,7 @@ from .storage import arrow_map
 
 TILE = 32
 BATCH_BYTES = 4 << 20
+FAULTS = (ValueError, IndexError, OverflowError, TypeError, struct.error)
 _HEADER = re.compile(rb"P([1-6])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)")
 _NUMBER = re.compile(rb"(?:\s+|#[^\n]*\n)+(\d+)")
 
@@ -42,12 +43,41 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """A Netpbm (P1-P6) or uncompressed BMP (8, 24, 32 bits) image as (height, width) or (height, width, 3) samples.
+    """The samples of ``read``, as they are stored."""
+    return read(data)[0]
 
-    ValueError for anything else, and for truncated data.
+
+def read(data: bytes) -> tuple[np.ndarray, int, bool]:
+    """A Netpbm (P1-P7) or uncompressed BMP (1, 4, 8, 24, 32 bits) image: (height, width) or (height, width, 3) samples,
+    their largest possible value, and whether it stands for black (bitmaps).
+
+    Alpha channels are left out. ValueError for anything else, for truncated or empty images and for samples beyond the largest value.
     """
-    if data[:2] == b"BM":
-        return _decode_bmp(data)
+    try:
+        samples, top, black = _read_bmp(data) if data[:2] == b"BM" else _read_pam(data) if data[:2] == b"P7" else _read_pnm(data)
+    except FAULTS as error:
+        raise ValueError(str(error) or type(error).__name__) from error
+    if not samples.size:
+        raise ValueError("an image without samples")
+    if samples.max() > top:
+        raise ValueError("a sample beyond the largest value")
+    return samples, top, black
+
+
+def _raw(data: bytes, at: int, count: int, top: int) -> np.ndarray:
+    kind = np.dtype(">u2" if top > 255 else np.uint8)
+    if len(data) < at + count * kind.itemsize:
+        raise ValueError("truncated")
+    return np.frombuffer(data, kind, count, at)
+
+
+def _top(number: int) -> int:
+    if not 0 < number < 65536:
+        raise ValueError("a largest sample value out of range")
+    return number
+
+
+def _read_pnm(data: bytes) -> tuple[np.ndarray, int, bool]:
     match = _HEADER.match(data)
     if not match:
         raise ValueError("neither Netpbm nor BMP")
@@ -57,47 +87,59 @@ def decode(data: bytes) -> np.ndarray:
         number = _NUMBER.match(data, at)
         if not number:
             raise ValueError("no largest sample value")
-        at, top = number.end(), int(number[1])
-    channels = 3 if kind in (3, 6) else 1
-    count = height * width * channels
+        at, top = number.end(), _top(int(number[1]))
+    shape = (height, width, 3) if kind in (3, 6) else (height, width)
+    count = height * width * (3 if kind in (3, 6) else 1)
     if kind == 1:
-        values = np.array([c - 48 for c in re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:count]], dtype=np.uint8)
+        values = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:count], np.uint8) - np.uint8(48)
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n]*\n", b"", data[at:]).split()[:count], dtype=np.int64).astype(np.uint16 if top > 255 else np.uint8)
+        values = np.array(re.sub(rb"#[^\n]*\n", b"", data[at:]).split()[:count], dtype=np.int64)
+        if len(values) and values.min() < 0:
+            raise ValueError("a negative sample")
     elif kind == 4:
-        packed = np.frombuffer(data, np.uint8, offset=at + 1)[: height * -(-width // 8)]
-        if len(packed) < height * -(-width // 8):
-            raise ValueError("truncated")
-        values = np.unpackbits(packed.reshape(height, -1), axis=1)[:, :width].ravel()
+        stride = -(-width // 8)
+        values = np.unpackbits(_raw(data, at + 1, height * stride, 1).reshape(height, stride), axis=1)[:, :width].ravel()
     else:
-        kind_ = np.dtype(">u2" if top > 255 else np.uint8)
-        if len(data) < at + 1 + count * kind_.itemsize:
-            raise ValueError("truncated")
-        values = np.frombuffer(data, kind_, count, at + 1)
+        values = _raw(data, at + 1, count, top)
     if len(values) != count:
         raise ValueError("truncated")
-    return values.reshape((height, width, 3) if channels == 3 else (height, width))
+    if count and values.max() > top:
+        raise ValueError("a sample beyond the largest value")
+    return (values.astype(np.uint16 if top > 255 else np.uint8) if kind in (2, 3) else values).reshape(shape), top, kind in (1, 4)
+
 
+def _read_pam(data: bytes) -> tuple[np.ndarray, int, bool]:
+    head, end, _ = data.partition(b"ENDHDR\n")
+    fields = dict(line.split(None, 1) for line in head.splitlines()[1:] if line.strip() and not line.startswith(b"#") and len(line.split(None, 1)) == 2)
+    if not end or not {b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"} <= set(fields):
+        raise ValueError("an incomplete P7 header")
+    width, height, depth, top = (int(fields[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+    if depth not in (1, 2, 3, 4):
+        raise ValueError("a P7 image of other than 1 to 4 channels")
+    samples = _raw(data, len(head) + len(end), height * width * depth, _top(top)).reshape(height, width, depth)
+    return (samples[:, :, 0] if depth < 3 else samples[:, :, :3]), top, False
 
-def _decode_bmp(data: bytes) -> np.ndarray:
+
+def _read_bmp(data: bytes) -> tuple[np.ndarray, int, bool]:
     if len(data) < 54:
         raise ValueError("truncated")
     at, size = struct.unpack_from("<II", data, 10)
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing or bits not in (8, 24, 32) or width <= 0:
-        raise ValueError("not an uncompressed 8, 24 or 32 bit BMP")
+    if packing or bits not in (1, 4, 8, 24, 32) or width <= 0:
+        raise ValueError("not an uncompressed BMP of 1, 4, 8, 24 or 32 bits")
     up, height = height > 0, abs(height)
     stride = -(-width * bits // 32) * 4
-    if len(data) < at + stride * height:
-        raise ValueError("truncated")
-    rows = np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)[:, : width * bits // 8]
+    rows = _raw(data, at, stride * height, 255).reshape(height, stride)
     rows = rows[::-1] if up else rows
     if bits > 8:
-        return rows.reshape(height, width, bits // 8)[:, :, 2::-1]
-    colours = struct.unpack_from("<I", data, 46)[0] or 256
+        return rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1], 255, False
+    if bits < 8:
+        unpacked = np.unpackbits(rows, axis=1).reshape(height, -1, bits)
+        rows = (unpacked * (1 << np.arange(bits)[::-1]).astype(np.uint8)).sum(axis=2, dtype=np.uint8)
+    colours = struct.unpack_from("<I", data, 46)[0] or 1 << bits
     palette = np.frombuffer(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
-    out = palette[rows]
-    return out[:, :, 0] if (palette == palette[:, :1]).all() else out
+    out = palette[rows[:, :width]]
+    return (out[:, :, 0] if (palette == palette[:, :1]).all() else out), 255, False
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -116,20 +158,25 @@ def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     return (corner[1:, 1:] - corner[1:, :-1] - corner[:-1, 1:] + corner[:-1, :-1]) / area
 
 
-def gray(samples: np.ndarray) -> np.ndarray:
-    return samples if samples.ndim == 2 else samples.mean(axis=2)
+def gray(samples: np.ndarray, top: int = 255, black: bool = False) -> np.ndarray:
+    """Brightness from 0 to 255: the mean of the channels, scaled by the largest value."""
+    mean = samples if samples.ndim == 2 else samples.mean(axis=2)
+    if top != 255:
+        mean = mean * (255 / top)
+    return 255 - mean if black else mean
 
 
-def difference_hash(samples: np.ndarray) -> int:
+def difference_hash(brightness: np.ndarray) -> int:
     """64 bits: whether each cell of an 8 x 9 resized image is brighter than the one to its right."""
-    small = np.round(area_resize(gray(samples), 8, 9), 6)
+    small = np.round(area_resize(brightness, 8, 9), 6)
     return int.from_bytes(np.packbits(small[:, :-1] > small[:, 1:]).tobytes(), "big")
 
 
-def npy_tile(samples: np.ndarray, side: int = TILE) -> bytes:
+def npy_tile(brightness: np.ndarray, side: int = TILE) -> bytes:
     """The image resized to side x side 8-bit samples, as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(gray(samples), side, side)), 0, 255).astype(np.uint8))
+    small = np.clip(np.rint(np.round(area_resize(brightness, side, side), 6)), 0, 255)
+    np.save(out, np.ascontiguousarray(small, dtype=np.uint8))
     return out.getvalue()
 
 
@@ -175,8 +222,8 @@ def tiles(media: DataFrame, side: int = TILE) -> DataFrame:
         if data is None:
             return None, None, None
         try:
-            samples = decode(data)
-            return npy_tile(samples, side), f"{difference_hash(samples):016x}", None
+            brightness = gray(*read(data))
+            return npy_tile(brightness, side), f"{difference_hash(brightness):016x}", None
         except ValueError as error:
             return None, None, str(error)
 

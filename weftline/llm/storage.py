@@ -14,14 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset in local mode, as in tests.
+
+    ValueError where it is unset on a cluster, whose executors share no local folder.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         given = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables and archives of this application."""
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables and archives of this application; results not yet computed from them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -29,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     every later use sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/{name}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

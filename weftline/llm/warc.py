@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import arrow_map, materialize, shared_dir
+from .storage import arrow_map, materialize, session_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
+MOST_TASKS = 100_000
 STEP_BYTES = 1 << 16
 DEDUP_FROM = 100
 
@@ -71,17 +72,17 @@ class _Bytes:
     """A file read forwards in steps, from any place."""
 
     def __init__(self, file, start: int) -> None:
-        self.file, self.at, self.held = file, start, b""
+        self.file, self.at, self.held = file, start, bytearray()
 
     def drop_to(self, at: int) -> None:
-        self.held = self.held[at - self.at :] if at - self.at < len(self.held) else b""
+        del self.held[: at - self.at]
         self.at = at
 
-    def at_least(self, n: int) -> bytes:
+    def at_least(self, n: int) -> bytearray:
         """The bytes held from ``at`` on, n of them unless the file ends first."""
         if len(self.held) < n:
             self.file.seek(self.at + len(self.held))
-            self.held += self.file.read(max(n - len(self.held), STEP_BYTES))
+            self.held += self.file.read(max(n - len(self.held), STEP_BYTES))  # amortized: a bytearray grows in place
         return self.held
 
 
@@ -94,7 +95,7 @@ def _member(source: _Bytes, start: int) -> Record | None:
         held = source.at_least(fed + STEP_BYTES)
         if fed >= len(held):
             return None
-        piece = held[fed : fed + STEP_BYTES]
+        piece = bytes(held[fed : fed + STEP_BYTES])
         try:
             out += unpack.decompress(piece)
         except zlib.error:
@@ -166,11 +167,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "kind", "refers_to", "digest", "length", "payload").transform(arrow_map, run, "path string, size long, records long")
 
 
-def splits(spark: SparkSession, files: list[tuple[str, int]], most: int = SPLIT_BYTES) -> DataFrame:
-    """(path, start, end): byte ranges that cover the files, one for each task."""
-    rows = [(path, at, min(at + most, size)) for path, size in files for at in range(0, size, most)]
-    frame = spark.createDataFrame(rows, "path string, start long, `end` long")
-    return frame.repartitionByRange(len(rows), "path", "start") if rows else frame
+def splits(files: DataFrame, most: int = SPLIT_BYTES) -> DataFrame:
+    """(path, start, end): byte ranges that cover the files (path, size, ...), dealt evenly over up to MOST_TASKS tasks."""
+    whole = files.where("size > 0")
+    ranges = whole.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(most).cast("long"))).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + most, "size").alias("end"))
+    # rows are small, but each is a task's worth of work
+    n = whole.agg(F.sum(F.ceil(F.col("size") / most))).first()[0] or 1
+    return ranges.repartitionByRange(min(int(n), MOST_TASKS), "path", "start")
 
 
 def read_archives(ranges: DataFrame, folder: str) -> DataFrame:
@@ -226,10 +230,9 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     ValueError if not as many records are read as were written.
     """
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/warc"
-    # the manifest has a row for each file, as a listing would
-    files = materialize(write_archives(plan_records(pages), folder), "manifest").select("path", "size", "records").collect()
-    records = read_archives(splits(spark, sorted((r[0], r[1]) for r in files), split_bytes), folder)
+    folder = f"{session_dir(spark)}/{uuid.uuid4().hex}/warc"
+    files = materialize(write_archives(plan_records(pages), folder), "manifest")
+    records = read_archives(splits(files, split_bytes), folder)
     header = lambda name: F.col("headers").getItem(name)
     number = lambda name: F.nullif(F.regexp_extract(header(name), "urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
     revisit = header("warc-type") == "revisit"
@@ -242,7 +245,7 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     )
     # without blocks and urls the result is small; it is kept so that it can be counted before it is used
     found = materialize(found, "records")
-    written, read = sum(r[2] for r in files), found.count()
+    written, read = files.agg(F.sum("records")).first()[0] or 0, found.count()
     if written != read:
         raise ValueError(f"{written} records were written, but {read} read back")
     return found
