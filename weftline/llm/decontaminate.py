@@ -59,8 +59,10 @@ def _vote(ones: np.ndarray, n: int) -> np.ndarray:
     return ((2 * ones >= n).astype(np.uint64) << _BIT).sum(axis=1, dtype=np.uint64)
 
 
-def _prints(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of the windows of ``width`` words at the rising ``starts``; memory goes with the width, not with the text."""
+def _prints(words: np.ndarray, starts: np.ndarray, width: int, ones: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the windows of ``width`` words at the rising ``starts``; memory goes with the width, not with the text, unless ``ones`` of all words are given."""
+    if ones is not None:
+        return _vote(ones[starts + width] - ones[starts], width)
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -170,6 +172,7 @@ class Items:
     def search(self, words: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, distance, similarity) of the best window of each item that one document holds."""
         best: dict[int, tuple[float, int, int]] = {}
+        ones = None
         for size, lengths in self._by_size():
             if len(words) < size:
                 continue
@@ -185,7 +188,9 @@ class Items:
                 start = np.flatnonzero(held[span:] - held[:-span] >= threshold * (total[span:] - total[:-span]) - 1e-9)
                 if not len(start):
                     continue
-                prints = _prints(words, start, width)
+                if ones is None and len(words) <= STRIDE:
+                    ones = _ones(words)
+                prints = _prints(words, start, width, ones)
                 for window, item in zip(*self.near(prints, n), strict=True):
                     at = int(start[window])
                     s = _similarity(_weighted(values[at : at + span], weights[at : at + span]), self.set_of(item))
