@@ -99,3 +99,28 @@ def test_scan_tree_and_versions(spark, tmp_path):
 
 def test_symbols_helper():
     assert symbol("a", 1, 2)["exported"] is True
+
+
+def test_two_writers_and_a_crash_before_the_pointer(spark, tmp_path, monkeypatch):
+    from weftline.sources.snapshot import KEPT, SnapshotStore, VersionConflict
+
+    store = SnapshotStore(spark, str(tmp_path / "index"))
+    first = store.apply(frame(spark, service(), controller()))
+    # a writer that read the version before this one must not replace it
+    second = store.invalidate("k", "1")
+    with pytest.raises(VersionConflict):
+        store.publish(first.tables, first.version)
+    assert store.current().version == second.version
+    # two writers that both saw the second version: the number is taken
+    monkeypatch.setattr(store, "_number", lambda: 1)
+    monkeypatch.setattr(store, "_read", lambda number: second.version)
+    with pytest.raises(VersionConflict):
+        store.publish(second.tables, second.version)
+    monkeypatch.undo()
+    # tables written, pointer not: readers stay where they were
+    second["files"].write.parquet(f"{store.root}/v-lost/files")
+    assert store.current().version == second.version and store.current()["files"].count() == 2
+    for i in range(KEPT + 1):
+        last = store.invalidate("k", str(i + 2))
+    kept = [p for p in (tmp_path / "index").iterdir() if p.name.startswith("v-") and p.name != "v-lost"]
+    assert last.version in {p.name for p in kept} and first.version not in {p.name for p in kept} and second.version not in {p.name for p in kept}

@@ -29,7 +29,7 @@ def test_paths(spark):
         assert (value(spark, paths.request_method(F.col("t")), t=target), value(spark, paths.request_path(F.col("t")), t=target)) == (method, path)
     for spec, name in (("express", "express"), ("@a/b/c", "@a/b"), ("node:events", "node"), ("fs/promises", "node"), ("./x", None), ("lodash/fp", "lodash")):
         assert value(spark, paths.package_name(F.col("s")), s=spec) == name
-    assert value(spark, paths.repository_slug(F.col("d")), d="/src/My-Repo/") == "cw_my_repo"
+    assert value(spark, paths.repository_slug(F.col("d")), d="/src/My-Repo/") == "wl_my_repo"
     assert value(spark, paths.repository_url(F.col("r")), r="git+https://github.com/a/b.git") == "https://github.com/a/b"
     assert value(spark, paths.repository_url(F.col("r")), r="github:a/b") == "https://github.com/a/b"
     assert value(spark, paths.target_symbol(F.col("t")), t="a/b.ts#f") == "f" and value(spark, paths.target_file(F.col("t")), t=".\\a\\b.ts#f") == "a/b.ts"
@@ -123,13 +123,22 @@ def test_dependency_order(spark):
         assert sorted({r.cycle for r in rows if r.file == f and r.cycle}) == notes
 
 
+def closure(start, out):
+    seen, todo = set(), [start]
+    while todo:
+        for n in out[todo.pop()] - seen:
+            seen.add(n)
+            todo.append(n)
+    return seen
+
+
 @SOME
 @given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), min_size=1, max_size=16))
 def test_graph_searches_equal_brute_force(spark, links):
     edges = spark.createDataFrame(links, "src int, dst int")
     nodes = range(8)
     out = {n: {b for a, b in links if a == n} for n in nodes}
-    full = {n: graph._closure(n, out) for n in nodes}
+    full = {n: closure(n, out) for n in nodes}
     got = {(r.node, r.component) for r in graph.strong_components(edges).collect()}
     assert got == {(n, min(m for m in nodes if m == n or (m in full[n] and n in full[m]))) for n in nodes if any(m != n and m in full[n] and n in full[m] for m in nodes)}
     roots = spark.createDataFrame([(0,), (1,)], "r int")
@@ -220,3 +229,53 @@ def test_whole_walkthroughs_and_reuse(spark):
     assert (kept.section_id, kept.delta) == (1, 5) and kept.note == "1 reference dropped because the code it pointed to changed: o.ts:3"
     moved = freshness.relocate_references(refs, now.where("section_id = 1").join(section, "section_id").select("section_id", "file", "start", "end", "new_start"), sources)
     assert sorted((r.file, r.line, r.now) for r in moved.collect()) == [("f.ts", 6, 11), ("o.ts", 2, 4), ("o.ts", 3, None), ("same.ts", 9, 9)]
+
+
+def test_sweeps_and_cells_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    spans = [(i, "k" if i % 3 else "hot", s := rng.randrange(-50, 900), s + rng.choice([0, 1, 5, 60, 700]), ) for i in range(300)]
+    points = [(i, rng.choice(["k", "hot", "none"]), rng.randrange(-60, 1000)) for i in range(200)]
+    got = relational.innermost_enclosing(spark.createDataFrame(points, "id long, k string, at long"), spark.createDataFrame(spans, "id long, k string, start long, `end` long"), ["k"])
+    expected = {}
+    for i, k, at in points:
+        around = [(-s, e, j) for j, own, s, e in spans if own == k and s <= at <= e]
+        if around:
+            expected[i] = min(around)[2]
+    assert {r.id: r.span_id for r in got.collect()} == expected
+    lines = [(k, n) for _, k, n in points for _ in range(2)]
+    asked = [(i, k, rng.randrange(-100, 1100)) for i, (_, k, _) in enumerate(points)] + [(999, "absent", 3)]
+    got = relational.nearest_match(spark.createDataFrame(asked, "id long, k string, near long"), spark.createDataFrame(lines, "k string, line long"), ["k"])
+    expected = {i: min((abs(n - near), n) for own, n in lines if own == k)[1] for i, k, near in asked if k != "absent"}
+    assert {r.id: r.line for r in got.collect()} == expected
+    empty = spark.createDataFrame([], "id long, k string, start long, `end` long")
+    assert relational.innermost_enclosing(spark.createDataFrame(points, "id long, k string, at long"), empty, ["k"]).collect() == []
+
+
+def test_numbers_over_all_rows(spark):
+    rows = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "n long").repartition(5)
+    assert [(r.n, r.id) for r in relational.number_all(rows, ["n"], 10).orderBy("n").collect()] == [(i, i + 11) for i in range(101)]
+    assert relational.number_all(rows.limit(0), ["n"]).collect() == []
+
+
+def test_sql_effects_of_brackets_and_names():
+    from weftline.functions.sql_effects import effects
+
+    said = lambda sql: [e["detail"] for e in effects(sql)]
+    assert said('DELETE FROM "Shop".items USING x WHERE trim(both FROM name) = 1') == ["DELETE Shop.items"]
+    assert said("SELECT * FROM (SELECT 1 FROM a) q JOIN generate_series(1, 2) g ON true JOIN LATERAL (VALUES (1)) v ON true") == ["SELECT a"]
+    assert said("select count(( select max(x) from deep )) from top for update") == ["SELECT deep", "SELECT top"]
+    assert said("WITH RECURSIVE t(n) AS (SELECT 1), u AS MATERIALIZED (SELECT * FROM b) INSERT INTO c SELECT * FROM u, d") == ["SELECT b", "INSERT c"]
+    assert said("UPDATE ONLY x SET a = 1") == [] and said(")) FROM a (") == [] and said("FROM") == [] and said("") == []
+    assert said("x" * 10 + " FROM a" * 20000) == ["SELECT a"]
+
+
+def test_order_of_a_long_file():
+    from weftline.operators.graph import _ordered
+
+    n = 20000
+    chain = _ordered({i: f"f{i}" for i in range(n)}, [(i, i + 1) for i in range(n - 1)])
+    assert [s for s, _ in chain] == list(range(n - 1, -1, -1))
+    ring = _ordered({i: f"f{i}" for i in range(5)}, [(0, 1), (1, 0), (2, 0), (3, 4), (4, 3), (1, 3)])
+    assert [s for s, _ in ring] == [3, 4, 0, 1, 2] and ring[0][1].startswith("f3 and f4 call each other") and ring[4][1] is None

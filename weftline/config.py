@@ -38,7 +38,7 @@ class Config:
     ignore: list[str] = field(default_factory=list)
     wrappers: list[dict] = field(default_factory=list)
     pins: list[Pin] = field(default_factory=list)
-    database: str = "cw_repo"
+    database: str = "wl_repo"
     max_context_tokens: int = TOKENS
 
     def roots(self) -> list[str]:
@@ -55,7 +55,7 @@ def default(root: Path) -> Config:
     first = lambda names: next((n for n in names if (root / n).is_dir()), None)
     backend, frontend = first(BACKENDS), first(FRONTENDS)
     slug = re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", root.resolve().name.lower())) or "repo"
-    return Config(backend=backend if backend or frontend else ".", frontend=frontend, database=f"cw_{slug}"[:63])
+    return Config(backend=backend if backend or frontend else ".", frontend=frontend, database=f"wl_{slug}"[:63])
 
 
 def load(root: Path) -> Config:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import split_lines
 from .operators import contexts, render, routes
+from .operators.graph import settle
 from .sources.snapshot import Snapshot, SnapshotStore, plan_pass
 
 PINS = "caller string, method string, url string, route string, position int"
@@ -40,10 +41,12 @@ class Engine:
         had = dict(map(tuple, old["settings"].collect())) if old else {}
         if old and had.get("extraction") != wanted["extraction"]:
             old = self.store.invalidate("extraction", wanted["extraction"])
-        changed, removed, refreshed = (sorted(r[0] for r in x.collect()) for x in plan_pass(old, facts.select("path", "hash")))
-        if changed or removed or old is None or had.get("pins") != wanted["pins"]:
-            self.store.apply(facts.where(F.col("path").isin([*changed, *refreshed])), removed, refreshed, self.pins(pins), wanted)
-        return {"changed": len(changed), "removed": len(removed), "refreshed": len(refreshed)}
+        changed, removed, refreshed = (settle(x) for x in plan_pass(old, facts.select("path", "hash")))
+        counts = {name: x.count() for name, x in (("changed", changed), ("removed", removed), ("refreshed", refreshed))}
+        if counts["changed"] or counts["removed"] or old is None or had.get("pins") != wanted["pins"]:
+            asked = facts.join(changed.unionByName(refreshed), "path", "left_semi")
+            self.store.apply(asked, removed, refreshed, self.pins(pins), wanted)
+        return counts
 
     def snapshot(self) -> Snapshot:
         found = self.store.current()
@@ -145,11 +148,16 @@ class Engine:
             kind = contexts.PinNeeded if pick is not None and pick.error and "pin" in pick.error else contexts.TargetError
             raise kind(found.error or pick.error)
         server, notes = self._endpoint_text(got["endpoint"])
-        names = {r.symbol_id: r for r in contexts.symbols_with_ids(self.tables()).collect()}
         call = got["link"].first()
         ways = [r.asDict() for r in got["component"]["triggers"].where(F.col("api_call_id") == pick.api_call_id).orderBy("kind", "place", "label").collect()]
         ways.sort(key=lambda w: (w["kind"] != "event", w["place"], w["label"]))
         after = [r.callee_text for r in got["after_response"].orderBy("line").collect()]
+        # the symbols that the diagram names: the component, the caller, and what the shown path and the component own
+        asked = got["component"]["owners"].select("symbol_id").unionByName(self.spark.createDataFrame([(pick.component_id,), (call.symbol_id,)], "symbol_id string"))
+        shown = contexts.symbols_with_ids(self.tables())
+        on_path = [n for w in ways[:1] for n in w["path"]]
+        shown = shown.join(asked.distinct().withColumn("_asked", F.lit(True)), "symbol_id", "left").where(F.col("_asked") | F.col("name").isin(on_path)).drop("_asked")
+        names = {r.symbol_id: r for r in shown.collect()}
         comp, caller = names[pick.component_id], names[call.symbol_id]
         files = {s.name: s.file for s in names.values()}
         own = {names[r.symbol_id].name: names[r.symbol_id].file for r in got["component"]["owners"].collect()}

@@ -122,7 +122,7 @@ def repository_slug(directory: Column) -> Column:
     """A database name for a repository directory."""
     base = F.lower(F.regexp_extract(F.regexp_replace(directory, "/+$", ""), r"([^/]*)$", 1))
     slug = F.regexp_replace(F.regexp_replace(base, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.substring(F.concat(F.lit("cw_"), F.when(slug == "", "repo").otherwise(slug)), 1, 63)
+    return F.substring(F.concat(F.lit("wl_"), F.when(slug == "", "repo").otherwise(slug)), 1, 63)
 
 
 def document_slug(kind: Column, ref: Column) -> Column:

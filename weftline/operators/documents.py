@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import document_slug, repository_url
@@ -30,10 +29,20 @@ def newest(saved: DataFrame) -> DataFrame:
 
 def ask(questions: DataFrame, new: DataFrame) -> DataFrame:
     """``questions`` with ``new`` ones appended under ids that go on from the largest."""
-    last = questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    nth = F.row_number().over(W.orderBy("created_at", "kind", "ref", "step_id", "question"))
-    numbered = new.withColumn("_nth", nth).withColumn("_one", F.lit(1)).join(last.withColumn("_one", F.lit(1)), "_one")
-    return questions.unionByName(numbered.withColumn("id", (F.col("_last") + F.col("_nth")).cast("long")).select(questions.columns))
+    last = questions.agg(F.max("id")).first()[0] or 0
+    numbered = relational.number_all(new, ["created_at", "kind", "ref", "step_id", "question"], last)
+    return questions.unionByName(numbered.select(questions.columns))
+
+
+def questions_of(questions: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The questions of scopes (kind, ref), oldest first in each: with position from 0."""
+    return relational.number_rows(questions.join(scopes.select("kind", "ref").distinct(), ["kind", "ref"], "left_semi"), ["kind", "ref"], ["created_at", "id"])
+
+
+def drop_older(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): the newest document of each scope, and the (id) of the others."""
+    kept = newest(saved)
+    return kept, saved.select("id").join(kept.select("id"), "id", "left_anti")
 
 
 def content_hashes(blocks: DataFrame) -> DataFrame:

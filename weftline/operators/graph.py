@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import tempfile
 
 import pandas as pd
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder; a folder of its own only where the session names none."""
+    """Cut lineage through the checkpoint folder; a folder of its own only where a local session names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 
 
@@ -76,8 +81,8 @@ def closest_reaching(edges: DataFrame, starts: DataFrame, stops: DataFrame, hops
     return found
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, most: int, rank: Column | None = None) -> DataFrame:
-    """(root, node, path): a shortest path of at most ``most`` edges to each node, of these the first by its edges' ``rank``.
+def shortest_paths(edges: DataFrame, roots: DataFrame, most: int | None = None, rank: Column | None = None) -> DataFrame:
+    """(root, node, path): a shortest path (of at most ``most`` edges, if given) to each node, of these the first by its edges' ``rank``.
 
     ``rank`` is an expression over an edge's columns (dst unless given); paths of
     equal length compare edge by edge. Only the best path to each node goes on,
@@ -87,7 +92,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, most: int, rank: Column |
     edges = edges.groupBy("src", "dst").agg(F.min("_rank").alias("_rank"))
     frontier = roots.toDF("root").distinct().select("root", F.col("root").alias("src"), F.array("root").alias("path"), F.array().cast(f"array<{edges.schema['_rank'].dataType.simpleString()}>").alias("_ranks"))
     found = None
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         steps = frontier.join(edges, "src").select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("_ranks", F.array("_rank")).alias("_ranks"))
         steps = steps.where(F.col("node") != F.col("root"))
         if found is not None:
@@ -95,6 +100,8 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, most: int, rank: Column |
         best = steps.groupBy("root", "node").agg(F.min_by(F.struct("path", "_ranks"), "_ranks").alias("_b"))
         best = settle(best.select("root", "node", "_b.path", "_b._ranks"))
         found = best if found is None else found.unionByName(best)
+        if best.isEmpty():
+            break
         frontier = best.select("root", F.col("node").alias("src"), "path", "_ranks")
     return found.drop("_ranks")
 
@@ -178,30 +185,64 @@ def dependency_order(functions: DataFrame, edges: DataFrame, group: str = "file"
 
 
 def _ordered(names: dict[int, str], pairs: list[tuple[int, int]]) -> list[tuple[int, str | None]]:
+    """Starts in order, each with the note of its cycle: strong components first, then a heap of those that are ready."""
     needs: dict[int, set[int]] = {s: set() for s in names}
     for a, b in pairs:
         if a in needs and b in needs and a != b:
             needs[a].add(b)
-    reached = {s: _closure(s, needs) for s in needs}
-    left, done, out = sorted(names), set(), []
-    while left:
-        for s in left:
-            # the functions that s calls and that call it, and what they all need
-            members = sorted({s} | {t for t in reached[s] if s in reached[t]})
-            if all(n in done or n in members for m in members for n in needs[m]):
-                listed = [names[m] for m in members]
-                note = f"{', '.join(listed[:-1])} and {listed[-1]} call each other; walked in source order" if len(members) > 1 else None
-                out += [(m, note) for m in members]
-                done |= set(members)
-                left = [x for x in left if x not in done]
-                break
+    component = _strong(needs)
+    members: dict[int, list[int]] = {}
+    for s in sorted(names):
+        members.setdefault(component[s], []).append(s)
+    waits = {c: {component[n] for s in own for n in needs[s]} - {c} for c, own in members.items()}
+    users: dict[int, list[int]] = {c: [] for c in members}
+    for c, others in waits.items():
+        for o in others:
+            users[o].append(c)
+    open_ = {c: len(others) for c, others in waits.items()}
+    ready = [(own[0], c) for c, own in members.items() if not open_[c]]
+    heapq.heapify(ready)
+    out: list[tuple[int, str | None]] = []
+    while ready:
+        _, c = heapq.heappop(ready)
+        listed = [names[m] for m in members[c]]
+        note = f"{', '.join(listed[:-1])} and {listed[-1]} call each other; walked in source order" if len(listed) > 1 else None
+        out += [(m, note) for m in members[c]]
+        for user in users[c]:
+            open_[user] -= 1
+            if not open_[user]:
+                heapq.heappush(ready, (members[user][0], user))
     return out
 
 
-def _closure(start: int, needs: dict[int, set[int]]) -> set[int]:
-    seen, todo = set(), [start]
-    while todo:
-        for n in needs[todo.pop()] - seen:
-            seen.add(n)
-            todo.append(n)
-    return seen
+def _strong(needs: dict[int, set[int]]) -> dict[int, int]:
+    """The strong component of each node: two depth-first passes, the second against the edges in falling order of completion."""
+    against: dict[int, list[int]] = {s: [] for s in needs}
+    for s, others in needs.items():
+        for o in others:
+            against[o].append(s)
+    finished: list[int] = []
+    seen: set[int] = set()
+    for root in needs:
+        if root in seen:
+            continue
+        seen.add(root)
+        todo = [(root, iter(needs[root]))]
+        while todo:
+            node, rest = todo[-1]
+            following = next((n for n in rest if n not in seen), None)
+            if following is None:
+                finished.append(node)
+                todo.pop()
+            else:
+                seen.add(following)
+                todo.append((following, iter(needs[following])))
+    component: dict[int, int] = {}
+    for root in reversed(finished):
+        reached = [root]
+        while reached:
+            node = reached.pop()
+            if node not in component:
+                component[node] = root
+                reached += against[node]
+    return component

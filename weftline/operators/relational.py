@@ -60,7 +60,14 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -
 
 def innermost_enclosing(points: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
     """For each point (id, at, *on) the enclosing span (span_id) that starts last; of these the one that ends first, then the smallest id."""
-    joined = points.join(spans.select(*on, F.col("id").alias("span_id"), "start", "end"), on).where("at between start and `end`")
+    # a span lies in at most two cells of the power of two above its length; a point asks each width that occurs for its own cell
+    level = lambda length: F.ceil(F.log2(length + 1)).cast("int")
+    cell = lambda at, lv: F.floor(at / F.pow(F.lit(2.0), lv)).cast("long")
+    dealt = spans.where("start <= `end`").select(*on, F.col("id").alias("span_id"), "start", "end", level(F.col("end") - F.col("start")).alias("_level"))
+    levels = sorted(r[0] for r in dealt.select("_level").distinct().collect())
+    dealt = dealt.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("start"), F.col("_level")), cell(F.col("end"), F.col("_level"))))))
+    asked = points.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_cell", cell(F.col("at"), F.col("_level")))
+    joined = asked.join(dealt, [*on, "_level", "_cell"]).where("at between start and `end`")
     best = F.min_by("span_id", F.struct(-F.col("start"), F.col("end"), F.col("span_id"))).alias("span_id")
     return joined.groupBy("id").agg(best)
 
@@ -90,9 +97,16 @@ def merge_ranges(ranges: DataFrame, on: list[str]) -> DataFrame:
 
 def nearest_match(queries: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
     """For each query (id, near, *on) the line among ``lines`` (line, *on) nearest to ``near``; of two the smaller."""
-    joined = queries.join(lines.select(*on, "line"), on)
-    best = F.min_by("line", F.struct(F.abs(F.col("line") - F.col("near")), F.col("line"))).alias("line")
-    return joined.groupBy("id").agg(best)
+    # one sweep up and one down over both, in place of a join of all lines of a key with all its queries
+    kind = queries.schema["id"].dataType
+    asked = queries.select(*on, "id", F.col("near").cast("long").alias("_at"), F.lit(None).cast("long").alias("line"))
+    there = lines.select(*on, F.lit(None).cast(kind).alias("id"), F.col("line").cast("long").alias("_at"), F.col("line").cast("long").alias("line"))
+    sweep = lambda order: W.partitionBy(*on).orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = asked.withColumn("_asks", F.lit(True)).unionByName(there.withColumn("_asks", F.lit(False)))
+    both = both.withColumn("_low", F.max("line").over(sweep(F.col("_at")))).withColumn("_high", F.min("line").over(sweep(F.col("_at").desc())))
+    below = F.col("_high").isNull() | (F.col("_at") - F.col("_low") <= F.col("_high") - F.col("_at"))
+    found = both.where("_asks").select("id", "_at", F.when(F.col("_low").isNotNull() & below, F.col("_low")).otherwise(F.col("_high")).alias("line")).where("line is not null")
+    return found.groupBy("id").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("_at")), F.col("line"))).alias("line"))
 
 
 def relocatable(text: Column) -> Column:
@@ -172,6 +186,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str, time: st
     return both.select(*keys, F.when(F.col("_n").isNull(), F.col("_ov")).otherwise(F.col("_nv")).alias(value), F.when(kept, F.col("_ot")).otherwise(F.col("_nt")).alias(time))
 
 
+def number_all(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+    """Numbers from ``start`` + 1 over all rows in a total order: a sort by ranges, then an offset for each range; no task sees all rows."""
+    place = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    placed = settle(placed.withColumn("_range", F.shiftright("_place", 33)))
+    # one number for each range comes to the driver
+    sizes = dict(map(tuple, placed.groupBy("_range").count().collect()))
+    before, total = {}, start
+    for key in sorted(sizes):
+        before[key], total = total, total + sizes[key]
+    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_range")] if before else F.lit(start)
+    nth = F.col("_place") - F.shiftleft(F.col("_range"), 33)
+    return placed.withColumn(name, (offset + nth + 1).cast("long")).drop("_place", "_range")
+
+
 def number_rows(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
     """Positions from 0 within each key."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)

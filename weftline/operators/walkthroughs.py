@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import block_lines, hash_lines
-from . import grounding, relational
+from . import graph, grounding, relational
 
 RETRIES = 2
 PRIORITY = ["registration", "component", "hook", "target", "chain", "callee"]
@@ -75,15 +75,15 @@ def frontend_calls(calls: DataFrame, root: str | None) -> DataFrame:
     return calls if base in ("", ".") else calls.where(F.startswith("file", F.lit(f"{base}/")))
 
 
-def call_tree(callees: DataFrame, most: int = 16) -> DataFrame:
+def call_tree(callees: DataFrame) -> DataFrame:
     """(target, path, depth, callee_text, call_line, resolved) of calls as a tree for display: ``path`` sorts rows under their caller."""
     rows = callees.withColumn("_place", F.struct("call_line", "callee_text"))
     now = rows.where("depth = 1").select("target", F.array("_place").alias("path"), F.array("caller_id", "callee_id").alias("_seen"), "callee_id", "callee_text", "call_line", "resolved")
     out = now
-    for _ in range(most - 1):
+    while True:
         step = rows.where("depth > 1").select("target", F.col("caller_id").alias("callee_id"), "_place", F.col("callee_id").alias("_to"), F.col("callee_text").alias("_text"), F.col("call_line").alias("_line"), F.col("resolved").alias("_ok"))
         joined = now.join(step, ["target", "callee_id"]).where("_to is null or not array_contains(_seen, _to)")
-        now = joined.select("target", F.concat("path", F.array("_place")).alias("path"), F.concat("_seen", F.array("_to")).alias("_seen"), F.col("_to").alias("callee_id"), F.col("_text").alias("callee_text"), F.col("_line").alias("call_line"), F.col("_ok").alias("resolved"))
+        now = graph.settle(joined.select("target", F.concat("path", F.array("_place")).alias("path"), F.concat("_seen", F.array("_to")).alias("_seen"), F.col("_to").alias("callee_id"), F.col("_text").alias("callee_text"), F.col("_line").alias("call_line"), F.col("_ok").alias("resolved")))
         if now.isEmpty():
             break
         out = out.unionByName(now)

@@ -1,8 +1,8 @@
 """Versioned tables of an index: changes become a new version, which one pointer file then names.
 
 Parquet has no transactions. A pass writes all tables of the next version into
-a directory of their own and replaces the pointer last; readers follow the
-pointer, so they see all of a pass or nothing of it.
+a directory of their own and puts a numbered pointer file beside the others
+last; readers follow the largest, so they see all of a pass or nothing of it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,13 @@ from . import facts as facts_io
 BASE = facts_io.TABLES
 DERIVED = ["routes", "middleware", "route_warnings", "cross_edges"]
 SETTINGS = "key string, value string"
+POINTERS = "pointers"
+#: Versions that stay readable.
+KEPT = 3
+
+
+class VersionConflict(RuntimeError):
+    """Another writer published first."""
 
 
 @dataclass
@@ -38,43 +46,67 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def current(self) -> Snapshot | None:
-        """The published version, None before the first."""
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
+    def _fs(self):
+        return self._path(POINTERS).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _number(self) -> int:
+        """The number of the newest pointer, 0 before the first."""
+        folder = self._path(POINTERS)
+        listed = self._fs().listStatus(folder) if self._fs().exists(folder) else []
+        return max((int(f.getPath().getName()) for f in listed if f.getPath().getName().isdigit()), default=0)
+
+    def _read(self, number: int) -> str:
+        stream = self._fs().open(self._path(f"{POINTERS}/{number:012d}"))
         try:
-            version = bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode().strip()
         finally:
             stream.close()
+
+    def current(self) -> Snapshot | None:
+        """The published version, None before the first."""
+        number = self._number()
+        if not number:
+            return None
+        version = self._read(number)
         names = [*BASE, *DERIVED, "settings"]
         return Snapshot({n: self.spark.read.parquet(f"{self.root}/{version}/{n}") for n in names}, version)
 
-    def publish(self, tables: dict[str, DataFrame]) -> Snapshot:
-        """Write all tables as a new version and point to it."""
+    def publish(self, tables: dict[str, DataFrame], after: str | None = None) -> Snapshot:
+        """Write all tables as a new version and point to it; VersionConflict if another than ``after`` is published by then.
+
+        The pointer's name is the next number. It is written aside and renamed,
+        and a rename never replaces a file, so of two writers one fails. Versions
+        before the last KEPT are deleted.
+        """
+        jvm, number = self.spark._jvm, self._number()
+        if (self._read(number) if number else None) != after:
+            raise VersionConflict(f"{self.root} has a newer version than {after}")
         version = f"v-{uuid.uuid4().hex}"
         for name, frame in tables.items():
             frame.write.parquet(f"{self.root}/{version}/{name}")
-        path, fs = self._pointer()
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/.{version}")
+        fs, fresh, path = self._fs(), self._path(f"{POINTERS}/.{version}"), self._path(f"{POINTERS}/{number + 1:012d}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        fs.delete(path, False)
-        if not fs.rename(fresh, path):
-            raise OSError(f"{path} could not be replaced")
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, path, options)
+        except Py4JJavaError as error:
+            raise VersionConflict(f"{path} was published by another writer") from error
+        for old in range(max(1, number + 1 - KEPT - 8), number + 2 - KEPT):
+            name = self._path(f"{POINTERS}/{old:012d}")
+            if fs.exists(name):
+                fs.delete(self._path(self._read(old)), True)
+                fs.delete(name, False)
         return self.current()
 
     def drop(self) -> None:
-        path, fs = self._pointer()
-        fs.delete(path.getParent(), True)
+        self._fs().delete(self._path(POINTERS).getParent(), True)
 
-    def apply(self, facts: DataFrame, removed: list[str] = (), refreshed: list[str] = (), pins: DataFrame | None = None, settings: dict[str, str] | None = None) -> Snapshot:
+    def apply(self, facts: DataFrame, removed: DataFrame | list[str] = (), refreshed: DataFrame | list[str] = (), pins: DataFrame | None = None, settings: dict[str, str] | None = None) -> Snapshot:
         """One index pass: replace the facts of files, drop removed files, rebuild the calls of refreshed ones, derive routes and links.
 
         ``facts`` of a path in ``refreshed`` replace only what its symbols do;
@@ -82,13 +114,14 @@ class SnapshotStore:
         if facts belong to unknown symbols.
         """
         old = self.current()
-        replaced = facts.where(~F.col("path").isin(list(refreshed))) if refreshed else facts
+        removed, refreshed = (x if isinstance(x, DataFrame) else self.spark.createDataFrame([(p,) for p in x], "path string") for x in (removed, refreshed))
+        replaced = facts.join(refreshed, "path", "left_anti")
         if old is None:
             tables = facts_io.expand(facts)
             kept_settings = self.spark.createDataFrame([], SETTINGS)
         else:
-            gone = replaced.select("path").unionByName(self.spark.createDataFrame([(p,) for p in removed], "path string")).distinct()
-            touched = gone.unionByName(self.spark.createDataFrame([(p,) for p in refreshed], "path string")).distinct()
+            gone = replaced.select("path").unionByName(removed).distinct()
+            touched = gone.unionByName(refreshed).distinct()
             stays = lambda name, paths, column="file": old[name].join(paths.withColumnRenamed("path", column), column, "left_anti").select(old[name].columns)
             symbols = stays("symbols", gone)
             new = facts_io.expand(facts, resolve_in=symbols, checked=False)
@@ -105,7 +138,7 @@ class SnapshotStore:
         tables |= derive(tables, pins)
         for key, value in (settings or {}).items():
             kept_settings = kept_settings.where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value)], SETTINGS))
-        return self.publish(tables | {"settings": kept_settings})
+        return self.publish(tables | {"settings": kept_settings}, old and old.version)
 
     def invalidate(self, key: str, value: str) -> Snapshot:
         """Blank all file hashes, so that the next pass takes every file for changed, and record the setting."""
@@ -113,7 +146,7 @@ class SnapshotStore:
         tables = dict(old.tables)
         tables["files"] = old["files"].withColumn("hash", F.lit(""))
         tables["settings"] = old["settings"].where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value)], SETTINGS))
-        return self.publish(tables)
+        return self.publish(tables, old.version)
 
 
 def plan_pass(snapshot: Snapshot | None, present: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
