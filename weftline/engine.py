@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import split_lines
-from .operators import contexts, render, routes
+from .operators import contexts, relational, render, routes
 from .operators.graph import settle
 from .sources.snapshot import Snapshot, SnapshotStore, plan_pass
 
@@ -58,10 +58,7 @@ class Engine:
         return self.snapshot().tables
 
     def stats(self) -> Row:
-        t = self.tables()
-        one = lambda frame, *a: frame.agg(*a).withColumn("_one", F.lit(1))
-        calls = one(t["calls"], F.count("*").alias("calls"), F.count_if(~F.col("resolved")).alias("unresolved"))
-        return one(t["files"], F.count("*").alias("files")).join(one(t["symbols"], F.count("*").alias("symbols")), "_one").join(calls, "_one").drop("_one").first()
+        return contexts.index_stats(self.tables()).first()
 
     @staticmethod
     def lines(files: DataFrame) -> DataFrame:
@@ -86,11 +83,11 @@ class Engine:
         return calls.select("callee_id", F.col("caller_id").alias("symbol_id"), "call_line").join(contexts.symbols_with_ids(t), "symbol_id")
 
     def side_effects(self, symbols: DataFrame) -> DataFrame:
-        return self.tables()["side_effects"].join(symbols.select("symbol_id"), "symbol_id", "left_semi").orderBy("symbol_id", "line", "position")
+        return relational.within(self.tables()["side_effects"], symbols.select("symbol_id"), "symbol_id").orderBy("symbol_id", "line", "position")
 
     def api_calls(self, symbols: DataFrame | None = None) -> DataFrame:
         calls = self.tables()["api_calls"]
-        return calls if symbols is None else calls.join(symbols.select("symbol_id"), "symbol_id", "left_semi")
+        return calls if symbols is None else relational.within(calls, symbols.select("symbol_id"), "symbol_id")
 
     def routes(self) -> DataFrame:
         return self.tables()["routes"].orderBy("full_path", "method", "file", "line")

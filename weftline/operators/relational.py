@@ -7,6 +7,8 @@ Spark can hash or sort by it and keeps ranges as residual conditions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -165,6 +167,38 @@ def dependents(edges: DataFrame, touched: DataFrame, source: str, target: str) -
     return hit.join(touched.toDF(source), source, "left_anti")
 
 
+def within(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is among ``keys`` (one column), once each; its columns stay in order."""
+    return rows.join(keys.toDF(column), column, "left_semi").select(rows.columns)
+
+
+def last_of_sources(sources: list[DataFrame], key: str, value: str, order: str) -> DataFrame:
+    """(key, value, first_source): a union of tables in which a key keeps its first place and its last value; ``order`` is within a table."""
+    placed = [s.select(key, F.lit(i + 1).alias("_source"), F.col(order).alias("_order"), value) for i, s in enumerate(sources)]
+    every = reduce(DataFrame.unionByName, placed)
+    return every.groupBy(key).agg(F.max_by(value, F.struct("_source", "_order")).alias(value), F.min("_source").alias("first_source"))
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is not among ``gone`` (one column); its columns stay in order."""
+    return rows.join(gone.toDF(column), column, "left_anti").select(rows.columns)
+
+
+def cascade(gone: DataFrame, tables: dict[str, DataFrame], steps: list[tuple[str, str, str | None]]) -> dict[str, DataFrame]:
+    """``tables`` without what hangs on ``gone`` (one column of keys).
+
+    Each step is (table, column that refers to the step before it, own key): rows
+    that refer to what went go too, and their keys are what went for the next step.
+    """
+    left = dict(tables)
+    for name, parent, key in steps:
+        rows = tables[name]
+        left[name] = without(rows, gone, parent)
+        if key:
+            gone = rows.join(gone.toDF(parent), parent, "left_semi").select(key).distinct()
+    return left
+
+
 def grouped_names(rows: DataFrame, key: str, names: str) -> DataFrame:
     """(key, names): sorted distinct elements of an array column by key; keys with only empty arrays keep an empty one."""
     flat = rows.select(key, F.explode_outer(names).alias("_name"))

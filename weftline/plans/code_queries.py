@@ -1,4 +1,4 @@
-"""Queries over small built-in code facts; their SQL states the known answers."""
+"""Queries over statements and applications of a fixed build, one or several for each row of a table."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.sql_effects import sql_effects as effects_of
 from ..operators import routes
 from ..sources.facts import HANDLER
+from ..sources.tables import table
 from .registry import query
 
-#: (statement, what it reads and writes)
+#: (statement, what it reads and writes); {} is a number from the table.
 STATEMENTS = [
-    ("SELECT * FROM orders o JOIN unnest(o.items) i ON true", "SELECT orders"),
-    ("UPDATE stock SET n = n - 1 FROM orders WHERE orders.id = $1", "UPDATE stock, SELECT orders"),
-    ("INSERT INTO audit SELECT * FROM (SELECT id FROM parts FOR UPDATE) p ON CONFLICT (id) DO UPDATE SET n = 1", "INSERT audit, SELECT parts"),
-    ("WITH old AS (DELETE FROM queue RETURNING *) SELECT count(*) FROM old WHERE extract(day FROM ts) = 1", "DELETE queue"),
+    ("SELECT * FROM orders{} o JOIN unnest(o.items) i ON true", "SELECT orders{}"),
+    ("UPDATE stock{} SET n = n - 1 FROM orders WHERE orders.id = $1", "UPDATE stock{}, SELECT orders"),
+    ("INSERT INTO audit SELECT * FROM (SELECT id FROM parts{} FOR UPDATE) p ON CONFLICT (id) DO UPDATE SET n = 1", "INSERT audit, SELECT parts{}"),
+    ("WITH old{} AS (DELETE FROM queue{} RETURNING *) SELECT count(*) FROM old{} WHERE extract(day FROM ts) = 1", "DELETE queue{}"),
     ("ROLLBACK", ""),
 ]
 
@@ -23,10 +24,17 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query("sql_effects", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(s)}, {_quoted(e)})" for s, e in STATEMENTS) + ") v(statement, effects)")
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows) + ")"
+
+
+@query("sql_effects", f"SELECT p_partkey, replace(e, '{{}}', CAST(p_partkey AS VARCHAR)) AS effects FROM part JOIN {_values([(i, e) for i, (_, e) in enumerate(STATEMENTS)])} v(i, e) ON i = p_partkey % {len(STATEMENTS)}")
 def sql_effects(spark, base):
-    frame = spark.createDataFrame([(s,) for s, _ in STATEMENTS], "statement string").withColumn("e", effects_of(F.col("statement")))
-    return frame.select("statement", F.array_join(F.transform("e", lambda e: e["detail"]), ", ").alias("effects"))
+    """What a statement about each part reads and writes."""
+    said = F.get(F.array(*(F.lit(s) for s, _ in STATEMENTS)), (F.col("p_partkey") % len(STATEMENTS)).cast("int"))
+    statements = table(spark, base, "part").select("p_partkey", F.replace(said, F.lit("{}"), F.col("p_partkey").cast("string")).alias("statement"))
+    found = statements.withColumn("e", effects_of(F.col("statement")))
+    return found.select("p_partkey", F.array_join(F.transform("e", lambda e: e["detail"]), ", ").alias("effects"))
 
 
 def _fn(name: str, arity: int = 3) -> dict:
@@ -35,26 +43,38 @@ def _fn(name: str, arity: int = 3) -> dict:
 
 #: (receiver, kind, call, method, path, order, handlers) of a small application.
 REGISTRATIONS = [
-    ("app.ts#app", "app", "use", None, None, 0, [{"kind": "package", "package": "express", "text": "express.json()"}]),
-    ("app.ts#app", "app", "use", None, "/shop", 1, [_fn("requireUser"), {"kind": "router", "receiver_key": "shop.ts#shop", "text": "shop"}]),
-    ("app.ts#app", "app", "GET", "GET", "/health", 2, [_fn("health", 2)]),
-    ("app.ts#app", "app", "use", None, None, 3, [_fn("onError", 4)]),
-    ("shop.ts#shop", "router", "use", None, "/admin", 0, [_fn("adminOnly")]),
-    ("shop.ts#shop", "router", "POST", "POST", "/orders/:id", 1, [_fn("limit"), _fn("placeOrder", 2)]),
-    ("shop.ts#shop", "router", "GET", "GET", "/admin/stock", 2, [_fn("stock", 2)]),
+    ("app{}.ts#app", "app", "use", None, None, 0, [{"kind": "package", "package": "express", "text": "express.json()"}]),
+    ("app{}.ts#app", "app", "use", None, "/shop{}", 1, [_fn("requireUser"), {"kind": "router", "receiver_key": "shop{}.ts#shop", "text": "shop"}]),
+    ("app{}.ts#app", "app", "GET", "GET", "/health{}", 2, [_fn("health", 2)]),
+    ("app{}.ts#app", "app", "use", None, None, 3, [_fn("onError", 4)]),
+    ("shop{}.ts#shop", "router", "use", None, "/admin", 0, [_fn("adminOnly")]),
+    ("shop{}.ts#shop", "router", "POST", "POST", "/orders/:id", 1, [_fn("limit"), _fn("placeOrder", 2)]),
+    ("shop{}.ts#shop", "router", "GET", "GET", "/admin/stock", 2, [_fn("stock", 2)]),
 ]
 STITCHED = [
-    ("GET", "/health", "app:express.json() error:onError"),
-    ("POST", "/shop/orders/:id", "app:express.json() app:requireUser route:limit error:onError"),
-    ("GET", "/shop/admin/stock", "app:express.json() app:requireUser router:adminOnly error:onError"),
+    ("GET", "/health{}", "app:express.json() error:onError"),
+    ("POST", "/shop{}/orders/:id", "app:express.json() app:requireUser route:limit error:onError"),
+    ("GET", "/shop{}/admin/stock", "app:express.json() app:requireUser router:adminOnly error:onError"),
 ]
 
 
-@query("stitch_routes", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(m)}, {_quoted(p)}, {_quoted(c)})" for m, p, c in STITCHED) + ") v(method, full_path, chain)")
+@query(
+    "stitch_routes",
+    f"SELECT s_suppkey, method, replace(p, '{{}}', CAST(s_suppkey AS VARCHAR)) AS full_path, chain FROM supplier, {_values(STITCHED)} v(method, p, chain)",
+)
 def stitch_routes(spark, base):
-    schema = f"seq int, file string, receiver_key string, receiver_kind string, receiver_text string, call_kind string, method string, path string, path_text string, line int, end_line int, order_idx int, handlers array<{HANDLER}>"
-    rows = [(i, key.split("#")[0], key, kind, key.split("#")[1], "use" if call == "use" else "route", method, path, None, i + 1, i + 1, order, handlers) for i, (key, kind, call, method, path, order, handlers) in enumerate(REGISTRATIONS)]
-    found, middleware, _ = routes.stitch(spark.createDataFrame(rows, schema))
+    """An application for each supplier."""
+    rows = [(i, key, kind, "use" if call == "use" else "route", method, path, i + 1, order, handlers) for i, (key, kind, call, method, path, order, handlers) in enumerate(REGISTRATIONS)]
+    schema = f"seq int, receiver_key string, receiver_kind string, call_kind string, method string, path string, line int, order_idx int, handlers array<{HANDLER}>"
+    calls = table(spark, base, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("seq")).join(spark.createDataFrame(rows, schema), "seq")
+    own = lambda c: F.replace(c, F.lit("{}"), F.col("s_suppkey").cast("string"))
+    calls = calls.withColumns({
+        "seq": (F.col("s_suppkey") * len(rows) + F.col("seq")).cast("int"), "receiver_key": own(F.col("receiver_key")), "path": own(F.col("path")), "file": own(F.split_part("receiver_key", F.lit("#"), F.lit(1))),
+        "receiver_text": F.split_part("receiver_key", F.lit("#"), F.lit(2)), "path_text": F.lit(None).cast("string"), "end_line": F.col("line"),
+        "handlers": F.transform("handlers", lambda h: h.withField("receiver_key", own(h["receiver_key"]))),
+    })
+    found, middleware, _ = routes.stitch(calls.drop("s_suppkey"))
     entry = F.struct("order_idx", F.concat_ws(":", "phase", routes.handler_label(F.col("handler"))).alias("entry"))
     chain = middleware.groupBy("route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]), " ").alias("chain"))
-    return found.join(chain, "route", "left").select("method", "full_path", F.coalesce("chain", F.lit("")).alias("chain"))
+    supplier = F.regexp_extract("file", "([0-9]+)", 1).cast("long").alias("s_suppkey")
+    return found.join(chain, "route", "left").select(supplier, "method", "full_path", F.coalesce("chain", F.lit("")).alias("chain"))

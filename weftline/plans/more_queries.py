@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import documents, freshness, graph, relational
+from ..operators import documents, freshness, relational
 from ..sources.tables import table
 from .registry import query
 from .table_queries import LINES_SQL
@@ -69,35 +69,13 @@ SELECT o_orderkey, count(l_orderkey) AS items FROM o LEFT JOIN lineitem ON l_ord
 )
 def cascade_delete(spark, base):
     """Customers in debt go, with them their orders, with these their items."""
-    gone = table(spark, base, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, base, "orders").select("o_orderkey", "o_custkey").join(gone, "o_custkey", "left_anti")
-    # the cascade may also hit orders of customers that do not exist
-    orders = orders.join(table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    items = table(spark, base, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
-    return orders.select("o_orderkey").join(items, "o_orderkey", "left").select("o_orderkey", F.coalesce("items", F.lit(0)).alias("items"))
-
-
-@query("unmatched_owners", "SELECT count(*) AS orders, count(*) FILTER (WHERE c_custkey IS NULL) AS unmatched FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 5")
-def unmatched_owners(spark, base):
-    """The count that a load asserts to be zero: facts whose owner is not there."""
-    orders = table(spark, base, "orders").select((F.col("o_custkey") + 5).alias("c_custkey"))
-    known = table(spark, base, "customer").select("c_custkey").withColumn("known", F.lit(True))
-    return orders.join(known, "c_custkey", "left").agg(F.count("*").alias("orders"), F.count_if(F.col("known").isNull()).alias("unmatched"))
-
-
-@query(
-    "caller_files",
-    """SELECT DISTINCT s_nationkey AS nation FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-WHERE p_size = 7 AND c_nationkey <> s_nationkey""",
-)
-def caller_files(spark, base):
-    """A chain of joins down to distinct sources, those inside the target left out."""
-    parts = table(spark, base, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    items = table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(parts, "l_partkey", "left_semi")
-    orders = table(spark, base, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customers = table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    suppliers = table(spark, base, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return items.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey").where("c_nationkey <> s_nationkey").select(F.col("s_nationkey").alias("nation")).distinct()
+    customers, items = table(spark, base, "customer"), table(spark, base, "lineitem")
+    # orders of customers that do not exist go as well
+    known = table(spark, base, "orders").select("o_orderkey", "o_custkey").join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    tables = {"orders": known, "items": items.select("l_orderkey", "l_linenumber")}
+    left = relational.cascade(customers.where("c_acctbal < 0").select("c_custkey"), tables, [("orders", "o_custkey", "o_orderkey"), ("items", "l_orderkey", None)])
+    counted = left["items"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
+    return left["orders"].join(counted, "o_orderkey", "left").select("o_orderkey", F.coalesce("items", F.lit(0)).alias("items"))
 
 
 @query(
@@ -110,7 +88,7 @@ def lateral_members(spark, base):
     words = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
     members = table(spark, base, "pages").select("page_id", F.explode(F.array_distinct(words(F.col("url")))).alias("w"))
     keys = table(spark, base, "benchmark").select(F.explode(words(F.lower("text"))).alias("w")).distinct()
-    return members.join(keys, "w", "left_semi").groupBy("page_id").agg(F.count("*").alias("hits"))
+    return relational.within(members, keys, "w").groupBy("page_id").agg(F.count("*").alias("hits"))
 
 
 @query(
@@ -120,9 +98,9 @@ SELECT k, CAST(arg_max(v, (src, n)) AS INTEGER) AS v, CAST(min(src) AS INTEGER)
 )
 def ordered_union(spark, base):
     """Two sources in order: a key keeps its first place and its last value."""
-    p = table(spark, base, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("n"), "p_size", "p_retailprice")
-    both = p.select("k", F.lit(1).alias("src"), "n", F.col("p_size").alias("v")).unionByName(p.where("p_retailprice > 1000").select("k", F.lit(2).alias("src"), "n", (F.col("p_size") + 100).alias("v")))
-    return both.groupBy("k").agg(F.max_by("v", F.struct("src", "n")).alias("v"), F.min("src").alias("first_source"))
+    parts = table(spark, base, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("n"), F.col("p_size").alias("v"), "p_retailprice")
+    dear = parts.where("p_retailprice > 1000").withColumn("v", F.col("v") + 100)
+    return relational.last_of_sources([parts, dear], "k", "v", "n")
 
 
 @query(
@@ -134,7 +112,7 @@ def in_list_effects(spark, base):
     customers = table(spark, base, "customer").select("c_custkey", "c_mktsegment")
     least = customers.agg(F.min("c_mktsegment").alias("c_mktsegment"))
     listed = customers.join(least, "c_mktsegment", "left_semi").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, base, "orders").select("o_custkey", "o_orderkey", "o_totalprice").join(listed, "o_custkey", "left_semi")
+    return relational.within(table(spark, base, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), listed, "o_custkey")
 
 
 @query(
@@ -161,15 +139,7 @@ def section_freshness(spark, base):
 def question_ids(spark, base):
     """Ids that go on from the largest one there is, in a total order."""
     asked = table(spark, base, "conversations").select("conv_id", "turn")
-    # a range-partitioned sort, then an offset for each partition: no single task sees all rows
-    placed = asked.repartitionByRange("turn", "conv_id").sortWithinPartitions("turn", "conv_id").withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    placed = graph.settle(placed)
-    sizes = {r[0]: r[1] for r in placed.groupBy("_p").count().collect()}
-    before, total = {}, 10
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_p")] if before else F.lit(10)
-    return placed.select("conv_id", "turn", (offset + F.col("_n") + 1).cast("long").alias("id"))
+    return relational.number_all(asked, ["turn", "conv_id"], 10).select("conv_id", "turn", "id")
 
 
 @query("json_records", "SELECT event_id, CAST(props ->> 'k' AS INTEGER) AS k, json_exists(props, '$.k') AS given FROM events")

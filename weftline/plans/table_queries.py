@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import graph, relational, routes
+from ..operators import freshness, graph, relational, routes
 from ..sources.tables import table
 from .registry import query
 
@@ -180,10 +180,10 @@ def callee_paths(spark, base):
     return graph.callees(edges, edges.select("src"), 4)
 
 
-@query("direct_callers", f"WITH {USER_EDGES_SQL} SELECT dst AS callee, count(*) AS callers, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS caller_ids FROM e GROUP BY dst")
+@query("direct_callers", f"WITH {USER_EDGES_SQL} SELECT dst AS callee, array_to_string(list_sort(list_distinct(list(CAST(src AS VARCHAR)))), ',') AS callers FROM e GROUP BY dst")
 def direct_callers(spark, base):
-    grouped = _user_edges(spark, base).groupBy(F.col("dst").alias("callee")).agg(F.count("*").alias("callers"), F.array_sort(F.collect_list("src")).alias("ids"))
-    return grouped.select("callee", "callers", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("caller_ids"))
+    rows = _user_edges(spark, base).select(F.col("dst").alias("callee"), F.array(F.col("src").cast("string")).alias("callers"))
+    return relational.grouped_names(rows, "callee", "callers").select("callee", F.array_join("callers", ",").alias("callers"))
 
 
 @query(
@@ -259,12 +259,11 @@ FROM y JOIN o ON o.t = y.t WHERE y.doc_id <> o.doc_id GROUP BY y.doc_id, y.line"
 def nearest_match(spark, base):
     """Lines that the first document with the same line also has, and the nearest of them there."""
     lines = _document_lines(spark, base)
-    first = lines.groupBy("line_text").agg(F.min("doc_id").alias("doc_id"))
-    # places in the first document, once for each line and document that has it
-    there = lines.join(first, ["line_text", "doc_id"]).groupBy("line_text", F.col("doc_id").alias("first")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    asked = lines.join(there, "line_text").where("doc_id <> first")
-    near = F.array_min(F.transform("lines", lambda p: F.struct(F.abs(p - F.col("line")).alias("d"), p.alias("p"))))
-    return asked.select("doc_id", "line", near["p"].alias("found"))
+    first = relational.first_value(lines, ["line_text"], F.col("doc_id"), ["doc_id"]).withColumnRenamed("doc_id", "first")
+    placed = lines.join(first, "line_text")
+    asked = placed.where("doc_id <> first").select("line_text", F.struct("doc_id", "line").alias("id"), F.col("line").alias("near"))
+    found = relational.nearest_match(asked, placed.where("doc_id = first").select("line_text", "line"), ["line_text"])
+    return found.select("id.doc_id", "id.line", F.col("line").cast("int").alias("found"))
 
 
 @query(
@@ -309,12 +308,14 @@ def first_occurrence(spark, base):
 
 @query(
     "question_outdated",
-    """SELECT conv_id, turn, l.doc_id IS NULL OR l.quality <> turn % 2 OR (l.toxic = 1 AND turn < 3) AS outdated FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id""",
+    """SELECT conv_id * 1000 + turn AS question_id, l.doc_id IS NULL OR l.quality <> turn % 2 OR turn < l.toxic * 3 AS outdated FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id""",
 )
 def question_outdated(spark, base):
-    steps = table(spark, base, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic", F.lit(True).alias("known"))
-    asked = table(spark, base, "conversations").select("conv_id", "turn").join(steps, "conv_id", "left")
-    return asked.select("conv_id", "turn", (F.col("known").isNull() | (F.col("quality") != F.col("turn") % 2) | ((F.col("toxic") == 1) & (F.col("turn") < 3))).alias("outdated"))
+    """Questions about steps that are gone, have other lines now, or were explained later."""
+    steps = table(spark, base, "labels").select(F.lit("all").alias("scope"), F.col("doc_id").alias("step_id"), F.col("quality").cast("string").alias("hash"), (F.col("toxic") * 3).alias("generated_at"))
+    turn = F.col("turn")
+    asked = table(spark, base, "conversations").select((F.col("conv_id") * 1000 + turn).alias("question_id"), F.lit("all").alias("scope"), F.col("conv_id").alias("step_id"), (turn % 2).cast("string").alias("step_hash"), turn.alias("created_at"))
+    return freshness.question_outdated(asked, steps)
 
 
 # --- intervals ---------------------------------------------------------------------------------------
@@ -411,10 +412,12 @@ def newest_of_scope(spark, base):
     """SELECT p_partkey, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag) FILTER (l_returnflag IS NOT NULL))), ','), '') AS flags FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""",
 )
 def importers_agg(spark, base):
-    # one row a part and flag before the join: the line items are never moved as such
-    flags = table(spark, base, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_returnflag").alias("flags"))
-    joined = table(spark, base, "part").select("p_partkey").join(flags, "p_partkey", "left")
-    return joined.select("p_partkey", F.array_join(F.sort_array(F.coalesce("flags", F.array().cast("array<string>"))), ",").alias("flags"))
+    none = F.array().cast("array<string>")
+    # the set of each part combines before it is moved
+    flags = table(spark, base, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.array("l_returnflag").alias("flags"))
+    rows = flags.unionByName(table(spark, base, "part").select("p_partkey", none.alias("flags")))
+    known = relational.grouped_names(rows, "p_partkey", "flags").join(table(spark, base, "part").select("p_partkey"), "p_partkey", "left_semi")
+    return known.select("p_partkey", F.array_join("flags", ",").alias("flags"))
 
 
 @query("exists_flag", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned FROM orders")
@@ -437,17 +440,6 @@ def key_resolution(spark, base):
     return joined.select("o_orderkey", "customer", ((F.col("o_orderstatus") != "P") & (F.col("key").isNull() | F.col("customer").isNotNull())).alias("resolved"))
 
 
-@query(
-    "index_stats",
-    """SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM lineitem) AS calls, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS unresolved""",
-)
-def index_stats(spark, base):
-    one = lambda name, *aggs: table(spark, base, name).agg(*aggs).withColumn("_one", F.lit(1))
-    files, symbols = one("documents", F.count("*").alias("files")), one("part", F.count("*").alias("symbols"))
-    calls = one("lineitem", F.count("*").alias("calls"), F.count_if(F.col("l_returnflag") == "R").alias("unresolved"))
-    return files.join(symbols, "_one").join(calls, "_one").select("files", "symbols", "calls", "unresolved")
-
-
 @query("json_key", "SELECT CAST(props ->> 'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_key(spark, base):
     return table(spark, base, "events").groupBy(F.get_json_object("props", "$.k").try_cast("long").alias("k")).agg(F.count("*").alias("n"))

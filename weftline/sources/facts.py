@@ -94,14 +94,19 @@ def expand(facts: DataFrame, resolve_in: DataFrame | None = None, checked: bool
 
 def check_owners(tables: dict[str, DataFrame], known: DataFrame) -> None:
     """FactsError if a fact belongs to a symbol that is not in ``known`` (symbol_id)."""
+    lost = missing_owners(tables, known).collect()
+    if lost:
+        raise FactsError("; ".join(f"{r.n} rows of {r.t} belong to unknown symbols" for r in sorted(lost)))
+
+
+def missing_owners(tables: dict[str, DataFrame], known: DataFrame) -> DataFrame:
+    """(t, n): for each table how many of its facts belong to a symbol that is not in ``known`` (symbol_id), if any do."""
     owners = [tables["calls"].select(F.lit("calls").alias("t"), F.col("caller_id").alias("symbol_id"))]
     owners += [tables[t].select(F.lit(t).alias("t"), "symbol_id") for t in ("side_effects", "components", "api_calls")]
     everyone = owners[0]
     for more in owners[1:]:
         everyone = everyone.unionByName(more)
-    lost = everyone.join(known, "symbol_id", "left_anti").groupBy("t").agg(F.count("*").alias("n")).collect()
-    if lost:
-        raise FactsError("; ".join(f"{r.n} rows of {r.t} belong to unknown symbols" for r in sorted(lost)))
+    return everyone.join(known, "symbol_id", "left_anti").groupBy("t").agg(F.count("*").alias("n"))
 
 
 def scan_tree(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:

@@ -122,7 +122,7 @@ class SnapshotStore:
         else:
             gone = replaced.select("path").unionByName(removed).distinct()
             touched = gone.unionByName(refreshed).distinct()
-            stays = lambda name, paths, column="file": old[name].join(paths.withColumnRenamed("path", column), column, "left_anti").select(old[name].columns)
+            stays = lambda name, paths, column="file": relational.without(old[name], paths, column)
             symbols = stays("symbols", gone)
             new = facts_io.expand(facts, resolve_in=symbols, checked=False)
             fresh = facts_io.expand(replaced, resolve_in=symbols, checked=False)
