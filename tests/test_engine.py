@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline import config
 from weftline.engine import Engine
-from weftline.operators import contexts, documents
+from weftline.operators import contexts, documents, prompts
 from weftline.sources.snapshot import SnapshotStore
 from weftline.streaming import passes
 
@@ -165,3 +165,14 @@ def test_documents(spark):
         "express": ("https://expressjs.com/en/4x/api.html#express.router", "curated"), "react": ("https://react.dev/reference/react/useState", "curated"), "node": ("https://nodejs.org/api/fs.html", "curated"),
         "left": ("https://www.npmjs.com/package/left/v/1.2.3", "npm"), "right": ("https://github.com/a/b", "package.json"), "zod": ("https://v3.zod.dev/", "curated"),
     }
+
+
+def test_fn_prompts(spark, engine, lines):
+    targets = spark.createDataFrame([("t", CTRL, "enroll", None, None), ("none", CTRL, "gone", None, None)], "target string, file string, symbol string, start int, end int")
+    rows = {r.target: r for r in prompts.fn_prompts(engine.tables(), engine.fn(targets, lines), condensed=True).collect()}
+    assert rows["none"].prompt is None and "No symbol" in rows["none"].error
+    text = rows["t"].prompt
+    titles = [line for line in text.split("\n") if line.startswith("#")]
+    assert titles[0] == f"# Target: function enroll at {CTRL}:1-8" and titles[1:4] == ["## Callers", "## Callees", "## Code"]
+    assert f"target {CTRL}:1-8" in text and "hooks[x]" in text and "- pg@8.12.0: Pool" in text and f"- {CTRL}: " in text
+    assert text.rsplit("\n\n", 1)[1].startswith(f"Write the walkthrough of {CTRL}:1-8.")
