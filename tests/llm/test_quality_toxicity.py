@@ -100,3 +100,109 @@ def test_pooling_equals_a_plain_loop():
             windows = [sum(vectors[s + j] @ f[j] for j in range(width)) for s in range(len(own) - width + 1)]
             expected = np.maximum(np.max(windows, axis=0), 0) if windows else np.zeros(toxicity.FILTERS)
             assert np.allclose(pooled[i, k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS], expected, atol=1e-4)
+
+
+def plain_gradient(net, docs, y, weight):
+    """One document, filter and position at a time."""
+    table, filters = np.zeros_like(net.table), [np.zeros_like(f) for f in net.filters]
+    out, offset, bias = np.zeros_like(net.out), np.zeros_like(net.offset), 0.0
+    for doc, target, w in zip(docs, y, weight, strict=True):
+        vectors = [net.table[own + toxicity._PART].sum(axis=0) for own in doc]
+        best, pool = {}, np.zeros(len(net.out))
+        for k, (width, f) in enumerate(zip(toxicity.WIDTHS, net.filters, strict=True)):
+            for c in range(toxicity.FILTERS):
+                responses = [sum(vectors[s + j] @ f[j, :, c] for j in range(width)) for s in range(len(doc) - width + 1)]
+                if responses:
+                    place = k * toxicity.FILTERS + c
+                    best[place] = int(np.argmax(responses))
+                    pool[place] = max(max(responses) + net.offset[place], 0)
+        d = w * (1 / (1 + np.exp(-(pool @ net.out + net.bias))) - target)
+        out += d * pool
+        bias += d
+        for place, s in best.items():
+            if pool[place] > 0:
+                k, c = divmod(place, toxicity.FILTERS)
+                own = d * net.out[place]
+                offset[place] += own
+                for j in range(toxicity.WIDTHS[k]):
+                    filters[k][j, :, c] += own * vectors[s + j]
+                    for slot in doc[s + j] + toxicity._PART:
+                        table[slot] += own * net.filters[k][j, :, c]
+    return table, filters, offset, out, bias
+
+
+def test_gradient_equals_a_plain_loop(monkeypatch):
+    net, rng = toxicity.Network(), np.random.default_rng(4)
+    net.offset[:] = rng.normal(0, 0.1, len(net.offset))
+    docs = [rng.integers(0, 60, (n, toxicity.PARTS)).astype(np.uint16) for n in (0, 1, 2, 3, 30, 7, 90, 12)]
+    y, weight = np.array([0, 1, 0, 1, 1, 0, 1, 0]), rng.uniform(0.5, 2, 8)
+    expected = plain_gradient(net, docs, y, weight)
+    for most in (1 << 16, 20, 1):  # in one part, in some, one document each
+        monkeypatch.setattr(toxicity, "MOST_WORDS", most)
+        rows, values, filters, offset, out, bias = toxicity._gradient(net, docs, y, weight)
+        where, summed = toxicity._summed(rows, values)
+        table = np.zeros_like(net.table)
+        table[where] = summed
+        assert len(where) == len(set(where.tolist())) and np.allclose(table, expected[0], atol=1e-5)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip([*filters, offset, out], [*expected[1], *expected[2:4]], strict=True))
+        assert abs(bias - expected[4]) < 1e-5
+
+
+def test_thresholds_equal_trying_each():
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 40, 200):
+        for _ in range(20):
+            logits = rng.integers(-4, 5, n) / 2.0  # with ties
+            y = rng.integers(0, 2, n)
+            if len(set(y.tolist())) < 2:
+                assert toxicity._threshold(logits, y) == 0
+                continue
+
+            def gain(cut):
+                return (logits[y == 1] > cut).mean() - (logits[y == 0] > cut).mean()
+
+            tried = [gain(c) for c in np.arange(-4, 5, 0.25)]
+            assert gain(toxicity._threshold(logits, y)) >= max(max(tried), 0) - 1e-12 or max(tried) == 0
+
+
+def test_sample_is_bounded_in_bytes_and_rows_count_once(docs, spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, y, language: seen.append((rows, y)) or toxicity.Network())
+    texts = [(i, "word " * (5000 if i % 7 == 0 else 10)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    held = nbsvm.held_out(5, 0)
+    usable = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5]
+    for most, short_only in ((10_000, True), (10_000_000, False)):
+        toxicity.fit(docs(texts + texts[:5]), labels, "toxic", held, most_bytes=most)
+        rows, y = seen.pop()
+        expected = [i for i in usable if not short_only or i % 7]
+        assert len(rows) == len(expected) and sum(y) == sum(i % 2 for i in expected)
+        assert sum(r.nbytes for r in rows) <= most
+
+
+def test_count_ratios_and_scores_equal_plain_counts():
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 50, rng.integers(0, 12))) for _ in range(40)]
+    y = np.where(np.arange(40) % 3 == 0, 1, -1)
+    got = nbsvm.count_ratios(rows, y)
+    for f in range(60):
+        share = [(sum(f in r for r, s in zip(rows, y) if s == sign) + 1) / ((y == sign).sum() + 2) for sign in (1, -1)]
+        assert np.isclose(got[f], np.log(share[0] / share[1]))
+    model = nbsvm.train(rows, (y > 0).astype(int))
+    margins = np.array([sum(float(model.weights[f]) for f in r) for r in rows])
+    assert np.allclose(model.scores(margins), 1 / (1 + np.exp(-(model.slope * (margins + model.bias) + model.shift))))
+
+
+def test_logistic_curve_is_the_best_of_its_kind():
+    rng = np.random.default_rng(12)
+    y = np.where(rng.random(80) < 0.3, 1, -1)
+    margin = y * 0.7 + rng.normal(0, 1, 80)
+    n1, n0 = (y > 0).sum(), (y < 0).sum()
+    target, weight = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.where(y > 0, 0.5 / n1, 0.5 / n0)
+
+    def loss(slope, shift):
+        p = 1 / (1 + np.exp(-(slope * margin + shift)))
+        return -(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum() + 0.5e-6 * (slope**2 + shift**2)
+
+    slope, shift = nbsvm._logistic(margin, y)
+    assert all(loss(slope, shift) <= loss(slope + a, shift + b) + 1e-9 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .nbsvm import held_out, labelled_sample, tokens
-from .storage import Shared, arrow_map, give_back
+from .storage import Shared, arrow_map, give_back, materialize
 from .textkit import U, chunks, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -32,6 +32,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS, MOST_EPOCHS, VISITS = 8, 30, 60_000
 BATCH = 32
+MOST_WORDS = 1 << 16
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -134,42 +135,69 @@ class Network:
         return (np.concatenate(pooled) * self.out).sum(axis=1, dtype=np.float64) + self.bias
 
 
+def _parts(sizes: np.ndarray):
+    """Runs of documents of at most MOST_WORDS words together; a longer one comes alone."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > MOST_WORDS:
+            yield start, i
+            start, total = i, 0
+        total += size
+    yield start, len(sizes)
+
+
 def _gradient(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray):
-    """Gradients of the weighted logistic loss: table rows and their values, filters, their offsets, output, bias."""
-    rows, values = [], []
+    """Gradients of the weighted logistic loss, summed over the documents.
+
+    (table rows (hits, PARTS), their values (hits, DIM), filters, offsets, output, bias);
+    a table row has one value for each hit.
+    """
+    rows, values = [np.zeros((0, PARTS), np.int64)], [np.zeros((0, DIM), np.float32)]
     g_filters = [np.zeros_like(f) for f in net.filters]
     g_out, g_offset, g_bias = np.zeros_like(net.out), np.zeros_like(net.offset), 0.0
-    for places_, target, w in zip(docs, y, weight, strict=True):
-        slots = places_ + _PART
+    sizes = np.array([len(d) for d in docs])
+    for low, high in _parts(sizes):
+        slots = np.concatenate(docs[low:high]) + _PART
         vectors = net.table[slots].sum(axis=1)
-        pool, places = np.zeros_like(net.out), []
+        size = sizes[low:high]
+        first = np.concatenate([[0], np.cumsum(size)])
+        pool, best = np.zeros((high - low, len(net.out)), np.float32), []
         for k, (width, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-            n = len(slots) - width + 1
-            if n <= 0:
-                places.append(None)
-                continue
-            response = sum(vectors[j : n + j] @ f[j] for j in range(width))
-            best = response.argmax(axis=0)
-            places.append(best)
-            pool[k * FILTERS : (k + 1) * FILTERS] = np.maximum(response[best, np.arange(FILTERS)] + net.offset[k * FILTERS : (k + 1) * FILTERS], 0)
+            some = np.flatnonzero(size >= width)
+            at = np.zeros((len(some), FILTERS), np.int64)
+            if len(some):
+                n = len(vectors) - width + 1
+                response = sum(vectors[j : n + j] @ f[j] for j in range(width))
+                for i, row in enumerate(some):
+                    at[i] = first[row] + response[first[row] : first[row + 1] - width + 1].argmax(axis=0)
+                own = slice(k * FILTERS, (k + 1) * FILTERS)
+                pool[some, own] = np.maximum(response[at, np.arange(FILTERS)] + net.offset[own], 0)
+            best.append((some, at))
         p = 1 / (1 + np.exp(-np.clip(pool @ net.out + net.bias, -30, 30)))
-        d = float(w * (p - target))
-        g_out += d * pool
-        g_bias += d
-        back = d * net.out * (pool > 0)
-        g_offset += back
+        d = (weight[low:high] * (p - y[low:high])).astype(np.float32)
+        g_out += d @ pool
+        g_bias += float(d.sum())
+        back = d[:, None] * net.out * (pool > 0)
+        g_offset += back.sum(axis=0)
         for k, (width, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-            if places[k] is None:
-                continue
-            own = back[k * FILTERS : (k + 1) * FILTERS]
+            some, at = best[k]
+            own = back[some, k * FILTERS : (k + 1) * FILTERS]
+            hit, filter_ = np.nonzero(own)
+            own, at = own[hit, filter_][:, None], at[hit, filter_]
             for j in range(width):
-                at = places[k] + j
-                g_filters[k][j] += vectors[at].T * own
-                step = (f[j] * own).T
-                for side in range(PARTS):
-                    rows.append(slots[at, side])
-                    values.append(step)
-    return rows, values, g_filters, g_offset, g_out, g_bias
+                np.add.at(g_filters[k][j].T, filter_, vectors[at + j] * own)
+                rows.append(slots[at + j])
+                values.append(f[j].T[filter_] * own)
+    return np.concatenate(rows), np.concatenate(values), g_filters, g_offset, g_out, g_bias
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct table rows and the sum of the values of each."""
+    each = rows.ravel()
+    order = np.argsort(each, kind="stable")
+    each = each[order]
+    starts = np.flatnonzero(np.diff(each, prepend=-1))
+    return each[starts], np.add.reduceat(values[order // PARTS], starts, axis=0)
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, language: np.ndarray, seed: int = 3) -> Network:
@@ -201,10 +229,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, language: np.ndarray, seed
                 value -= rate * g / np.sqrt(squares[name])
             squares["bias"] += g_bias * g_bias
             net.bias -= rate * g_bias / np.sqrt(squares["bias"])
-            if rows:
-                where, at_ = np.unique(np.concatenate(rows), return_inverse=True)
-                g = np.zeros((len(where), DIM), np.float32)
-                np.add.at(g, at_, np.concatenate(values))
+            if len(rows):
+                where, g = _summed(rows, values)
                 squares["table"][where] += (g * g).sum(axis=1)
                 net.table[where] -= rate * g / np.sqrt(squares["table"][where])[:, None]
     some = np.flatnonzero(held)
@@ -229,8 +255,13 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((value[best] + value[best + 1]) / 2) if best + 1 < len(value) else float(value[best]) - 1e-6
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000) -> Network:
-    """Train on at most ``sample`` labelled rows of each class outside ``held``, those with the smallest hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000, most_bytes: int = 64 << 20) -> Network:
+    """Train on a bounded sample of labelled rows outside ``held``.
+
+    Of each class at most ``sample`` rows, in the order of the hash of doc_id, whose
+    words take at most half of ``most_bytes`` (six bytes a word); a row that no longer
+    fits is passed over. Rows alike in doc_id, label and words count once.
+    """
 
     def run(batches):
         for batch in batches:
@@ -241,10 +272,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 4000
                 rows = pa.array([places[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(languages(words, first), pa.int32()), rows], ["doc_id", "y", "language", "places"])
 
-    found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, language int, places binary").collect()
-    found.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
-    rows = [np.frombuffer(r[3], np.uint16).reshape(-1, PARTS) for r in found]
-    net = train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[2] for r in found], dtype=np.int64))
+    rows = materialize(labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, language int, places binary"), "sample")
+    rows = rows.withColumn("own", F.xxhash64("places"))
+    sizes = rows.groupBy("doc_id", "y", "own").agg(F.min(F.octet_length("places")).alias("size"))
+    chosen = []
+    for y in (0, 1):
+        left = most_bytes // 2
+        for r in sizes.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(sample).collect():
+            if r.size <= left:
+                left -= r.size
+                chosen.append((r.doc_id, y, r.own))
+    keys = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int, own long")
+    once = rows.join(F.broadcast(keys), ["doc_id", "y", "own"]).groupBy("doc_id", "y", "own").agg(F.min("language"), F.min("places"))
+    found = sorted(once.collect(), key=lambda r: (r[0], r[1], r[2]))
+    rows = [np.frombuffer(r[4], np.uint16).reshape(-1, PARTS) for r in found]
+    net = train(rows, np.array([r[1] for r in found], dtype=np.int64), np.array([r[3] for r in found], dtype=np.int64))
     del rows, found
     give_back()
     return net
