@@ -124,3 +124,47 @@ def test_two_writers_and_a_crash_before_the_pointer(spark, tmp_path, monkeypatch
         last = store.invalidate("k", str(i + 2))
     kept = [p for p in (tmp_path / "index").iterdir() if p.name.startswith("v-") and p.name != "v-lost"]
     assert last.version in {p.name for p in kept} and first.version not in {p.name for p in kept} and second.version not in {p.name for p in kept}
+
+
+def test_migrations_go_forward_and_back(spark, tmp_path):
+    from weftline.sources.migrations import migrate, new_columns, new_table, version_of
+    from weftline.sources.snapshot import SnapshotStore
+
+    steps = [new_table("notes", "file string, note string"), new_columns("symbols", {"doc": "string", "rank": "int"}, rereads=True)]
+    store = SnapshotStore(spark, str(tmp_path / "index"))
+    assert migrate(store, steps) is None
+    first = store.apply(frame(spark, service(), controller()), settings={"pins": "none"})
+    hashes = {r.path: r.hash for r in first["files"].collect()}
+    one = migrate(store, steps, 1)
+    assert version_of(first) == 0 and version_of(one) == 1 and one["notes"].columns == ["file", "note"] and {r.path: r.hash for r in one["files"].collect()} == hashes
+    two = migrate(store, steps)
+    assert version_of(two) == 2 and {r.doc for r in two["symbols"].collect()} == {None} and {r.hash for r in two["files"].collect()} == {""}
+    assert migrate(store, steps).version == two.version  # nothing to do
+    # a pass keeps what migrations have added
+    again = store.apply(frame(spark, service(), controller()))
+    assert version_of(again) == 2 and "notes" in again.tables and "rank" in again["symbols"].columns and {r.path: r.hash for r in again["files"].collect()} == hashes
+    for wanted, known in ((3, steps), (-1, steps), (None, steps[:1])):
+        with pytest.raises(ValueError, match="cannot go"):
+            migrate(store, known, wanted)
+    back = migrate(store, steps, 0)
+    assert version_of(back) == 0 and "notes" not in back.tables and back["symbols"].columns == first["symbols"].columns
+    assert dict(map(tuple, back["settings"].collect()))["pins"] == "none"
+
+
+def test_locale_order_and_redacted_urls(spark):
+    from weftline.functions import paths, text
+
+    names = spark.createDataFrame([(n,) for n in ("b", "A", "a", "B", "_x", "\u00e9", "a-b", "ab", "a b", "z", "10", "2")], "n string")
+    assert [r.n for r in names.orderBy(*text.locale_order(F.col("n"))).collect()] == ["_x", "10", "2", "a", "A", "a b", "a-b", "ab", "b", "B", "\u00e9", "z"]
+    urls = {
+        "postgres://u:p@h/db": "postgres://u:***@h/db",
+        "postgres://u:p:q@r@h:5432/db?x=a:b@c": "postgres://u:***@h:5432/db?x=a:b@c",
+        "postgres://:p@h": "postgres://:***@h",
+        "postgres://u@h:80/x@y": "postgres://u@h:80/x@y",
+        "http://h:80/a:b@c": "http://h:80/a:b@c",
+        "no url: a:b@c": "no url: a:b@c",
+        "": "",
+        None: None,
+    }
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", paths.redacted_url(F.col("u")).alias("r")).collect()
+    assert {r.u: r.r for r in got} == urls

@@ -113,6 +113,11 @@ def package_name(specifier: Column) -> Column:
     )
 
 
+def redacted_url(url: Column) -> Column:
+    """A URL with its password masked; everything else stays as it is written."""
+    return F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*:)[^/?#]+@", "$1***@")
+
+
 def module_name(specifier: Column) -> Column:
     bare = F.regexp_replace(specifier, "^node:", "")
     return F.when(F.startswith(bare, F.lit("@")), F.substring_index(bare, "/", 2)).otherwise(F.substring_index(bare, "/", 1))

@@ -98,5 +98,10 @@ def dropped_note(dropped: Column) -> Column:
     )
 
 
+def locale_order(column: Column) -> list[Column]:
+    """Sort keys for the order of the Unicode collation's root locale; equal ones by code points."""
+    return [F.collate(column, "UNICODE"), column]
+
+
 def distinct_from(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)

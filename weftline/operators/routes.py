@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import METHODS, effective_path, has_prefix, join_path, path_matches, segment_matches, segments
+from ..functions.text import locale_order
 from .graph import settle
 
 # How much a kind of match is trusted, and from where on a unique best match is followed.
@@ -212,7 +213,7 @@ def mounts(calls: DataFrame) -> DataFrame:
 def _positioned(calls: DataFrame) -> DataFrame:
     """Placeable registrations with their position in their receiver, and effective path."""
     placed = calls.where("receiver_key is not null").withColumns({"key": F.col("receiver_key"), "kind": F.col("receiver_kind"), "path_": effective_path(F.col("path"), F.col("path_text"))})
-    pos = F.row_number().over(W.partitionBy("key").orderBy("file", "order_idx", "seq"))
+    pos = F.row_number().over(W.partitionBy("key").orderBy(*locale_order(F.col("file")), "order_idx", "seq"))
     return placed.withColumn("pos", pos)
 
 

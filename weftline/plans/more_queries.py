@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -161,3 +162,28 @@ def documentation_links(spark, base):
     repository = F.when(kind == 1, F.concat(F.lit("git+https://github.com/a/b"), size, F.lit(".git")))
     found = documents.documentation_url(package, F.lit("Pool"), F.when(kind == 2, F.concat(F.lit("1.2."), size)), package, F.lit(None).cast("string"), repository)
     return table(spark, base, "part").select("p_partkey", found["url"].alias("url"))
+
+
+@query(
+    "locale_order",
+    """WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN '_' || p_name WHEN 2 THEN replace(p_name, ' ', '-') ELSE p_name END AS name FROM part)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_size ORDER BY name COLLATE en, name, p_partkey) AS INTEGER) AS position FROM t""",
+)
+def locale_order(spark, base):
+    """Names in the order that readers expect: case and punctuation come after letters."""
+    kind, name = F.col("p_partkey") % 5, F.col("p_name")
+    name = F.when(kind == 0, F.upper(name)).when(kind == 1, F.concat(F.lit("_"), name)).when(kind == 2, F.replace(name, F.lit(" "), F.lit("-"))).otherwise(name)
+    place = F.row_number().over(Window.partitionBy("p_size").orderBy(*text.locale_order(F.col("name")), "p_partkey"))
+    return table(spark, base, "part").withColumn("name", name).select("p_partkey", place.alias("position"))
+
+
+@query(
+    "redacted_urls",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'postgres://u' || page_id || ':***@' WHEN 1 THEN 'postgres://u' || page_id || '@' ELSE 'postgres://' END || substr(url, strpos(url, '//') + 2) AS url FROM pages""",
+)
+def redacted_urls(spark, base):
+    """Addresses with a password that itself holds a colon and an at sign, with a user alone, and with neither."""
+    page, kind = F.col("page_id"), F.col("page_id") % 3
+    user = F.when(kind == 0, F.concat(F.lit("u"), page.cast("string"), F.lit(":p:w@d"), page.cast("string"), F.lit("@"))).when(kind == 1, F.concat(F.lit("u"), page.cast("string"), F.lit("@"))).otherwise("")
+    url = F.concat(F.lit("postgres://"), user, F.expr("substr(url, instr(url, '//') + 2)"))
+    return table(spark, base, "pages").select("page_id", paths.redacted_url(url).alias("url"))

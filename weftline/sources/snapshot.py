@@ -71,7 +71,7 @@ class SnapshotStore:
         if not number:
             return None
         version = self._read(number)
-        names = [*BASE, *DERIVED, "settings"]
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._path(version))]
         return Snapshot({n: self.spark.read.parquet(f"{self.root}/{version}/{n}") for n in names}, version)
 
     def publish(self, tables: dict[str, DataFrame], after: str | None = None) -> Snapshot:
@@ -111,7 +111,8 @@ class SnapshotStore:
 
         ``facts`` of a path in ``refreshed`` replace only what its symbols do;
         the symbols themselves stay. Raises FactsError, and publishes nothing,
-        if facts belong to unknown symbols.
+        if facts belong to unknown symbols. Tables and columns that migrations
+        have added stay; new rows are null there.
         """
         old = self.current()
         removed, refreshed = (x if isinstance(x, DataFrame) else self.spark.createDataFrame([(p,) for p in x], "path string") for x in (removed, refreshed))
@@ -128,13 +129,14 @@ class SnapshotStore:
             fresh = facts_io.expand(replaced, resolve_in=symbols, checked=False)
             tables = {n: (stays(n, gone if n in ("symbols", "imports", "declarations") else touched, "path" if n == "files" else "file")) for n in BASE if n != "files"}
             tables["files"] = stays("files", gone, "path")
-            tables = {n: t.unionByName((fresh if n in ("files", "symbols", "imports", "declarations") else new)[n]) for n, t in tables.items()}
+            tables = {n: t.unionByName((fresh if n in ("files", "symbols", "imports", "declarations") else new)[n], allowMissingColumns=True) for n, t in tables.items()}
             facts_io.check_owners(new, tables["symbols"].select("symbol_id"))
             # an edge into a file that was replaced is gone until its caller is refreshed
             ids = tables["symbols"].select("symbol_id")
             calls = tables["calls"]
             tables["calls"] = calls.where("callee_id is null").unionByName(calls.where("callee_id is not null").join(ids.withColumnRenamed("symbol_id", "callee_id"), "callee_id", "left_semi").select(calls.columns))
             kept_settings = old["settings"]
+            tables |= {n: t for n, t in old.tables.items() if n not in (*BASE, *DERIVED, "settings")}
         tables |= derive(tables, pins)
         for key, value in (settings or {}).items():
             kept_settings = kept_settings.where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value)], SETTINGS))
