@@ -50,6 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` has returned; nothing may be computed from it any more."""
+    spark = df.sparkSession
+    own = session_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows and bytes of one Arrow batch, on both sides of the pipe to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = -3, -1  # of mallopt() in the C library
