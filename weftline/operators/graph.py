@@ -7,18 +7,24 @@ import itertools
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder; a folder of its own only where a local session names none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors reach; one of its own only where a local session names none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="weftline-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage through the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -61,6 +67,16 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def spread(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): ``starts`` (node) and all that edges (src, dst) lead to from there."""
+    found = frontier = settle(starts.select("node").where("node is not null").distinct())
+    while not frontier.isEmpty():
+        step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = settle(step.join(found, "node", "left_anti"))
+        found = found.unionByName(frontier)
+    return found
+
+
 def closest_reaching(edges: DataFrame, starts: DataFrame, stops: DataFrame, hops: int) -> DataFrame:
     """(start, node, hops): nodes that reach a start against the edges within ``hops``, at their least distance.
 

@@ -178,6 +178,17 @@ def _at() -> Column:
     return F.concat_ws(":", F.col("file"), F.col("line").cast("string"))
 
 
+def mount_edges(calls: DataFrame) -> DataFrame:
+    """(src, dst): receivers and what they mount."""
+    uses = calls.where("receiver_key is not null and call_kind = 'use'").select(F.col("receiver_key").alias("src"), F.explode("handlers").alias("h"))
+    return uses.where("h.kind = 'router' and h.receiver_key is not null").select("src", F.col("h.receiver_key").alias("dst")).distinct()
+
+
+def loose_key(file: Column) -> Column:
+    """The key of warnings about a file's registrations that have no receiver."""
+    return F.concat(F.lit("file:"), file)
+
+
 def mounts(calls: DataFrame) -> DataFrame:
     """(key, prefix, chain, seen, places, app): every way to reach a receiver from an app that nothing mounts.
 
@@ -229,11 +240,11 @@ def stitch(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     receiver_text, call_kind, method, path, path_text, line, end_line, order_idx
     and handlers. Returns
 
-    * routes (route, method, full_path, file, line, end_line, handler, mount_chain, warnings),
+    * routes (route, method, full_path, file, line, end_line, handler, mount_chain, warnings, receivers: all on the way to it),
     * middleware (route, order_idx, phase, handler, file, line, end_line) in the order it runs:
       what apps and routers registered before the route and whose scope covers it, outer ones first;
       the route's own; then error handlers registered later, inner ones first,
-    * warnings (message): registrations that could not be placed.
+    * warnings (key, message): registrations that could not be placed, by receiver or file.
 
     ``route`` is one registration in one way of reaching it.
     """
@@ -249,7 +260,7 @@ def stitch(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     note = F.concat(_at(), F.lit(": path `"), F.col("path_text"), F.lit("` is not a string literal; shown as *"))
     routes = placed.select(
         "route", F.coalesce("method", F.lit("ALL")).alias("method"), "full_path", "file", "line", "end_line", F.element_at("own", -1).alias("handler"), F.col("chain").alias("mount_chain"),
-        F.when(dynamic, F.array(note)).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.when(dynamic, F.array(note)).otherwise(F.array().cast("array<string>")).alias("warnings"), F.col("seen").alias("receivers"),
     )
     # the levels around a route: each receiver on the way, and the route's own as the innermost
     inner = F.array(F.struct("key", "prefix", F.col("pos").cast("int").alias("pos"), F.lit(-1).alias("handler"), F.col("order_idx").cast("int").alias("order_idx")))
@@ -277,13 +288,13 @@ def stitch(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _stitch_warnings(calls: DataFrame, rows: DataFrame, walked: DataFrame) -> DataFrame:
     verb = F.lower(F.coalesce("method", F.lit("use")))
     placeless = calls.where("receiver_key is null").select(
-        F.concat(_at(), F.lit(": `"), F.col("receiver_text"), F.lit("."), verb, F.lit("(...)` registers on a value that isn't an app or router created in this repo with express() or Router(), so it can't be placed in the route tree")).alias("message")
+        loose_key(F.col("file")).alias("key"), F.concat(_at(), F.lit(": `"), F.col("receiver_text"), F.lit("."), verb, F.lit("(...)` registers on a value that isn't an app or router created in this repo with express() or Router(), so it can't be placed in the route tree")).alias("message")
     )
     dynamic = rows.where("call_kind = 'use' and path is null and path_text is not null").join(walked.select("key"), "key")
-    dynamic = dynamic.select(F.concat(_at(), F.lit(": mount path `"), F.col("path_text"), F.lit("` is not a string literal; shown as *")).alias("message"))
+    dynamic = dynamic.select("key", F.concat(_at(), F.lit(": mount path `"), F.col("path_text"), F.lit("` is not a string literal; shown as *")).alias("message"))
     loops = _mount_steps(rows).join(walked.select("key", "seen"), "key").where(F.array_contains("seen", F.col("target")))
-    loops = loops.select(F.concat(_at(), F.lit(": `"), F.col("text"), F.lit("` is already mounted above this router; skipped to avoid a loop")).alias("message"))
+    loops = loops.select("key", F.concat(_at(), F.lit(": `"), F.col("text"), F.lit("` is already mounted above this router; skipped to avoid a loop")).alias("message"))
     lost = rows.where("call_kind = 'route'").select("key").distinct().join(walked.select("key").distinct(), "key", "left_anti")
     name = F.regexp_extract("key", "([^#]*)$", 1)
-    lost = lost.select(F.concat(F.regexp_replace("key", "#[^#]*$", ""), F.lit(": router `"), name, F.lit("` has routes but is never mounted on an app")).alias("message"))
+    lost = lost.select("key", F.concat(F.regexp_replace("key", "#[^#]*$", ""), F.lit(": router `"), name, F.lit("` has routes but is never mounted on an app")).alias("message"))
     return placeless.unionByName(dynamic).unionByName(loops).unionByName(lost)

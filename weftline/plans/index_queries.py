@@ -5,11 +5,14 @@ Sizes grow with the tables; each query states the same rows in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import contexts, documents, freshness, grounding, walkthroughs
+from ..operators.graph import shared_folder
 from ..sources import facts, snapshot
 from ..sources.tables import table
 from .registry import query
@@ -339,3 +342,20 @@ def fn_context(spark, base):
     none = spark.createDataFrame([], "file string, kind string, name string, line int, ref_file string, ref_line int, ref_end_line int")
     code = contexts.fn_context(index(spark, base) | {"declarations": none}, long, targets, 2, 10**9)["code"]
     return code.where("fits").groupBy("target", "part", "file", F.col("start").alias("first_line")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "merged_levels",
+    """WITH o AS (SELECT o_custkey AS k, o_orderkey, CASE WHEN o_custkey % 13 = 3 THEN 3 WHEN o_custkey % 7 = 1 THEN 1 ELSE 0 END AS level FROM orders WHERE o_custkey % 11 <> 2 OR o_custkey % 13 = 3)
+SELECT 'c' || k AS file, o_orderkey AS position, CAST(level AS INTEGER) AS level FROM o""",
+)
+def merged_levels(spark, base):
+    """Facts of files (customers, with an order each for a fact) after a first pass and three that change, remove and bring back some."""
+    order, number = F.col("o_orderkey"), F.col("o_custkey")
+    facts_of = lambda level, where: table(spark, base, "orders").where(where).select(_numbered("c", number).alias("file"), order.alias("position"), F.lit(level).alias("level"))
+    files = lambda where: table(spark, base, "orders").where(where).select(_numbered("c", number).alias("file"))
+    store = snapshot.SnapshotStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    store.publish({"imports": facts_of(0, F.lit(True))})
+    store.change({"imports": facts_of(1, number % 7 == 1)}, {"imports": {"file": files(number % 7 == 1)}})
+    store.change({}, {"imports": {"file": files(number % 11 == 2)}})
+    return store.change({"imports": facts_of(3, number % 13 == 3)}, {"imports": {"file": files(number % 13 == 3)}})["imports"]
