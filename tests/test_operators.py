@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, sql_effects, text
-from weftline.operators import freshness, graph, grounding, relational
+from weftline.operators import freshness, graph, grounding, nesting, relational
 
 SOME = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -237,7 +237,7 @@ def test_sweeps_and_cells_equal_brute_force(spark):
     rng = random.Random(2)
     spans = [(i, "k" if i % 3 else "hot", s := rng.randrange(-50, 900), s + rng.choice([0, 1, 5, 60, 700]), ) for i in range(300)]
     points = [(i, rng.choice(["k", "hot", "none"]), rng.randrange(-60, 1000)) for i in range(200)]
-    got = relational.innermost_enclosing(spark.createDataFrame(points, "id long, k string, at long"), spark.createDataFrame(spans, "id long, k string, start long, `end` long"), ["k"])
+    got = nesting.holding(spark.createDataFrame(points, "id long, k string, at long"), spark.createDataFrame(spans, "id long, k string, start long, `end` long"), ["k"])
     expected = {}
     for i, k, at in points:
         around = [(-s, e, j) for j, own, s, e in spans if own == k and s <= at <= e]
@@ -250,7 +250,7 @@ def test_sweeps_and_cells_equal_brute_force(spark):
     expected = {i: min((abs(n - near), n) for own, n in lines if own == k)[1] for i, k, near in asked if k != "absent"}
     assert {r.id: r.line for r in got.collect()} == expected
     empty = spark.createDataFrame([], "id long, k string, start long, `end` long")
-    assert relational.innermost_enclosing(spark.createDataFrame(points, "id long, k string, at long"), empty, ["k"]).collect() == []
+    assert nesting.holding(spark.createDataFrame(points, "id long, k string, at long"), empty, ["k"]).collect() == []
 
 
 def test_numbers_over_all_rows(spark):

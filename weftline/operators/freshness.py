@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dropped_note, hash_lines
+from .graph import settle
 from .relational import outermost, relocatable
+from .windows import find_windows
 
 AT = "struct<start:int,end:int>"
 
@@ -16,12 +18,12 @@ def nearest(places: Column, to: Column) -> Column:
     return F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - to).alias("d"), p.alias("p"))))["p"]
 
 
-def find_text(lines: Column, length: Column, digest: Column, near: Column, first: Column = None, last: Column = None) -> Column:
-    """The first line of the run of ``length`` lines with this digest, within first..last, nearest to ``near``; null if there is none."""
-    low = F.lit(1) if first is None else first
-    high = (F.size(lines) if last is None else F.least(last, F.size(lines))) - length + 1
-    starts = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    return nearest(F.filter(starts, lambda s: hash_lines(F.slice(lines, s, length)) == digest), near)
+def _found(asked: DataFrame, sources: DataFrame, near: Column, first: Column, last: Column, what: str, print_: str) -> DataFrame:
+    """(id, _now): where the lines ``what``start to ``what``end of the rows (id, file, ...) of ``asked`` stand now, nearest to ``near`` within first..last."""
+    kept = F.col(print_) if print_ in asked.columns else F.lit(None).cast("long")
+    start, end = F.col(f"{what}start"), F.col(f"{what}end")
+    rows = asked.select("id", "file", (end - start + 1).alias("length"), kept.alias("print"), F.col(f"{what}hash").alias("hash"), near.alias("near"), first.alias("first"), last.alias("last"))
+    return find_windows(rows, sources).withColumnRenamed("start", "_now")
 
 
 def locate_blocks(blocks: DataFrame, sources: DataFrame, symbols: DataFrame, follow_text: bool = False) -> DataFrame:
@@ -31,16 +33,20 @@ def locate_blocks(blocks: DataFrame, sources: DataFrame, symbols: DataFrame, fol
     and lines; ``symbols`` file, name, start_line and end_line. A block of a symbol
     is where the symbol of that name nearest to its old line is; one without
     follows its exact text if ``follow_text``, else stays while the file is long enough.
+    A column print of blocks (``windows.block_print`` of their lines) makes following cheap.
     """
     named = blocks.where("symbol is not null").select("block_id", "file", F.col("symbol").alias("name"), "start").join(symbols.select("file", "name", "start_line", "end_line"), ["file", "name"])
     order = F.struct(F.abs(F.col("start_line") - F.col("start")), F.col("start_line"), -F.col("end_line"))
     found = named.groupBy("block_id").agg(F.min_by(F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end")), order).alias("_named"))
     joined = blocks.join(sources.select("file", "lines"), "file", "left").join(found, "block_id", "left")
     length = F.col("end") - F.col("start") + 1
-    moved = find_text(F.col("lines"), length, F.col("hash"), F.col("start")) if follow_text else F.lit(None).cast("int")
+    moved = F.col("_now") if follow_text else F.lit(None).cast("int")
+    if follow_text:
+        loose = blocks.where("symbol is null").withColumn("id", F.col("block_id"))
+        joined = joined.join(_found(loose, sources, F.col("start"), F.lit(1), F.lit(2**31 - 1), "", "print").withColumnRenamed("id", "block_id"), "block_id", "left")
     kept = F.when(F.col("end") <= F.size("lines"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))
     at = F.when(F.col("lines").isNull(), None).when(F.col("symbol").isNotNull(), F.col("_named")).otherwise(F.coalesce(F.when(moved.isNotNull(), F.struct(moved.alias("start"), (moved + length - 1).cast("int").alias("end"))), kept))
-    joined = joined.withColumn("at", at.cast(AT)).drop("_named")
+    joined = joined.withColumn("at", at.cast(AT)).drop("_named", "_now")
     text = F.slice("lines", F.col("at.start"), F.greatest(F.least(F.col("at.end"), F.size("lines")) - F.col("at.start") + 1, F.lit(0)))
     return joined.withColumn("same", F.coalesce(F.col("at").isNotNull() & (hash_lines(text) == F.col("hash")), F.lit(False)))
 
@@ -49,17 +55,19 @@ def check_sections(sections: DataFrame, steps: DataFrame, sources: DataFrame, sy
     """Sections of one block each: (section_id, symbol, file, state, at), and their steps (section_id, step_id, fresh, file, start, end).
 
     ``sections`` has section_id and the block's columns; ``steps`` section_id,
-    step_id, step_file, step_start, step_end and step_hash. An unchanged block
+    step_id, step_file, step_start, step_end and step_hash (and step_print, the
+    fingerprint of its lines, where one was kept). An unchanged block
     carries its steps along; in a changed one each step is fresh if its own lines
     are still there. A step that cites code outside its block is stale.
     """
-    blocks = locate_blocks(sections.withColumn("block_id", F.col("section_id")), sources, symbols)
+    blocks = settle(locate_blocks(sections.withColumn("block_id", F.col("section_id")), sources, symbols).drop("lines"))
     joined = steps.join(blocks, "section_id")
     delta = F.col("at.start") - F.col("start")
     inside = (F.col("step_file") == F.col("file")) & (F.col("step_start") >= F.col("start")) & (F.col("step_end") <= F.col("end"))
-    length = F.col("step_end") - F.col("step_start") + 1
-    found = find_text(F.col("lines"), length, F.col("step_hash"), F.col("step_start") + delta, F.col("at.start"), F.col("at.end"))
-    now = F.when(F.col("at").isNull(), None).when(F.col("same"), F.when(inside, F.col("step_start") + delta)).otherwise(found)
+    lost = joined.where("at is not null and not same").withColumn("id", F.struct("section_id", "step_id"))
+    found = _found(lost, sources, F.col("step_start") + delta, F.col("at.start"), F.col("at.end"), "step_", "step_print")
+    joined = joined.join(found.select("id.section_id", "id.step_id", "_now"), ["section_id", "step_id"], "left")
+    now = F.when(F.col("at").isNull(), None).when(F.col("same"), F.when(inside, F.col("step_start") + delta)).otherwise(F.col("_now"))
     judged = _placed(joined, now)
     stale = judged.groupBy("section_id").agg(F.count_if(~F.col("fresh")).alias("_stale"))
     state = F.when(F.col("at").isNull(), "missing").when(F.col("same") & (F.coalesce("_stale", F.lit(0)) == 0), "fresh").otherwise("changed")
@@ -79,17 +87,20 @@ def check_block_sections(blocks: DataFrame, steps: DataFrame, sources: DataFrame
     within the first block that holds it; the first block stands for the section.
     """
     blocks = locate_blocks(blocks.withColumn("block_id", F.concat_ws("#", "section_id", F.col("position").cast("string"))), sources, symbols, follow_text=True)
+    blocks = settle(blocks.drop("lines"))
     label = F.coalesce("symbol", F.concat_ws(":", "file", F.col("start").cast("string")))
     totals = blocks.groupBy("section_id").agg(
         F.min_by("at", "position").alias("at"), F.transform(F.array_sort(F.collect_list(F.when(~F.col("same"), F.struct("position", label.alias("label"))))), lambda x: x["label"]).alias("changed_blocks")
     )
-    held = steps.join(blocks.select("section_id", "position", "file", "start", "end", "at", "same", "lines"), "section_id")
+    held = steps.join(blocks.select("section_id", "position", "file", "start", "end", "at", "same"), "section_id")
     held = held.where((F.col("file") == F.col("step_file")) & (F.col("step_start") >= F.col("start")) & (F.col("step_end") <= F.col("end")))
     owner = held.groupBy("section_id", "step_id").agg(F.min("position").alias("position"))
     owned = held.join(owner, ["section_id", "step_id", "position"])
     delta = F.col("at.start") - F.col("start")
-    found = find_text(F.col("lines"), F.col("step_end") - F.col("step_start") + 1, F.col("step_hash"), F.col("step_start") + delta, F.col("at.start"), F.col("at.end"))
-    now = F.when(F.col("at").isNull(), None).when(F.col("same"), F.col("step_start") + delta).otherwise(found)
+    lost = owned.where("at is not null and not same").withColumn("id", F.struct("section_id", "step_id"))
+    found = _found(lost, sources, F.col("step_start") + delta, F.col("at.start"), F.col("at.end"), "step_", "step_print")
+    owned = owned.join(found.select("id.section_id", "id.step_id", "_now"), ["section_id", "step_id"], "left")
+    now = F.when(F.col("at").isNull(), None).when(F.col("same"), F.col("step_start") + delta).otherwise(F.col("_now"))
     places = owned.select("section_id", "step_id", now.alias("_now"))
     heads = totals.select("section_id", F.col("at").isNotNull().alias("_there"))
     judged = steps.join(places, ["section_id", "step_id"], "left").join(heads, "section_id")

@@ -125,57 +125,59 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, most: int | None = None,
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): nodes on cycles with the least node they reach both ways; nodes on no cycle are left out.
 
-    Colouring: in each round every node takes the least node that reaches it;
-    those that also reach that node form its component and leave the graph.
+    In each round every node takes the least node that reaches it, and then,
+    along edges between nodes of the same one, the least that it reaches. Where
+    the two are equal they name a component, of as many pivots at once as there
+    are different least nodes; all else goes on within nodes of equal pairs,
+    which components never leave.
     """
     live = settle(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    done = None
-    while True:
+    left, done = live.count(), None
+    while left:
         # nodes that nothing leads to or from lie on no cycle
-        while True:
-            inner = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            inner = settle(inner.select("src", "dst"))
-            if inner.count() == live.count():
-                break
-            live = inner
-        if live.isEmpty():
-            break
-        colour = _least(live)
-        own = live.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd")
-        back = _reaching_back(own.select("src", "dst", F.col("cs").alias("c")))
-        done = back if done is None else done.unionByName(back)
-        live = settle(live.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        inner = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        live = settle(inner.select("src", "dst"))
+        had, left = left, live.count()
+        if 2 * left < had or not left:
+            continue
+        into = _least(live)
+        own = settle(_within(live, into))
+        out_of = _least(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        met = settle(into.join(out_of.toDF("node", "least"), "node").where("colour = least").select("node", F.col("colour").alias("component")))
+        done = met if done is None else done.unionByName(met)
+        rest = _within(own, out_of).join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = settle(rest.select("src", "dst"))
+        left = live.count()
     if done is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     sizes = done.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1")
     return done.join(sizes.select("component"), "component", "left_semi").select("node", "component")
 
 
+def _within(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """Edges between nodes of one colour."""
+    # not an equality, by which Spark might join all nodes of a colour with each other first
+    same = (F.col("_cs") <= F.col("_cd")) & (F.col("_cs") >= F.col("_cd"))
+    return edges.join(colour.toDF("src", "_cs"), "src").join(colour.toDF("dst", "_cd"), "dst").where(same).select("src", "dst")
+
+
 def _least(edges: DataFrame) -> DataFrame:
-    """(node, colour): the least node that reaches each node, itself included."""
+    """(node, colour): the least node that reaches each node, itself included.
+
+    What reaches a node's colour reaches the node, so each round takes the
+    colour's colour too: ways get longer in proportion, not by an edge a round.
+    """
     colour = settle(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
     while True:
-        passed = edges.join(colour.toDF("src", "colour"), "src").select(F.col("dst").alias("node"), "colour")
-        new = settle(colour.unionByName(passed).groupBy("node").agg(F.min("colour").alias("colour")))
-        changed = new.join(colour.toDF("node", "old"), "node").where("colour <> old").isEmpty()
-        colour = new
-        if changed:
+        passed = edges.join(colour.toDF("src", "colour"), "src").select(F.col("dst").alias("node"), "colour", F.lit(None).cast(colour.schema["colour"].dataType).alias("_old"))
+        near = colour.select("node", "colour", F.col("colour").alias("_old")).unionByName(passed).groupBy("node").agg(F.min("colour").alias("colour"), F.max("_old").alias("_old"))
+        jumped = near.join(near.select(F.col("node").alias("colour"), F.col("colour").alias("_far")), "colour")
+        new = settle(jumped.select("node", F.least("colour", "_far").alias("colour"), "_old"))
+        colour = new.select("node", "colour")
+        if new.where("colour <> _old").isEmpty():
             return colour
 
 
-def _reaching_back(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes of colour c that reach c inside the colour."""
-    found = settle(edges.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
-    frontier = found
-    while True:
-        step = frontier.select(F.col("node").alias("dst"), F.col("component").alias("c")).join(edges, ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("component")).distinct()
-        step = settle(step.join(found, ["node", "component"], "left_anti"))
-        if step.isEmpty():
-            return found
-        found = settle(found.unionByName(step))
-        frontier = step
-
-
 def dependency_order(functions: DataFrame, edges: DataFrame, group: str = "file") -> DataFrame:
     """(group, position, name, start, cycle): functions so that each comes after all it calls.
 

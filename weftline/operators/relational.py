@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import block_cost, hash_lines
+from ..functions.text import block_cost
 from .graph import settle
 
 
@@ -60,20 +60,6 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -
     return pairs.where(overlaps(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")) & (later == F.col("_cell"))).select(*on, "l_id", "r_id")
 
 
-def innermost_enclosing(points: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
-    """For each point (id, at, *on) the enclosing span (span_id) that starts last; of these the one that ends first, then the smallest id."""
-    # a span lies in at most two cells of the power of two above its length; a point asks each width that occurs for its own cell
-    level = lambda length: F.ceil(F.log2(length + 1)).cast("int")
-    cell = lambda at, lv: F.floor(at / F.pow(F.lit(2.0), lv)).cast("long")
-    dealt = spans.where("start <= `end`").select(*on, F.col("id").alias("span_id"), "start", "end", level(F.col("end") - F.col("start")).alias("_level"))
-    levels = sorted(r[0] for r in dealt.select("_level").distinct().collect())
-    dealt = dealt.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("start"), F.col("_level")), cell(F.col("end"), F.col("_level"))))))
-    asked = points.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_cell", cell(F.col("at"), F.col("_level")))
-    joined = asked.join(dealt, [*on, "_level", "_cell"]).where("at between start and `end`")
-    best = F.min_by("span_id", F.struct(-F.col("start"), F.col("end"), F.col("span_id"))).alias("span_id")
-    return joined.groupBy("id").agg(best)
-
-
 def outermost(spans: DataFrame, on: list[str]) -> DataFrame:
     """The spans (id, start, end, *on) that no other span with the same ``on`` strictly contains.
 
@@ -98,17 +84,28 @@ def merge_ranges(ranges: DataFrame, on: list[str]) -> DataFrame:
 
 
 def nearest_match(queries: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
-    """For each query (id, near, *on) the line among ``lines`` (line, *on) nearest to ``near``; of two the smaller."""
+    """For each query (id, near, *on) the line among ``lines`` (line, *on) nearest to ``near``; of two the smaller.
+
+    Where queries have first and last, the line must lie within them.
+    """
     # one sweep up and one down over both, in place of a join of all lines of a key with all its queries
     kind = queries.schema["id"].dataType
-    asked = queries.select(*on, "id", F.col("near").cast("long").alias("_at"), F.lit(None).cast("long").alias("line"))
-    there = lines.select(*on, F.lit(None).cast(kind).alias("id"), F.col("line").cast("long").alias("_at"), F.col("line").cast("long").alias("line"))
+    bounded = {"first", "last"} <= set(queries.columns)
+    far = F.lit(None).cast("long")
+    first, last = (F.col("first").cast("long"), F.col("last").cast("long")) if bounded else (far, far)
+    near = F.col("near").cast("long")
+    # from a place within the bounds the nearest on either side is the nearest within them on that side
+    at = F.greatest(F.least(near, last), first) if bounded else near
+    asked = queries.select(*on, "id", near.alias("_near"), at.alias("_at"), first.alias("_first"), last.alias("_last"), far.alias("line"))
+    there = lines.select(*on, F.lit(None).cast(kind).alias("id"), far.alias("_near"), F.col("line").cast("long").alias("_at"), far.alias("_first"), far.alias("_last"), F.col("line").cast("long").alias("line"))
     sweep = lambda order: W.partitionBy(*on).orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
     both = asked.withColumn("_asks", F.lit(True)).unionByName(there.withColumn("_asks", F.lit(False)))
     both = both.withColumn("_low", F.max("line").over(sweep(F.col("_at")))).withColumn("_high", F.min("line").over(sweep(F.col("_at").desc())))
-    below = F.col("_high").isNull() | (F.col("_at") - F.col("_low") <= F.col("_high") - F.col("_at"))
-    found = both.where("_asks").select("id", "_at", F.when(F.col("_low").isNotNull() & below, F.col("_low")).otherwise(F.col("_high")).alias("line")).where("line is not null")
-    return found.groupBy("id").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("_at")), F.col("line"))).alias("line"))
+    low, high = (F.when(F.col(c).between(F.coalesce("_first", c), F.coalesce("_last", c)), F.col(c)) for c in ("_low", "_high"))
+    both = both.where("_asks").select("id", "_near", low.alias("_low"), high.alias("_high"))
+    below = F.col("_high").isNull() | (F.abs(F.col("_near") - F.col("_low")) <= F.abs(F.col("_high") - F.col("_near")))
+    found = both.select("id", "_near", F.when(F.col("_low").isNotNull() & below, F.col("_low")).otherwise(F.col("_high")).alias("line")).where("line is not null")
+    return found.groupBy("id").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("_near")), F.col("line"))).alias("line"))
 
 
 def relocatable(text: Column) -> Column:
@@ -116,12 +113,6 @@ def relocatable(text: Column) -> Column:
     return text.rlike("[A-Za-z_$]")
 
 
-def window_hashes(lines: Column, length: Column) -> Column:
-    """array<struct<line, hash>>: digest of each run of ``length`` lines, with its first line's number."""
-    starts = F.when(F.size(lines) >= length, F.sequence(F.lit(1), F.size(lines) - length + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("line"), hash_lines(F.slice(lines, s, length)).alias("hash")))
-
-
 def greedy_budget(rows: DataFrame, group: list[str], order: list[str], limit: int, text: str = "text", key: str = "id", block: int = 2000) -> DataFrame:
     """(group, key, cost) of the rows taken: in order, each whose cost still fits; one that does not is skipped and costs nothing.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import block_lines, hash_lines
 from . import graph, grounding, relational
+from .windows import block_print
 
 RETRIES = 2
 PRIORITY = ["registration", "component", "hook", "target", "chain", "callee"]
@@ -38,20 +39,22 @@ def scope_blocks(code: DataFrame) -> DataFrame:
 
 
 def record_sections(walkthroughs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(scope, step_hashes, file_hashes, ref_lines): what freshness needs to know of new walkthroughs (scope, walkthrough) later.
+    """(scope, step_hashes, step_prints, file_hashes, ref_lines): what freshness needs to know of new walkthroughs (scope, walkthrough) later.
 
-    Maps from step to the digest of its lines, from file to its hash, and from
+    Maps from step to the digest and to the fingerprint of its lines, from file to its hash, and from
     "file:line" to the text of each reference.
     """
     steps = grounding.steps_of(walkthroughs)
     source = lines.select("file", "lines", F.col("hash").alias("_hash"))
     code = steps.select("scope", F.col("step.id").alias("id"), "step.code_ref.file", "step.code_ref.start", "step.code_ref.end").join(source, "file")
-    hashes = code.select("scope", F.struct("id", hash_lines(block_lines(F.col("lines"), F.col("start"), F.col("end"))).alias("v")).alias("e"))
+    code = code.withColumn("_block", block_lines(F.col("lines"), F.col("start"), F.col("end")))
+    hashes = code.select("scope", F.struct("id", hash_lines(F.col("_block")).alias("v")).alias("e"))
+    prints = code.select("scope", F.struct("id", block_print(F.col("_block")).alias("v")).alias("e"))
     refs = steps.select("scope", F.explode("step.references").alias("r")).select("scope", "r.file", "r.line").join(source, "file")
     texts = refs.where("line between 1 and size(lines)").select("scope", F.struct(F.concat_ws(":", "file", F.col("line").cast("string")), F.get("lines", F.col("line") - 1)).alias("e"))
     files = code.select("scope", F.struct("file", "_hash").alias("e")).unionByName(refs.select("scope", F.struct("file", "_hash").alias("e")))
     to_map = lambda rows, name: rows.groupBy("scope").agg(F.map_from_entries(F.array_sort(F.collect_set("e"))).alias(name))
-    return to_map(hashes, "step_hashes").join(to_map(files, "file_hashes"), "scope", "full_outer").join(to_map(texts, "ref_lines"), "scope", "full_outer")
+    return to_map(hashes, "step_hashes").join(to_map(prints, "step_prints"), "scope").join(to_map(files, "file_hashes"), "scope", "full_outer").join(to_map(texts, "ref_lines"), "scope", "full_outer")
 
 
 def current_hashes(saved: DataFrame, endpoints: DataFrame, components: DataFrame, traces: DataFrame) -> DataFrame:

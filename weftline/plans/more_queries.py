@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import documents, freshness, relational
+from ..operators import documents, freshness, relational, windows
 from ..sources.tables import table
 from .registry import query
-from .table_queries import LINES_SQL
+from .table_queries import LINES_SQL, windows_of_pairs
 
 
 @query(
@@ -129,8 +129,8 @@ def section_freshness(spark, base):
     docs = table(spark, base, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("l"))
     now = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("l").alias("now"))
     joined = docs.where("size(l) >= 2").join(now, "doc_id")
-    line = freshness.find_text(F.col("now"), F.lit(2), text.hash_lines(F.slice("l", 1, 2)), F.lit(1))
-    return joined.select("doc_id", line.isNotNull().alias("fresh"), line.alias("line"))
+    found = windows_of_pairs(joined, F.slice("l", 1, 2), now.select(F.col("doc_id").alias("file"), F.col("now").alias("lines")))
+    return joined.select("doc_id").join(found.select(F.col("id").alias("doc_id"), F.col("start").alias("line")), "doc_id", "left").select("doc_id", F.col("line").isNotNull().alias("fresh"), "line")
 
 
 @query(
@@ -187,3 +187,46 @@ def redacted_urls(spark, base):
     user = F.when(kind == 0, F.concat(F.lit("u"), page.cast("string"), F.lit(":p:w@d"), page.cast("string"), F.lit("@"))).when(kind == 1, F.concat(F.lit("u"), page.cast("string"), F.lit("@"))).otherwise("")
     url = F.concat(F.lit("postgres://"), user, F.expr("substr(url, instr(url, '//') + 2)"))
     return table(spark, base, "pages").select("page_id", paths.redacted_url(url).alias("url"))
+
+
+BLOCKS_SQL = f"""d AS (SELECT doc_id, {LINES_SQL} AS l FROM documents),
+s AS (SELECT doc_id, l, CASE doc_id % 3 WHEN 0 THEN list_concat(['// new'], l) WHEN 1 THEN l ELSE l[2:] END AS now FROM d WHERE len(l) >= 3),
+w AS (SELECT doc_id, unnest(range(1, len(now) - 1)) AS p, now, l FROM s),
+b AS (SELECT doc_id, arg_min(p, abs(p - 1) * 1000000 + p) AS hit FROM w WHERE now[p:p+2] = l[1:3] GROUP BY doc_id),
+j AS (SELECT s.*, coalesce(hit, CASE WHEN len(now) >= 3 THEN 1 END) AS a, hit IS NOT NULL AS same FROM s LEFT JOIN b USING (doc_id)),
+t AS (SELECT doc_id, arg_min(p, abs(p - a - 1) * 1000000 + p) AS line FROM (SELECT *, unnest(range(a, a + 3)) AS p FROM j WHERE a IS NOT NULL AND NOT same) WHERE now[p] = l[2] GROUP BY doc_id),
+r AS (SELECT j.*, CASE WHEN same THEN a + 1 ELSE line END AS line FROM j LEFT JOIN t USING (doc_id))"""
+
+
+def _moved(spark, base):
+    """Blocks of three lines with a step on the second, saved of each document, and the documents as they are now."""
+    docs = table(spark, base, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("l")).where("size(l) >= 3")
+    now = F.when(F.col("doc_id") % 3 == 0, F.concat(F.array(F.lit("// new")), "l")).when(F.col("doc_id") % 3 == 1, F.col("l")).otherwise(F.slice("l", F.lit(2), F.size("l")))
+    file = F.col("doc_id").cast("string").alias("file")
+    own = lambda start, n, p: [text.hash_lines(F.slice("l", start, n)).alias(f"{p}hash"), windows.block_print(F.slice("l", start, n)).alias(f"{p}print"), F.lit(start).alias(f"{p}start"), F.lit(start + n - 1).alias(f"{p}end")]
+    blocks = docs.select(F.col("doc_id").alias("section_id"), F.lit(0).alias("position"), file, F.lit(None).cast("string").alias("symbol"), *own(1, 3, ""))
+    steps = docs.select(F.col("doc_id").alias("section_id"), F.lit("s").alias("step_id"), file.alias("step_file"), *own(2, 1, "step_"))
+    return blocks, steps, docs.select(file, now.alias("lines"), text.hash_lines(now).alias("hash"))
+
+
+@query("block_sections", f"WITH {BLOCKS_SQL} SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' WHEN same THEN 'fresh' ELSE 'changed' END AS state, CAST(a AS INTEGER) AS first_line, a IS NOT NULL AND line IS NOT NULL AS step_fresh, CAST(coalesce(CASE WHEN a IS NOT NULL THEN line END, 2) AS INTEGER) AS step_line FROM r")
+def block_sections(spark, base):
+    """Whether sections of several blocks and their steps still stand, in documents that lines were added to or taken from."""
+    blocks, steps, sources = _moved(spark, base)
+    none = spark.createDataFrame([], "file string, name string, start_line int, end_line int")
+    sections, judged = freshness.check_block_sections(blocks, steps, sources, none)
+    joined = sections.join(judged.select("section_id", F.col("fresh").alias("step_fresh"), F.col("start").alias("step_line")), "section_id")
+    return joined.select(F.col("section_id").alias("doc_id"), "state", F.col("at.start").alias("first_line"), "step_fresh", "step_line")
+
+
+@query("reused_sections", f"WITH {BLOCKS_SQL} SELECT doc_id, CAST(a - 1 AS INTEGER) AS delta FROM r WHERE same AND doc_id % 5 <> 0")
+def reused_sections(spark, base):
+    """Sections that can be kept by shifting their lines, by how much."""
+    blocks, steps, sources = _moved(spark, base)
+    none = spark.createDataFrame([], "file string, name string, start_line int, end_line int")
+    at = freshness.locate_blocks(blocks.withColumn("block_id", F.col("section_id")), sources, none, follow_text=True)
+    current = at.where("at is not null").select("section_id", F.col("at.start").alias("new_start"), F.when(F.col("same"), F.col("hash")).otherwise("other").alias("new_hash"))
+    depth = F.when(F.col("section_id") % 5 == 0, 3).otherwise(2).alias("depth")
+    refs = spark.createDataFrame([], "section_id long, file string, line int, text string, file_hash string")
+    kept = freshness.reuse_sections(blocks.select("*", depth), steps, refs, current, sources, 2)
+    return kept.select(F.col("section_id").alias("doc_id"), F.col("delta").cast("int").alias("delta"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import freshness, graph, relational, routes
+from ..operators import freshness, graph, nesting, relational, routes, windows
 from ..sources.tables import table
 from .registry import query
 
@@ -275,10 +275,13 @@ SELECT doc_id, CAST(arg_min(pos, abs(pos - 1) * 1000000 + pos) AS INTEGER) AS li
 def block_relocate(spark, base):
     """Where the second and third line of a document stand nearest to its top."""
     docs = table(spark, base, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("l")).where("size(l) >= 3")
-    docs = docs.withColumn("h", text.hash_lines(F.slice("l", 2, 2)))
-    hits = F.filter(relational.window_hashes(F.col("l"), F.lit(2)), lambda w: w["hash"] == F.col("h"))
-    near = F.array_min(F.transform(hits, lambda w: F.struct(F.abs(w["line"] - 1).alias("d"), w["line"].alias("line"))))
-    return docs.select("doc_id", near["line"].alias("line"))
+    return windows_of_pairs(docs, F.slice("l", 2, 2), docs.select(F.col("doc_id").alias("file"), F.col("l").alias("lines"))).select(F.col("id").alias("doc_id"), F.col("start").alias("line"))
+
+
+def windows_of_pairs(docs, pair, sources):
+    """(id, start): where a pair of lines saved of each document stands nearest to the top of the text of that number."""
+    asked = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file"), F.lit(2).alias("length"), windows.block_print(pair).alias("print"), text.hash_lines(pair).alias("hash"), F.lit(1).alias("near"), F.lit(1).alias("first"), F.lit(2**31 - 1).alias("last"))
+    return windows.find_windows(asked, sources)
 
 
 IDENTIFIERS_SQL = r"regexp_extract_all(regexp_replace({}, '\\.', ' ', 'g'), '[A-Za-z_$][A-Za-z0-9_$]*')"
@@ -350,7 +353,7 @@ def range_overlap(spark, base):
 )
 def innermost_enclosing(spark, base):
     spans = _spans(spark, base)
-    return relational.innermost_enclosing(spans.select("id", "user_id", F.col("end").alias("at")), spans, ["user_id"])
+    return nesting.holding(spans.select("id", "user_id", F.col("end").alias("at")), spans, ["user_id"])
 
 
 @query(
