@@ -87,3 +87,13 @@ def test_suppression_covers_windows_only(docs):
     assert got[0] == ["entropy:0:32"] and got[1] == ["entropy:0:52"] and got[2] == ["entropy:0:30"]
     assert got[3] == ["entropy:22:47"] and got[4] == ["entropy:24:49"] and got[5] == ["entropy:0:61"]
     assert got[6] == [] and got[7] == [] and got[8] == ["entropy:20:46", "entropy:70:91"]
+
+
+def test_many_matches_in_a_row_are_linear(docs):
+    import time
+
+    text = "token=abcdef " * 50_000
+    began = time.monotonic()
+    (row,) = secrets.scan(docs([(1, text)])).collect()
+    assert row.n_assign == 50_000 and row.base_sha256 == hashlib.sha256(base_spans(text)[0].encode()).hexdigest()
+    assert time.monotonic() - began < 60

@@ -52,6 +52,30 @@ def _none() -> Column:
     return F.array().cast(f"array<{_SPAN}>")
 
 
+#: Elements that a fold goes over before what it has put out is laid aside.
+FOLD_BLOCK = 64
+
+
+def _folded(elements: Column, start: Column, step, out: str) -> Column:
+    """What ``step`` puts out over ``elements``, from state ``start``, as one array.
+
+    ``step`` gives the next state with an array ``out`` of what one element adds.
+    Appending to one long array would copy it for every element, so each block's
+    is gathered alone, and blocks' arrays are then strung together.
+    """
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(elements), F.lit(1)), F.lit(FOLD_BLOCK)), lambda i: F.slice(elements, i, F.lit(FOLD_BLOCK)))
+
+    def one(state: Column, element: Column) -> Column:
+        return _let(step(state, element), lambda new: new.withField(out, F.concat(state[out], new[out])))
+
+    def block(state: Column, own: Column) -> Column:
+        fresh = state.withField(out, F.get(state[out], F.lit(0)))
+        inner = F.aggregate(own, fresh.withField(out, F.slice(fresh[out], F.lit(1), F.lit(0))), one)
+        return _let(inner, lambda new: new.withField(out, F.concat(state[out], F.array(new[out]))))
+
+    return F.aggregate(blocks, start.withField(out, F.array(start[out])), block, lambda s: F.flatten(s[out]))
+
+
 def _matches(text: Column, pattern: str, kind: int, keep=None, pieces=None) -> Column:
     """Spans of the leftmost non-overlapping matches whose text ``keep`` accepts, or of the ``pieces`` (of text and start) of each."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
@@ -59,14 +83,14 @@ def _matches(text: Column, pattern: str, kind: int, keep=None, pieces=None) -> C
     def step(state: Column, part: Column) -> Column:
         end = state["at"] + F.char_length(part)
         if pieces:
-            found = F.when(state["odd"], F.concat(state["spans"], pieces(part, state["at"]))).otherwise(state["spans"])
+            found = F.when(state["odd"], pieces(part, state["at"])).otherwise(_none())
         else:
             span = F.array(F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end")))
-            found = F.when(state["odd"] & keep(part), F.concat(state["spans"], span)).otherwise(state["spans"])
+            found = F.when(state["odd"] & keep(part), span).otherwise(_none())
         return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), found.alias("spans"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), _none().alias("spans"))
-    folded = F.aggregate(parts, start, step, lambda s: s["spans"])
+    folded = _let(parts, lambda own: _folded(own, start, step, "spans"))
     return F.when(F.regexp_like(text, F.lit(pattern)), folded).otherwise(_none())
 
 
@@ -190,11 +214,11 @@ def redacted(text: Column, found: Column, label: str = "[SECRET]") -> Column:
     def step(state: Column, span: Column) -> Column:
         new = span["start"] >= state["at"]
         gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(new, F.concat(state["out"], F.array(gap, F.lit(label)))).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(new, F.array(gap, F.lit(label))).otherwise(F.array().cast("array<string>")).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))
-    whole = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["out"], ""), rest(s)))
+    last = F.array_max(F.transform(found, lambda s: s["end"]))
+    whole = F.concat(F.array_join(_folded(found, start, step, "out"), ""), F.substring(text, (last + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
