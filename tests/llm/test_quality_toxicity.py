@@ -206,3 +206,22 @@ def test_logistic_curve_is_the_best_of_its_kind():
 
     slope, shift = nbsvm._logistic(margin, y)
     assert all(loss(slope, shift) <= loss(slope + a, shift + b) + 1e-9 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+
+
+def test_the_sample_of_quality_is_bounded_in_rows_and_bytes(spark):
+    from weftline.llm import nbsvm
+
+    rows = [(7, 1, bytes([i % 256, i // 256] * 4)) for i in range(20_000)] + [(i, 0, b"x" * 1000) for i in range(100, 130)] + [(100, 0, b"x" * 1000)] * 5 + [(200, 1, b"y" * 9000)]
+    made = spark.createDataFrame(rows, "doc_id long, y int, features binary")
+    found = nbsvm.bounded(made, "features", sample=50, most_bytes=16_000).collect()
+    assert sum(r.y == 1 for r in found) <= 50 and sum(r.y == 0 for r in found) == 8
+    assert all(sum(len(r.features) for r in found if r.y == y) <= 8000 for y in (0, 1))
+    assert len({tuple(r) for r in found}) == len(found)
+
+
+def test_repeated_ids_do_not_multiply_what_quality_learns_from(spark):
+    from weftline.llm import nbsvm
+
+    docs = spark.range(20_001).selectExpr("5L as doc_id", "concat('word ', id) as text")
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    assert nbsvm.bounded(nbsvm.labelled_sample(docs, labels, "quality", nbsvm.held_out(3, 7), 3).selectExpr("doc_id", "y", "cast(text as binary) text"), "text", 3, 1000).count() <= 3

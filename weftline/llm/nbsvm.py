@@ -8,7 +8,8 @@ indicators by dual coordinate descent, and its margins are turned into scores
 by a logistic curve fitted to out-of-fold margins.
 
 Only the fit uses a bounded sample of labelled rows (``sample`` of each class,
-those with the smallest hash of doc_id); scoring reads every whole text.
+those with the smallest hash of doc_id, and ``most_bytes`` of their features);
+scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .storage import Shared, arrow_map, give_back
+from .storage import Shared, arrow_map, give_back, materialize
 from .textkit import U, chunks, mix, word_hashes
 
 FEATURE_BITS = 18
@@ -173,14 +174,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held, sample
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 3000) -> Model:
+def bounded(rows: DataFrame, value: str, sample: int, most_bytes: int) -> DataFrame:
+    """(doc_id, y, value) of ``rows``: of each class at most ``sample`` values, in the order of the hash of doc_id, of at most half of ``most_bytes``.
+
+    A value that no longer fits is passed over. Rows alike in all three count once.
+    Only keys and sizes of the candidates come to the driver.
+    """
+    rows = rows.withColumn("own", F.xxhash64(value))
+    sizes = rows.groupBy("doc_id", "y", "own").agg(F.min(F.octet_length(value)).alias("size"))
+    chosen = []
+    for y in (0, 1):
+        left = most_bytes // 2
+        for r in sizes.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(sample).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                chosen.append((r["doc_id"], y, r["own"]))
+    keys = rows.sparkSession.createDataFrame(chosen, "doc_id long, y int, own long")
+    return rows.join(F.broadcast(keys), ["doc_id", "y", "own"]).groupBy("doc_id", "y", "own").agg(F.min(value).alias(value)).drop("own")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, held, sample: int = 3000, most_bytes: int = 96 << 20) -> Model:
+    """Train on a sample of labelled rows outside ``held``, bounded in rows (``sample`` of each class) and in bytes of their features (see ``bounded``)."""
+
     def run(batches):
         for batch in batches:
             for row, data, offsets in chunks(batch.column(2)):
                 rows = [np.sort(f).astype(np.int32).tobytes() for f in features(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(rows)), batch.column(1).slice(row, len(rows)), pa.array(rows, pa.binary())], ["doc_id", "y", "features"])
 
-    found = labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, features binary").collect()
+    made = materialize(labelled_sample(docs, labels, label, held, sample).transform(arrow_map, run, "doc_id long, y int, features binary"), "sample")
+    found = bounded(made, "features", sample, most_bytes).collect()
     found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
     rows, labels_ = [np.frombuffer(r[2], dtype=np.int32) for r in found], np.array([r[1] for r in found], dtype=np.int64)
     del found
