@@ -49,5 +49,5 @@ def test_registration():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert set(entry.oracle_sql()) <= names and json.dumps(sorted(entry.oracle_sql()))
