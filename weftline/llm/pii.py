@@ -15,11 +15,16 @@ punctuation) stay the same, and none stays what it was. Further rules:
   country and the remainder of their check;
 * telephone numbers keep a leading + and country code;
 * e-mail addresses keep their dots and top-level domain;
-* a given name that is on the list of its title's gender and script (of any
-  gender after Dr or Prof) is permuted within that list; other words of names go
-  letter by letter among vowels and among consonants, or within their script;
+* a name is one or more titles and any number of words, initials and particles
+  (van, de la), ending in a word; particles stay. A title in capitals counts
+  before a word in capitals, and a word in capitals is the same name's;
+* a listed given name is permuted within the list of its gender and script,
+  whatever the title, so Dr and Mrs Anna Roe are one person; other words go
+  letter by letter among vowels and among consonants, or within their script. A
+  last word, or one alone, has one surrogate wherever it stands, listed or not;
 * the words of a name have their surrogates wherever they follow each other in a
-  text that holds the name with a title, its last word also alone.
+  text that holds the name with a title, its last word also alone, but for words
+  of COMMON at the start of a sentence.
 
 ``surrogates`` lists entities with their replacements and checks that no two
 entities of a type share one; ``replace`` refuses to go on if any do.
@@ -50,6 +55,14 @@ NAMES = {
     ("m", "greek"): "Γιώργος Νίκος Δημήτρης Γιάννης Κώστας Παναγιώτης",
     ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Βασιλική",
 }
+#: Small words within names; they stay as they are.
+PARTICLES = "van von vom der den de het la las los del della di da do dos das du le ten ter zu zum zur af av bin ibn al el y"
+#: Family names that also begin sentences as plain words; alone and there they stay.
+COMMON = (
+    "Will May Can Must Might Day Long Short Young Old Good Best Rich Small Little Great High Low Hope Love Rose Grace Major Frank Mark Bill Grant Chase Miles Page Price Case "
+    "King Knight Bishop Pope Church Hall Hill Wood Woods Stone Field Fields Brook Brooks Banks Bush Green Brown White Black Gray Grey Gold Silver Winter Summer Snow Rain Frost "
+    "North South East West Sharp Strong Swift Wise Noble Moody Savage Power Self Still Ward Wells Young Klein Gross Lange Kurz Weiß Schwarz Braun Groß Jung Alt"
+)
 
 #: Classes of characters that are permuted among themselves.
 LETTERS = [
@@ -72,7 +85,7 @@ LETTERS = [
     "ІЇЄҐЎЂЈЉЊЋЏ",
 ]
 SOUNDS = [
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñýÿß", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÑÝ",
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñýÿ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÑÝ",
     "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "АЕИОУЫЭЮЯЁ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
     "ąęěůűőāēīōūėįų", "ćčďđğłńňřśşšťźżžĺľŕșțģķļņ", "ĄĘĚŮŰŐĀĒĪŌŪĖĮŲ", "ĆČĎĐĞŁŃŇŘŚŞŠŤŹŻŽĹĽŔȘȚĢĶĻŅ", *LETTERS[11:],
 ]
@@ -86,11 +99,16 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Country codes of one and two digits; the others have three.
 _CODES = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
-_TITLED = rf"(?:(?:{_TITLE})\.? )+"
+_CAPITALS = "|".join(t.upper() for g in TITLES.values() for t in g)
+_TITLED = rf"(?:(?:(?:{_TITLE})\.? )+|(?:(?:{_CAPITALS})\.? )+(?=\p{{Lu}}[\p{{Lu}}.'’-]*(?!\p{{L}})))"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _WORD = r"\p{Lu}[\p{L}'’-]+|[\p{Lo}][\p{Lo}'’-]+"
+_INITIAL = r"\p{Lu}(?:\.-?\p{Lu})*+\.?"
+_PARTICLE = "|".join(PARTICLES.split())
+_LEAD = rf"(?:(?:{_PARTICLE}) )*+"
+_TOP = r"\.(?:[xX][nN]--[A-Za-z0-9-]+|\p{L}{2,})"
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*" + _TOP,
     "ipv4": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}})(?![0-9A-Za-z:]|\.[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}(?:0[2-9]|[1-8][0-9]|9[0-8])(?=(?: ?[A-Z0-9])*? ?[0-9])(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![0-9A-Za-z])",
@@ -99,10 +117,13 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<=[0-9][ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"
     # + and 7 to 15 digits, together or apart; national numbers with a leading 0, by spaces
     r"|(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{6,14}|\+[1-9](?:[ ./-]?\(?[0-9]\)?){6,14}|(?=(?:[0-9] ?){7,15}(?![0-9]))0[0-9]{1,4}(?: [0-9]{2,8}){1,4}|(?=(?:[0-9][ /-]?){7,15}(?![0-9]))0[0-9]{2,4}[/-][0-9]{2,8}(?:[ /-][0-9]{2,8}){0,3})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}]){_TITLED}(?:{_WORD})(?: (?:{_WORD})){{0,2}}",
+    # groups that never give back what they took: names of any length need no recursion
+    "name": rf"(?<![\p{{L}}]){_TITLED}(?:(?:{_PARTICLE}|{_INITIAL}) )*+(?:{_WORD})(?: (?:(?:{_PARTICLE}|{_INITIAL}) )*+(?:{_WORD}))*+",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-WORDS = rf"{ENTITY}|(?<![\p{{L}}])(?:{_WORD})"
+WORDS = rf"{ENTITY}|(?<![\p{{L}}]){_LEAD}(?:{_WORD}|{_INITIAL}(?= ))"
+#: The end of what comes before the first word of a sentence.
+_BEFORE = r"(?:[.!?…][\"'”’»)]*\s+|\n\s*)[\"'“‘„«(¿¡]*$"
 _MARK = "\u0001"
 
 
@@ -234,19 +255,35 @@ def _remainder(iban: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """What all mentions of one entity have in common."""
     digits = _digits(entity)
-    gendered = F.concat(_gender(entity), F.lit(":"), _untitled(entity))
-    same = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind == "ipv4", entity).when(kind == "name", gendered)
+    named = _let(_units(entity), lambda units: F.concat(F.when(_led(units), "+").otherwise(""), F.array_join(F.transform(units, lambda u: _normal(_bare(u))), " ")))
+    same = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind == "ipv4", entity).when(kind == "name", named)
     return same.when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "phone", F.concat(_country(entity), digits)).otherwise(digits)
 
 
-def _untitled(entity: Column) -> Column:
-    return F.regexp_replace(entity, rf"^{_TITLED}", "")
+def _units(entity: Column) -> Column:
+    """The words and initials of a titled name, each with the particles before it."""
+    untitled = F.regexp_replace(entity, rf"^{_TITLED}", "")
+    return F.split(untitled, rf"(?<!(?:^| )(?:{_PARTICLE})) ")
 
 
-def _gender(entity: Column) -> Column:
-    """Of the first title that has one; n if none does."""
-    given = lambda g: entity.rlike(rf"^(?:(?:{'|'.join(TITLES['n'])})\.? )*(?:{'|'.join(TITLES[g])})\.? ")
-    return F.when(given("m"), "m").when(given("f"), "f").otherwise("n")
+def _bare(unit: Column) -> Column:
+    """A word without the particles before it."""
+    return F.regexp_replace(unit, rf"^{_LEAD}", "")
+
+
+def _led(units: Column) -> Column:
+    """Whether a name begins with particles: then it has no given name."""
+    return F.get(units, F.lit(0)) != _bare(F.get(units, F.lit(0)))
+
+
+def _normal(word: Column) -> Column:
+    """Words in capitals with a capital only."""
+    return F.when(word == F.upper(word), F.concat(F.substring(word, 1, 1), F.lower(F.substring(word, F.lit(2), F.char_length(word))))).otherwise(word)
+
+
+def _as(new: Column, like: Column) -> Column:
+    """``new`` in capitals where ``like`` is, after the particles of ``like``."""
+    return F.concat(F.regexp_extract(like, rf"^({_LEAD})", 1), F.when(_bare(like) == F.upper(_bare(like)), F.upper(new)).otherwise(new))
 
 
 def _country(entity: Column) -> Column:
@@ -255,29 +292,34 @@ def _country(entity: Column) -> Column:
 
 
 def _name_words(entity: Column, key: str) -> Column:
-    """array<struct<old, new>>: the words of a titled name and their surrogates."""
-    lists = [(g, F.array(*map(F.lit, names.split()))) for (g, _), names in NAMES.items()]
+    """array<struct<unit, old, new>>: the words of a titled name, without particles and capitals, and their surrogates."""
+    lists = [F.array(*map(F.lit, names.split())) for names in NAMES.values()]
+    every = F.array(*(F.lit(n) for names in NAMES.values() for n in names.split()))
+
+    def of_units(units: Column) -> Column:
+        def of_words(words: Column) -> Column:
+            rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
+            # a word alone is a family name, and so is one after particles
+            given = lambda i: (i == 0) & (F.size(words) > 1) & ~_led(units)
+
+            def one(w: Column, i: Column) -> Column:
+                return _let(F.when(given(i), F.concat(F.lit(f"{key}|given|"), rest)).otherwise(F.lit(f"{key}|family")), lambda own: changed(w, own))
 
-    def of_words(words: Column) -> Column:
-        gender, rest = _gender(entity), F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
-        fits = lambda sex: gender.isin(sex, "n")
-        on_list = lambda w: reduce(lambda a, b: a | b, (fits(s) & F.array_contains(names, w) for s, names in lists))
+            def changed(w: Column, own: Column) -> Column:
+                shift = F.conv(F.substring(F.sha2(F.concat(F.lit("list|"), own).cast("binary"), 256), 1, 6), 16, 10).cast("int")
+                # cycle walking: a spelled word that falls on a list is permuted again, so that it meets no listed one
+                walk = lambda g, n: F.when((n == 0) | F.array_contains(every, g), _permuted(g, own, SOUNDS)).otherwise(g)
+                new = F.when(F.lit(False), F.lit(""))
+                for names in lists:
+                    n, at = F.size(names), F.array_position(names, w) - 1
+                    new = new.when(at >= 0, F.get(names, F.pmod(at.cast("int") + 1 + F.pmod(shift, n - 1), n).cast("int")))
+                return new.otherwise(F.aggregate(F.array(*map(F.lit, range(5))), w, walk))
 
-        def one(w: Column, i: Column) -> Column:
-            # a word alone is a family name, unless it is on a list
-            own = F.when((i > 0) | (F.size(words) == 1), F.lit(f"{key}|family")).otherwise(F.concat_ws("|", F.lit(f"{key}|given"), gender, rest))
-            # cycle walking: a spelled first name that falls on a list is permuted again, so that it meets no listed one
-            walk = lambda g, n: F.when((n == 0) | ((i == 0) & on_list(g)), _permuted(g, own, SOUNDS)).otherwise(g)
-            new = F.when(F.lit(False), F.lit(""))
-            for sex, names in lists:
-                n, at = F.size(names), F.array_position(names, w) - 1
-                shift = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|list"), gender, rest).cast("binary"), 256), 1, 6), 16, 10).cast("int")
-                new = new.when((i == 0) & fits(sex) & (at >= 0), F.get(names, F.pmod(at.cast("int") + 1 + F.pmod(shift, n - 1), n).cast("int")))
-            return new.otherwise(F.aggregate(F.array(*map(F.lit, range(5))), w, walk))
+            return F.transform(words, lambda w, i: F.struct(F.get(units, i).alias("unit"), w.alias("old"), one(w, i).alias("new")))
 
-        return F.transform(words, lambda w, i: F.struct(w.alias("old"), one(w, i).alias("new")))
+        return _let(F.transform(units, lambda u: _normal(_bare(u))), of_words)
 
-    return _let(F.split(_untitled(entity), " "), of_words)
+    return _let(_units(entity), of_units)
 
 
 def surrogate(entity: Column, key: str) -> Column:
@@ -285,7 +327,7 @@ def surrogate(entity: Column, key: str) -> Column:
     keyed = lambda name: F.lit(f"{key}|{name}")
 
     def email(e: Column) -> Column:
-        top = F.regexp_extract(e, r"(\.[A-Za-z]{2,})$", 1)
+        top = F.regexp_extract(e, rf"({_TOP})$", 1)
         body = F.substring(e, F.lit(1), F.char_length(e) - F.char_length(top))
         return F.concat(_recased(_permuted(F.lower(body), F.concat_ws("|", keyed("email"), F.lower(top)), LETTERS), body), top)
 
@@ -328,7 +370,7 @@ def surrogate(entity: Column, key: str) -> Column:
         return F.concat(code, _refilled(rest, _permuted(_digits(rest), F.concat_ws("|", keyed("phone"), code), LETTERS[:1])))
 
     def name(e: Column) -> Column:
-        return F.concat(F.regexp_extract(e, rf"^({_TITLED})", 1), _let(e, lambda own: F.array_join(F.transform(_name_words(own, key), lambda w: w["new"]), " ")))
+        return F.concat(F.regexp_extract(e, rf"^({_TITLED})", 1), _let(e, lambda own: F.array_join(F.transform(_name_words(own, key), lambda w: _as(w["new"], w["unit"])), " ")))
 
     def chosen(e: Column) -> Column:
         kind = kind_of(e)
@@ -345,7 +387,7 @@ def _parts(text: Column, pattern: str = ENTITY) -> Column:
 
 def _may_hold(text: Column) -> Column:
     """A quick necessary condition for an entity."""
-    return text.rlike(rf"[0-9][0-9 ./()-]{{5}}|@|[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]{{9}}|:[0-9A-Fa-f]{{0,4}}:|{_TITLED}[\p{{Lu}}\p{{Lo}}]")
+    return text.rlike(rf"[0-9][0-9 ./()-]{{5}}|@|[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]{{9}}|:[0-9A-Fa-f]{{0,4}}:|{_TITLED}\p{{L}}")
 
 
 def _mentions(parts: Column) -> Column:
@@ -358,18 +400,26 @@ def _names(parts: Column, key: str) -> Column:
     def pairs(words: Column) -> Column:
         return F.transform(words, lambda w, i: F.struct(w["old"].alias("old"), F.get(words, i + 1)["old"].alias("next"), w["new"].alias("new")))
 
-    titled = F.filter(_mentions(parts), lambda e: e.rlike(rf"^{PATTERNS['name']}$") & e.rlike(rf"^{_TITLED}\S+ "))
+    titled = F.filter(_mentions(parts), lambda e: e.rlike(rf"^{PATTERNS['name']}$"))
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(titled), lambda e: pairs(_name_words(e, key)))))
 
 
 def _replaced(parts: Column, names: Column, key: str) -> Column:
     """The parts with surrogates for entities and for words of the names; without names all mentions are entities."""
     entity = lambda p: p.rlike(rf"^(?:{ENTITY})$")
+    common = F.array(*map(F.lit, COMMON.split()))
 
     def one(p: Column, i: Column) -> Column:
-        follows = F.when(F.get(parts, i + 1) == " ", F.get(parts, i + 2))
-        known = F.filter(names, lambda n: (n["old"] == p) & (n["next"].isNull() | (n["next"] == follows)))
-        return F.when(i % 2 == 0, p).when((F.size(names) == 0) | entity(p), surrogate(p, key)).otherwise(F.coalesce(F.get(known, F.lit(0))["new"], p))
+        def of(word: Column) -> Column:
+            follows = F.when(F.get(parts, i + 1) == " ", _normal(_bare(F.get(parts, i + 2))))
+            begins = (word == p) & ((i == 1) & ~F.get(parts, i - 1).rlike("[\\p{L}\\p{N}]") | F.get(parts, i - 1).rlike(_BEFORE))
+            alone = ~(begins & F.array_contains(common, word))
+            known = F.filter(names, lambda n: (n["old"] == _normal(word)) & ((n["next"].isNull() & alone) | (n["next"] == follows)))
+            # words that follow each other count before one alone
+            best = F.coalesce(F.get(F.filter(known, lambda n: n["next"].isNotNull()), F.lit(0)), F.get(known, F.lit(0)))
+            return F.when(F.size(known) > 0, _as(best["new"], p)).otherwise(p)
+
+        return F.when(i % 2 == 0, p).when((F.size(names) == 0) | entity(p), surrogate(p, key)).otherwise(_let(_bare(p), of))
 
     return F.transform(parts, one)
 
