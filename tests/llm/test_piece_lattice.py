@@ -79,3 +79,29 @@ def test_stretches_are_equal_by_bytes(docs, monkeypatch):
     for _, out, first in piece_lattice.encode_batch(pa.array(texts), np.arange(5).astype(np.uint64), v, 1):
         back, begin = piece_lattice.decode_ids(out.astype(np.int64), first, v)
         assert [back[begin[i] : begin[i + 1]].tobytes().decode() for i in range(5)] == texts
+
+
+def test_long_stretches_equal_short_ones(monkeypatch):
+    """Both ways through the lattice draw the same pieces, also where a long stretch is cut into blocks; and lengths cost alike."""
+    import random
+    import time
+
+    v = piece_lattice.load(piece_lattice.DEFAULT_MODEL)
+    draw = random.Random(5)
+    latin = "".join(draw.choice("etaoinshrdlu") for _ in range(4000))
+    chinese = "".join(draw.choice("的一是不了人我在有他这中大来上国") for _ in range(2000))
+    texts = ["plain words", latin, "", latin[:511], chinese, latin[:512], latin, chinese[:171], None, "\U0001f600" * 300 + "é▁" * 200]
+
+    def pieces(block, long):
+        monkeypatch.setattr(piece_lattice, "BLOCK", block)
+        monkeypatch.setattr(piece_lattice, "LONG", long)
+        return [out.tolist() for _, out, _ in piece_lattice.encode_batch(pa.array(texts), np.arange(len(texts)).astype(np.uint64), v, 1)]
+
+    one = pieces(1 << 14, 1 << 40)
+    assert one == pieces(1 << 14, 512) == pieces(97, 512) == pieces(40, 2)
+    monkeypatch.undo()
+    start = time.process_time()
+    ((_, out, _),) = piece_lattice.encode_batch(pa.array([chinese * 330]), np.zeros(1, np.uint64), v, 1)
+    assert time.process_time() - start < 20
+    back, _ = piece_lattice.decode_ids(out.astype(np.int64), np.array([0, len(out)]), v)
+    assert back.tobytes().decode() == chinese * 330

@@ -9,7 +9,9 @@ partitions, batches or retries.
 No piece spans the place before a space that follows another character, so the
 posterior factors there: each distinct stretch between such places is filtered
 once a batch, and every occurrence is sampled on its own. Stretches are found
-equal by hash and then compared byte by byte.
+equal by hash and then compared byte by byte. Short ones go through both passes
+side by side, one array step for each place; a long one (text in a script without
+spaces) goes alone, in a plain loop over its edges.
 
 Spaces are pieces' U+2581; one is put before each text and taken off again on
 decoding. A U+2581 of the text itself, like any character without a piece, is
@@ -18,6 +20,7 @@ spelled in byte pieces, so every text comes back unchanged.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +35,10 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x20
 _STEP = U(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 19
+#: Bytes from which a stretch is a long one. It depends on the stretch alone, so that its pieces do not depend on others.
+LONG = 512
+#: Places of a long stretch whose edges are Python objects at a time.
+BLOCK = 1 << 14
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 
@@ -166,28 +173,95 @@ def _lattice(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, v: Vocabul
     ids.append(v.byte_ids[flat[spelled]])
     scores.append(v.byte_scores[flat[spelled]])
     at, lengths, ids, scores = map(np.concatenate, (at, lengths, ids, scores))
-    end = offset[at] + lengths
-    order = np.lexsort((-lengths, owner[at], end))
-    at, lengths, ids, scores, end = at[order], lengths[order], ids[order], scores[order], end[order]
-    target = base[owner[at]] + end
+    target = base[owner[at]] + offset[at] + lengths
+    order = np.lexsort((-lengths, target))
+    at, lengths, ids, scores, target = at[order], lengths[order], ids[order], scores[order], target[order]
     source = target - lengths
     total = np.full(base[-1], -np.inf)
     total[base[:-1]] = 0
-    bounds = np.searchsorted(end, np.arange(1, (end[-1] if len(end) else 0) + 2))
     share = np.empty(len(at))
+    long = sizes[owner[at]] >= LONG
+    _filter_short(np.flatnonzero(~long), offset[at] + lengths, source, target, scores, total, share)
+    begin = np.searchsorted(target, np.arange(base[-1]))
+    for i in np.flatnonzero(sizes >= LONG):
+        _filter_long(base[i] + 1, base[i + 1], begin, source, target, scores, total, share)
+    last = np.append(target[1:] != target[:-1], True)
+    share[last] = 1.0  # whatever rounding says
+    return lengths, ids, share, begin, base[:-1]
+
+
+def _filter_short(edges: np.ndarray, end: np.ndarray, source: np.ndarray, target: np.ndarray, scores: np.ndarray, total: np.ndarray, share: np.ndarray) -> None:
+    """Fill ``total`` of places and ``share`` of edges, for one end after the other in all stretches at once."""
+    edges = edges[np.argsort(end[edges], kind="stable")]
+    source, target, scores, end = source[edges], target[edges], scores[edges], end[edges]
+    bounds = np.searchsorted(end, np.arange(1, (end[-1] if len(end) else 0) + 2))
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         value = total[source[low:high]] + scores[low:high]
         group = np.flatnonzero(np.diff(target[low:high], prepend=-1))
         summed = np.logaddexp.reduceat(value, group)
         total[target[low:high][group]] = summed
-        part = np.exp(value - np.repeat(summed, np.diff(np.append(group, high - low))))
+        width = np.diff(np.append(group, high - low))
+        part = np.exp(value - np.repeat(summed, width))
         running = np.cumsum(part)
-        share[low:high] = running - np.repeat(running[group] - part[group], np.diff(np.append(group, high - low)))
-    final = np.argsort(target, kind="stable")
-    target, share = target[final], share[final]
-    last = np.append(target[1:] != target[:-1], True)
-    share[last] = 1.0  # whatever rounding says
-    return lengths[final], ids[final], share, np.searchsorted(target, np.arange(base[-1])), base[:-1]
+        share[edges[low:high]] = running - np.repeat(running[group] - part[group], width)
+
+
+def _filter_long(first: int, stop: int, begin: np.ndarray, source: np.ndarray, target: np.ndarray, scores: np.ndarray, total: np.ndarray, share: np.ndarray) -> None:
+    """The same for the places ``first`` to ``stop`` of one stretch, edge by edge."""
+    for low in range(first, stop, BLOCK):
+        high = min(low + BLOCK, stop)
+        edge = int(begin[low])
+        to = int(begin[high]) if high < len(begin) else len(target)
+        if edge == to:
+            continue
+        back = int(source[edge:to].min())
+        known = total[back:high].tolist()
+        ends, starts, weights = (target[edge:to] - back).tolist(), (source[edge:to] - back).tolist(), scores[edge:to].tolist()
+        shares = [1.0] * len(ends)
+        i, n = 0, len(ends)
+        while i < n:
+            place, j = ends[i], i + 1
+            while j < n and ends[j] == place:
+                j += 1
+            if j == i + 1:
+                known[place] = known[starts[i]] + weights[i]
+            else:
+                values = [known[starts[e]] + weights[e] for e in range(i, j)]
+                top = max(values)
+                parts = [math.exp(x - top) for x in values]
+                whole = sum(parts)
+                known[place] = top + math.log(whole)
+                running = 0.0
+                for e, part in enumerate(parts, i):
+                    running += part
+                    shares[e] = running / whole
+            i = j
+        total[back:high] = known
+        share[edge:to] = shares
+
+
+def _draw_long(salt: np.uint64, low: int, place: int, lengths: np.ndarray, ids: np.ndarray, share: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ids of one sampled segmentation of a long stretch, whose places are ``low`` to ``place``, last piece first."""
+    drawn = []
+    while place > low:
+        bottom = max(low, place - BLOCK)
+        random = _uniform(salt, np.arange(bottom - low + 1, place - low + 1)).tolist()
+        edge = int(begin[bottom + 1])
+        to = int(begin[place + 1]) if place + 1 < len(begin) else len(share)
+        shares, wide, pieces = share[edge:to].tolist(), lengths[edge:to].tolist(), ids[edge:to].tolist()
+        first = (begin[bottom + 1 : place + 1] - edge).tolist()
+        while place > bottom:
+            e, r = first[place - bottom - 1], random[place - bottom - 1]
+            while shares[e] <= r:
+                e += 1
+            drawn.append(pieces[e])
+            place -= wide[e]
+    return np.array(drawn, dtype=np.int32)
+
+
+def _uniform(salt, place: np.ndarray) -> np.ndarray:
+    """A number from 0 to below 1 for each place (counted from its stretch's first)."""
+    return (mix(salt + place.astype(np.uint64) * _STEP) >> U(11)).astype(np.float64) / 2.0**53
 
 
 def _kinds(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +294,11 @@ def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
         own = np.repeat(np.arange(len(first) - 1), np.diff(first))
         nth = np.arange(len(starts)) - first[own]
         salt = mix(mix(keys[row + own] + U(seed) * _STEP) + nth.astype(np.uint64) * U(0xD6E8FEB86659FD93))
-        live, place = np.arange(len(starts)), base[kind] + sizes
+        live = np.flatnonzero(sizes < LONG)
+        place = base[kind[live]] + sizes[live]
         drawn, count = [], np.zeros(len(starts), dtype=np.int64)
         while len(live):
-            random = (mix(salt[live] + (place - base[kind[live]]).astype(np.uint64) * _STEP) >> U(11)).astype(np.float64) / 2.0**53
+            random = _uniform(salt[live], place - base[kind[live]])
             edge = begin[place]
             on = np.flatnonzero(share[edge] <= random)
             while len(on):
@@ -234,10 +309,15 @@ def encode_batch(column: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int):
             place = place - lengths[edge]
             going = place > base[kind[live]]
             live, place = live[going], place[going]
+        alone = [(i, _draw_long(salt[i], base[kind[i]], base[kind[i]] + sizes[i], lengths, ids, share, begin)) for i in np.flatnonzero(sizes >= LONG)]
+        for i, some in alone:
+            count[i] = len(some)
         after = np.cumsum(count)
         out = np.empty(after[-1], dtype=np.int32)
         for step, (which, some) in enumerate(drawn):
             out[after[which] - 1 - step] = some
+        for i, some in alone:
+            out[after[i] - len(some) : after[i]] = some[::-1]
         yield row, out, np.append(0, after)[first]
 
 
