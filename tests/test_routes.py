@@ -116,3 +116,64 @@ def test_requests(spark):
     assert got == {(1, 2), (2, 6), (3, 4)}
     near = {(r.request_id, r.position): (r.route_id, r.score) for r in routes.closest_routes(asked, table, 2).collect()}
     assert near[1, 1] == (2, 3.5) and near[4, 1][1] == 0.5
+
+
+def fits(route, call, method, asked):
+    """A plain version of how a call fits a route: the kind of match, None if it does not."""
+    if asked not in ("UNKNOWN", method) and method != "ALL":
+        return None
+    have, want = ([x for x in p.split("/") if x] for p in (route, call))
+
+    def compare(have, want):
+        literal = False
+        for h, w in zip(have, want, strict=True):
+            opened = h == "*" or h.startswith(":")
+            if not opened and (h != w or w.startswith(":")):
+                return None
+            literal |= not opened
+        if "*" in have or (not literal and any(not w.startswith(":") for w in want)):
+            return "wildcard"
+        return "param" if any((h == "*" or h.startswith(":")) and not w.startswith(":") for h, w in zip(have, want, strict=True)) else "exact"
+
+    if len(have) == len(want):
+        return compare(have, want)
+    if not want or len(have) < len(want):
+        return None
+    tail = have[len(have) - len(want) :]
+    found = compare(tail, want)
+    return "suffix" if found in ("exact", "param") and any(h == w and not h.startswith(":") for h, w in zip(tail, want, strict=True)) else None
+
+
+def test_candidates_equal_every_pair_compared(spark):
+    import random
+
+    draw = random.Random(3)
+    paths = lambda parts, n: ["/" + "/".join(draw.choice(parts) for _ in range(draw.randint(0, 4))) for _ in range(n)]
+    table = [(i, draw.choice(["GET", "POST", "ALL"]), p) for i, p in enumerate(paths(["a", "b", ":id", ":x", "*"], 150))]
+    calls = [(i, draw.choice(["GET", "POST", "DELETE", "UNKNOWN"]), p) for i, p in enumerate(paths(["a", "b", "c", ":p", "*"], 80))]
+    r = spark.createDataFrame([*table, (900, "GET", None)], "route_id int, method string, full_path string")
+    c = spark.createDataFrame([*calls, (900, "GET", None)], "call_id int, method string, url_pattern string")
+    got = sorted((x.call_id, x.route_id, x.match) for x in routes.candidates(c, r).collect())
+    want = sorted((i, j, "method" if a == "UNKNOWN" else k) for i, a, u in calls for j, m, p in table if (k := fits(p, u, m, a)))
+    assert got == want and len(got) > 500
+    concrete = [(i, m, u) for i, m, u in calls if m != "UNKNOWN"] + [(500, "GET", "/:"), (501, "GET", "/a/:/b")]
+    asked = spark.createDataFrame([*concrete, (900, "GET", None)], "request_id int, method string, path string")
+    best = {}
+    for i, m, u in concrete:
+        for j, rm, p in table:
+            have, want = ([x for x in q.split("/") if x] for q in (p, u))
+            if rm in (m, "ALL") and len(have) == len(want) and all(h == "*" or h.startswith(":") or h == w for h, w in zip(have, want, strict=True)):
+                best.setdefault(i, []).append(((0 if p == u else 2) + (rm != m), j))
+    expected = sorted((i, j, t) for i, found in best.items() for t, j in found if t == min(found)[0])
+    assert sorted((x.request_id, x.route_id, x.tier) for x in routes.match_requests(asked, r).collect()) == expected
+
+
+def test_keys_of_routes_with_parameters_at_their_ends(spark):
+    """Two thousand routes that all end in a parameter share no join key, and have three forms for each length."""
+    table = spark.range(2000).select(F.col("id").alias("route_id"), F.lit("GET").alias("method"), F.concat(F.lit("/api/thing"), "id", F.when(F.col("id") % 2 == 0, "/:id").otherwise("/sub/:id")).alias("full_path"))
+    keys = routes.route_keys(table)
+    assert keys.groupBy("key", "route_method").count().agg(F.max("count")).first()[0] == 1000  # "/sub/:id", a suffix that they do share
+    assert keys.where(F.size("have") == F.col("n")).groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    assert keys.select("n", "form").distinct().count() <= 4
+    calls = spark.createDataFrame([(1, "GET", "/api/thing7/sub/42"), (2, "GET", "/api/thing8/:x")], "call_id int, method string, url_pattern string")
+    assert sorted((r.call_id, r.route_id, r.match) for r in routes.candidates(calls, table).collect()) == [(1, 7, "param"), (2, 8, "exact")]

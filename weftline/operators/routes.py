@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import METHODS, effective_path, has_prefix, join_path, path_matches, segment_matches, segments
+from ..functions.paths import METHODS, effective_path, has_prefix, join_path, segment_matches, segments
 from ..functions.text import locale_order
 from .graph import settle
 
@@ -47,24 +47,59 @@ def match_kind(route: Column, call: Column) -> Column:
     return F.when(n_route == n_call, compare_segments(route, call)).when((n_call > 0) & (n_route > n_call) & tail.isin("exact", "param"), "suffix")
 
 
+def _open(segment: Column) -> Column:
+    return _is_param(segment) | (segment == "*")
+
+
+def _key(from_last: Column, form: Column) -> Column:
+    """The segments as one text, those that the form leaves open as nothing."""
+    return F.array_join(F.zip_with(from_last, form, lambda s, o: F.concat(F.lit("/"), F.when(o, "").otherwise(s))), "")
+
+
+def route_keys(routes: DataFrame, suffixes: bool = True) -> DataFrame:
+    """(route_id, route_method, full_path, have, n, form, key): what calls that fit a route ask for.
+
+    A route stands under its last n segments for each n ("suffixes"; only where
+    they have a literal and no "*") or all n. A form says which of them, from the
+    last, are open; the key has the others.
+    """
+    r = routes.where("full_path is not null").select("route_id", F.col("method").alias("route_method"), "full_path", segments(F.col("full_path")).alias("have"))
+    size = F.size("have")
+    r = r.withColumn("n", F.explode(F.sequence(F.least(size, F.lit(1)) if suffixes else size, size)))
+    tail = F.slice(F.reverse("have"), F.lit(1), F.col("n"))
+    form = F.transform(tail, _open)
+    r = r.where((F.col("n") == size) | (F.exists(form, lambda o: ~o) & ~F.array_contains(tail, "*")))
+    return r.withColumns({"form": form, "key": _key(tail, form)})
+
+
+def _asking(asked: DataFrame, keys: DataFrame, concrete: bool) -> DataFrame:
+    """``asked`` (with _want, its segments) once for each form of its length that any route has, with the key it asks for then.
+
+    There are as many forms as ways to mix open segments and literals, however
+    many routes share them. Parameters of a call fit open segments alone; a
+    ``concrete`` request has none.
+    """
+    forms = keys.select(F.col("n").alias("_n"), F.col("form").alias("_form")).distinct()
+    c = asked.withColumns({"_n": F.size("_want"), "_last": F.reverse("_want")}).join(forms, "_n")
+    if not concrete:
+        c = c.where(F.forall(F.zip_with("_form", "_last", lambda o, s: o | ~_is_param(s)), lambda ok: ok))
+    return c.withColumn("_key", _key(F.col("_last"), F.col("_form"))).drop("_n", "_last", "_form")
+
+
 def candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """(call_id, route_id, match, confidence, full_path, route_method): every route that a call could reach.
 
     ``calls`` has call_id, method, url_pattern; ``routes`` route_id, method, full_path.
-    The join has an equality: a call asks for its method and ALL (an UNKNOWN one
-    for every method there is), and for its last segment or any parameter, which
-    whole and suffix matches must share; only such pairs are compared.
+    A call asks for its method and ALL (an UNKNOWN one for every method there
+    is), with a key for each form of route; key and method are equal only for
+    pairs that match, so a join key is as frequent as its results.
     """
-    is_open = lambda s: _is_param(s) | (s == "*")
-    last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(""))
-    r = routes.select("route_id", F.col("method").alias("route_method"), "full_path", segments(F.col("full_path")).alias("_have"))
-    r = r.withColumn("_key", F.when(is_open(last(F.col("_have"))), F.lit(":")).otherwise(last(F.col("_have"))))
-    c = calls.select("call_id", "method", segments(F.col("url_pattern")).alias("_want"))
-    known = c.where("method <> 'UNKNOWN'").withColumn("_ask", F.explode(F.array_distinct(F.array("method", F.lit("ALL")))))
-    unknown = c.where("method = 'UNKNOWN'").withColumn("_ask", F.explode(F.array(*map(F.lit, METHODS))))
-    tail = last(F.col("_want"))
-    asked = known.unionByName(unknown).withColumn("_key", F.explode(F.when(_is_param(tail), F.array(F.lit(":"))).otherwise(F.array_distinct(F.array(tail, F.lit(":"))))))
-    pairs = asked.join(r, (asked["_key"] == r["_key"]) & (asked["_ask"] == r["route_method"])).withColumn("match", match_kind(F.col("_have"), F.col("_want"))).where("match is not null")
+    keys = route_keys(routes)
+    c = calls.where("url_pattern is not null").select("call_id", "method", segments(F.col("url_pattern")).alias("_want"))
+    c = _asking(c, keys, concrete=False)
+    own = F.array_distinct(F.array("method", F.lit("ALL")))
+    asked = c.withColumn("_ask", F.explode(F.when(F.col("method") == "UNKNOWN", F.array(*map(F.lit, METHODS))).otherwise(own)))
+    pairs = asked.join(keys, (asked["_key"] == keys["key"]) & (asked["_ask"] == keys["route_method"])).withColumn("match", match_kind(F.col("have"), F.col("_want"))).where("match is not null")
     base = F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv))[F.col("match")]
     unknown_method = F.col("method") == "UNKNOWN"
     confidence = F.when(unknown_method, F.least(base, F.lit(CONFIDENCE["method"]))).when(F.col("route_method") == "ALL", F.round(base - ANY_METHOD_PENALTY, 2)).otherwise(base)
@@ -113,11 +148,11 @@ def match_requests(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """(request_id, route_id, tier): the routes of concrete requests; equal paths before patterns, in each the method before ALL.
 
     ``requests`` has request_id, method, path; ``routes`` route_id, method,
-    full_path. Patterns are joined by their number of segments and method.
+    full_path. They are joined by method and key, as in ``candidates``.
     """
-    r = routes.select("route_id", F.col("method").alias("_m"), "full_path", F.size(segments(F.col("full_path"))).alias("_n"))
-    q = requests.withColumn("_n", F.size(segments(F.col("path")))).withColumn("_m", F.explode(F.array_distinct(F.array("method", F.lit("ALL")))))
-    joined = q.join(r, ["_n", "_m"]).where(path_matches(F.col("full_path"), F.col("path")) | (F.col("full_path") == F.col("path")))
+    keys = route_keys(routes, suffixes=False).select("route_id", F.col("route_method").alias("_m"), "full_path", "n", "form", F.col("key").alias("_key"))
+    q = _asking(requests.select("request_id", "method", "path", segments(F.col("path")).alias("_want")).where("path is not null"), keys, concrete=True)
+    joined = q.withColumn("_m", F.explode(F.array_distinct(F.array("method", F.lit("ALL"))))).join(keys, ["_key", "_m"])
     tier = F.when(F.col("full_path") == F.col("path"), 0).otherwise(2) + F.when(F.col("_m") == F.col("method"), 0).otherwise(1)
     found = joined.select("request_id", "route_id", tier.alias("tier"))
     least = found.groupBy("request_id").agg(F.min("tier").alias("tier"))
