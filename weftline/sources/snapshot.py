@@ -29,7 +29,7 @@ from .levels import Gone, Level, Stored
 BASE = facts_io.TABLES
 DERIVED = ["routes", "middleware", "route_warnings", "cross_edges"]
 #: What tells which rows of a table a pass replaces; tables that migrations add are kept whole.
-KEYS = dict.fromkeys(BASE, "file") | {"files": "path", "routes": "route", "middleware": "route", "route_warnings": "key", "cross_edges": "api_call_id"}
+KEYS = dict.fromkeys(BASE, "file") | {"files": "path", "routes": "route", "middleware": "route", "route_warnings": "key", "cross_edges": "api_call_id", "marks": "path"}
 #: Tables whose rows a file keeps when only what its symbols do is read again.
 OF_TEXT = ("files", "symbols", "imports", "declarations")
 SETTINGS = "key string, value string"
@@ -239,29 +239,30 @@ class SnapshotStore:
         manifest.number += 1
         for name in {**rows, **gone}:
             known = levels.read(self.spark, self.root, manifest.tables[name]).limit(0) if name not in rows else rows[name]
-            self._add(manifest, fresh, name, known, gone.get(name, {}))
+            self._add(manifest, fresh, name, known, gone.get(name, {}), KEYS.get(name))
         return self._publish(manifest, version, fresh)
 
     def drop(self) -> None:
         self._fs().delete(self._path(POINTERS).getParent(), True)
 
-    def apply(self, facts: DataFrame, removed: DataFrame | list[str] = (), refreshed: DataFrame | list[str] = (), pins: DataFrame | None = None, settings: dict[str, str] | None = None) -> Snapshot:
+    def apply(self, facts: DataFrame, removed: DataFrame | list[str] = (), refreshed: DataFrame | list[str] = (), pins: DataFrame | None = None, settings: dict[str, str] | None = None, marks: DataFrame | None = None) -> Snapshot:
         """One index pass: replace the facts of files, drop removed files, rebuild the calls of refreshed ones, derive routes and links.
 
         ``facts`` of a path in ``refreshed`` replace only what its symbols do;
         the symbols themselves stay. Raises FactsError, and publishes nothing,
         if facts belong to unknown symbols. Tables and columns that migrations
         have added stay; new rows are null there. Written is what the pass
-        changes, routes and links included.
+        changes, routes and links included. ``marks`` (path and any more columns)
+        replace those of their paths in a table of that name, in the same version.
         """
         fresh = f"d-{uuid.uuid4().hex}"
         try:
-            return self._apply(fresh, facts, removed, refreshed, pins, settings)
+            return self._apply(fresh, facts, removed, refreshed, pins, settings, marks)
         except Exception:
             self._fs().delete(self._path(fresh), True)
             raise
 
-    def _apply(self, fresh: str, facts: DataFrame, removed, refreshed, pins: DataFrame | None, settings: dict[str, str] | None) -> Snapshot:
+    def _apply(self, fresh: str, facts: DataFrame, removed, refreshed, pins: DataFrame | None, settings: dict[str, str] | None, marks: DataFrame | None) -> Snapshot:
         now = self._now()
         removed, refreshed = (x if isinstance(x, DataFrame) else self.spark.createDataFrame([(p,) for p in x], "path string") for x in (removed, refreshed))
         pinned = "" if pins is None else hashlib.sha256(json.dumps(sorted(map(list, pins.collect())), default=str).encode()).hexdigest()
@@ -270,6 +271,7 @@ class SnapshotStore:
             manifest = Manifest(1, settings=dict(settings or {}), pins=pinned)
             self._add_all(manifest, fresh, {n: (rows, {}) for n, rows in tables.items()})
             self._add_all(manifest, fresh, {n: (rows, {}) for n, rows in derive(self._view(manifest).tables, pins).items()})
+            self._mark(manifest, fresh, marks)
             return self._publish(manifest, None, fresh)
         version, manifest = now
         old = self._view(manifest, version)
@@ -286,8 +288,13 @@ class SnapshotStore:
             self._add_all(manifest, fresh, {n: (rows, {}) for n, rows in derive(self._view(manifest).tables, pins).items()})
         else:
             self._derive(manifest, fresh, old, touched, ids, pins, relink=pinned != self._manifest(version).pins)
+        self._mark(manifest, fresh, marks)
         return self._publish(manifest, version, fresh)
 
+    def _mark(self, manifest: Manifest, fresh: str, marks: DataFrame | None) -> None:
+        if marks is not None:
+            self._add(manifest, fresh, "marks", marks, {"path": marks.select("path")}, KEYS["marks"])
+
     def _replacing(self, old: Snapshot, facts: DataFrame, replaced: DataFrame, gone: DataFrame) -> tuple[dict, dict, DataFrame]:
         """Tables of all facts and of replaced files alone, and which symbols (symbol_id, had, has) come or go."""
         stay = relational.without(old["symbols"], gone, "file")
