@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftline.operators import contexts
+from weftline.operators import contexts, relational
 
 
 def test_packages_of_one_large_file(spark):
@@ -13,3 +13,19 @@ def test_packages_of_one_large_file(spark):
     began = time.monotonic()
     assert [(r.target, r.package, r.imported_path) for r in contexts.packages_of({"imports": imports}, files).collect()] == [("t", "p", "x0")]
     assert time.monotonic() - began < 25
+
+
+def test_budget_that_pays_for_many_rows(spark):
+    # 40000 rows fit, then costs of 10 and 1000 take turns until nothing fits; a group of null goes on behind its first block too
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, "g").alias("g"), F.col("id"), F.when(F.col("id") < 40_000, "").otherwise(F.repeat(F.lit("x"), (F.floor(F.col("id") / 2) % 2 * 4000).cast("int"))).alias("text"))
+    limit, expected = 20_000 * 10 + 55_000, {}
+    for g in (0, 1):
+        left, expected[g] = limit, []
+        for i in range(g, 60_000, 2):
+            cost = 10 + (1000 if i >= 40_000 and i // 2 % 2 else 0)
+            if cost <= left:
+                left -= cost
+                expected[g].append(i)
+    got = relational.greedy_budget(rows, ["g"], ["id"], limit).collect()
+    for g, name in ((0, "g"), (1, None)):
+        assert sorted(r.id for r in got if r.g == name) == expected[g]

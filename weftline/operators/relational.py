@@ -119,12 +119,13 @@ def greedy_budget(rows: DataFrame, group: list[str], order: list[str], limit: in
     What fits depends on all earlier choices, so candidates are folded one by
     one, but never more than ``block`` of a group at once: those before all
     others by order that what is left could pay for. Groups that filled their
-    block go on behind it with what is left, until it pays for nothing more.
-    Only keys and costs, not texts, are moved; the row limit applies before the shuffle.
+    block go on behind it with what is left: all is taken up to the first that
+    does not fit, by running sums over ranges of a group, then a block is folded
+    again. Only keys and costs, not texts, are moved; the row limit applies before the shuffle.
     """
     kind = dict(rows.dtypes)[key]
-    costed = rows.select(*group, F.struct(*order).alias("_at"), F.col(key).alias("_key"), block_cost(F.col(text)).cast("long").alias("_cost"))
-    candidates, out = costed.withColumn("_left", F.lit(limit).cast("long")), None
+    costed = rows.select(F.struct(*group).alias("_group"), F.struct(*order).alias("_at"), F.col(key).alias("_key"), block_cost(F.col(text)).cast("long").alias("_cost"))
+    candidates, out, kept = costed.withColumn("_left", F.lit(limit).cast("long")), None, False
 
     def take(state: Column, row: Column) -> Column:
         fits = row["_cost"] <= state["left"]
@@ -132,17 +133,35 @@ def greedy_budget(rows: DataFrame, group: list[str], order: list[str], limit: in
         return F.struct(F.when(fits, state["left"] - row["_cost"]).otherwise(state["left"]).alias("left"), F.when(fits, taken).otherwise(state["taken"]).alias("taken"))
 
     while True:
-        nth = F.row_number().over(W.partitionBy(*group).orderBy("_at", "_key"))
+        nth = F.row_number().over(W.partitionBy("_group").orderBy("_at", "_key"))
         first = candidates.where("_cost <= _left").withColumn("_nth", nth).where(F.col("_nth") <= block)
-        gathered = first.groupBy(*group).agg(F.first("_left").alias("_left"), F.array_sort(F.collect_list(F.struct("_at", "_key", "_cost"))).alias("_rows"))
+        gathered = first.groupBy("_group").agg(F.first("_left").alias("_left"), F.array_sort(F.collect_list(F.struct("_at", "_key", "_cost"))).alias("_rows"))
         start = F.struct(F.col("_left").alias("left"), F.array().cast(f"array<struct<key:{kind},cost:bigint>>").alias("taken"))
-        folded = settle(gathered.select(*group, F.aggregate("_rows", start, take).alias("_s"), F.element_at("_rows", -1).alias("_last"), (F.size("_rows") == block).alias("_full")))
-        taken = folded.select(*group, F.explode("_s.taken").alias("_t")).select(*group, F.col("_t.key").alias(key), F.col("_t.cost").alias("cost"))
+        folded = settle(gathered.select("_group", F.aggregate("_rows", start, take).alias("_s"), F.element_at("_rows", -1).alias("_last"), (F.size("_rows") == block).alias("_full")))
+        taken = folded.select("_group", F.explode("_s.taken").alias("_t")).select("_group.*", F.col("_t.key").alias(key), F.col("_t.cost").alias("cost"))
         out = taken if out is None else out.unionByName(taken)
-        on = folded.where("_full").select(*group, F.col("_s.left").alias("_left"), F.struct("_last._at", "_last._key").alias("_done"))
+        on = folded.where("_full").select("_group", F.col("_s.left").alias("_left"), F.struct("_last._at", "_last._key").alias("_done"))
         if on.isEmpty():
             return out
-        candidates = costed.join(on, group).where(F.struct("_at", "_key") > F.col("_done")).drop("_done")
+        if not kept:
+            costed, kept = settle(costed), True
+        behind = costed.join(on, "_group").where((F.struct("_at", "_key") > F.col("_done")) & (F.col("_cost") <= F.col("_left"))).drop("_done")
+        summed = running_sum(behind, ["_group"], ["_at", "_key"], "_cost", "_sum")
+        fits = summed.where("_sum <= _left")
+        out = out.unionByName(fits.select("_group.*", F.col("_key").alias(key), F.col("_cost").alias("cost")))
+        spent = fits.groupBy("_group").agg(F.max("_sum").alias("_spent"))
+        candidates = summed.where("_sum > _left").join(spent, "_group", "left").withColumn("_left", F.col("_left") - F.coalesce("_spent", F.lit(0))).drop("_sum", "_spent")
+
+
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row of its group (of columns without nulls) in a total order; ranges of a group are summed apart, so no task sees all of it."""
+    placed = settle(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy(*group, "_range").agg(F.sum(value).alias("_total"))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*group, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    so_far = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = placed.withColumn(name, F.sum(value).over(so_far)).join(totals, [*group, "_range"])
+    return settle(summed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"))
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
