@@ -1,5 +1,6 @@
 """Steps whose work must not be the product of two tables: large keys, with a bound in seconds far above what a linear step takes."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -29,3 +30,47 @@ def test_budget_that_pays_for_many_rows(spark):
     got = relational.greedy_budget(rows, ["g"], ["id"], limit).collect()
     for g, name in ((0, "g"), (1, None)):
         assert sorted(r.id for r in got if r.g == name) == expected[g]
+
+
+def test_pairs_of_one_key_are_those_of_a_join_and_spread(spark):
+    left = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("a")).unionByName(spark.createDataFrame([("l", 1), ("m", 2), (None, 3)], "k string, a long"))
+    right = spark.range(2500).select(F.lit("k").alias("k"), F.col("id").alias("b")).unionByName(spark.createDataFrame([("l", 1), ("n", 2), (None, 3)], "k string, b long"))
+    got = relational.pairs_on(left, right, ["k"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("a") * 2500 + F.col("b")).alias("s")).collect()
+    assert sum(r.n for r in got) == 3000 * 2500 + 1
+    assert sum(r.s for r in got) == sum(range(3000 * 2500)) + 2501
+    assert len(got) > 1 and max(r.n for r in got) < 0.7 * 3000 * 2500
+
+
+def small_index(spark, seed):
+    rng = random.Random(seed)
+    symbols = [(f"s{i}", f"f{i % 2}", rng.choice(["function", "function", "class"]), a := rng.randint(1, 30), a + rng.randint(0, 8), rng.random() < 0.5) for i in range(40)]
+    spans = [(t, f"f{t % 2}", a := rng.choice([1, 10, 15]), a + rng.choice([5, 20]), rng.choice([None, f"s{rng.randrange(40)}"])) for t in range(60)]
+    calls = [(f"s{c}", rng.choice([None, f"s{rng.randrange(12)}"]), line := rng.randint(1, 40), f"t{c}-{line}", True, "f") for c in range(40) for _ in range(3)]
+    calls = list({(c[0], c[2]): c for c in calls}.values())
+    s = spark.createDataFrame(symbols, "symbol_id string, file string, kind string, start_line int, end_line int, exported boolean").withColumns({"name": F.col("symbol_id"), "signature": F.lit("")})
+    c = spark.createDataFrame(calls, "caller_id string, callee_id string, call_line int, callee_text string, resolved boolean, file string")
+    return {"symbols": s, "calls": c}, spark.createDataFrame(spans, "target long, file string, start int, end int, symbol_id string"), symbols, spans, calls
+
+
+def test_spans_that_targets_share(spark):
+    index, frame, symbols, spans, calls = small_index(spark, 5)
+    owners, callers, callees = set(), [], {1: set(), 2: set(), 3: set()}
+    exported = {s[0]: s[5] for s in symbols}
+    for t, file, a, b, own in spans:
+        held = {s[0] for s in symbols if s[2] != "class" and (s[0] == own or (s[1] == file and s[3] >= a and s[4] <= b))}
+        owners |= {(t, s, s == own) for s in held}
+        outer = {s[0] for s in symbols if not (s[1] == file and s[3] >= a and s[4] <= b)}
+        callers += [(t, c[0], c[1], c[2]) for c in calls if c[1] in held and (c[1] == own or exported[c[1]]) and c[0] in outer]
+        reached, frontier = set(held), set(held)
+        for d in (1, 2, 3):
+            found = [c for c in calls if c[0] in frontier and c[1] not in held and (d > 1 or a <= c[2] <= b)]
+            callees[d] |= {(t, d, c[0], c[1], c[2]) for c in found}
+            frontier = {c[1] for c in found if c[1]} - reached
+            reached |= frontier
+    got = [tuple(r) for r in contexts.owners_of(index, frame).collect()]
+    assert len(got) == len(owners) and set(got) == owners
+    assert sorted(tuple(r) for r in contexts.callers_of_spans(index, frame).collect()) == sorted(callers)
+    for depth in (2, 3):
+        rows = [(r.target, r.depth, r.caller_id, r.callee_id, r.call_line) for r in contexts.callees_of_spans(index, frame, depth).collect()]
+        expected = set().union(*(callees[d] for d in range(1, depth + 1)))
+        assert len(rows) == len(expected) and set(rows) == expected
