@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftline.operators import contexts, relational
+from weftline.operators import contexts, relational, windows
 
 
 def test_packages_of_one_large_file(spark):
@@ -74,3 +74,18 @@ def test_spans_that_targets_share(spark):
         rows = [(r.target, r.depth, r.caller_id, r.callee_id, r.call_line) for r in contexts.callees_of_spans(index, frame, depth).collect()]
         expected = set().union(*(callees[d] for d in range(1, depth + 1)))
         assert len(rows) == len(expected) and set(rows) == expected
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_looked_up_without_a_row_for_each_line(spark):
+    lines = [f"l{i % 700}" for i in range(1400)]
+    sources = spark.createDataFrame([("f", lines)], "file string, lines array<string>")
+    asked = spark.range(600).select("id", F.lit("f").alias("file"), F.lit(2).alias("length"), F.array(*(F.concat(F.lit("l"), (F.col("id") + i).cast("string")) for i in (0, 1))).alias("b"), F.lit(1400).alias("near"), F.lit(1).alias("first"), F.lit(1400).alias("last"))
+    # every other block has kept no fingerprint
+    asked = asked.withColumns({"print": F.when(F.col("id") % 2 == 0, windows.block_print(F.col("b"))), "hash": windows.hash_lines(F.col("b"))}).drop("b")
+    found = windows.find_windows(asked, sources)
+    assert {r.id: r.start for r in found.collect()} == {i: 701 + i for i in range(600)}
+    assert "posexplode" not in plan(found) and "Window" not in plan(found)
