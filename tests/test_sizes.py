@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftline.operators import contexts, freshness, relational, windows
+from weftline.operators import contexts, freshness, graph, relational, windows
 
 
 def test_packages_of_one_large_file(spark):
@@ -100,3 +100,12 @@ def test_many_symbols_of_one_name(spark):
 
     # of two equally near first lines the smaller
     assert located.where("`start` <> block_id - block_id % 2 or `end` <> `start` + 6").count() == 0 and located.where("`start` is not null").count() == 20_000
+
+
+def test_reach_by_few_and_by_many_edges(spark, monkeypatch):
+    edges = spark.range(600).select((F.col("id") % 40).alias("src"), (F.col("id") * 7 % 23).alias("dst"))
+    found = []
+    for most in (graph.FEW_EDGES, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", most)
+        found.append(sorted(map(tuple, graph.reach(edges, edges.select("src"), 3).collect())))
+    assert found[0] == found[1] and len(found[0]) == 40 * 23
