@@ -1,11 +1,14 @@
 """Steps whose work must not be the product of two tables: large keys, with a bound in seconds far above what a linear step takes."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.operators import contexts, freshness, graph, relational, windows
+from weftline.plans import more_queries
 
 
 def test_packages_of_one_large_file(spark):
@@ -109,3 +112,26 @@ def test_reach_by_few_and_by_many_edges(spark, monkeypatch):
         monkeypatch.setattr(graph, "FEW_EDGES", most)
         found.append(sorted(map(tuple, graph.reach(edges, edges.select("src"), 3).collect())))
     assert found[0] == found[1] and len(found[0]) == 40 * 23
+
+
+def test_lines_are_split_once_and_at_any_terminator(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "é😀", "", "}"]) + rng.choice(["\n", "\r\n", "\r", "\r\r\n", "\n\r\n", ""]) for _ in range(rng.randrange(6))) for _ in range(300)]
+    split = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", text.split_lines("t").alias("l"))
+    expected = {i: re.split("\r?\n", t) for i, t in enumerate(texts)}
+    assert {r.i: r.l for r in split.collect()} == {-1: None} | {i: l[:-1] if len(l) > 1 and not l[-1] else l for i, l in expected.items()}
+    assert plan(split.where("i > 0").select(F.size("l"))).count("split(") == 1
+
+
+def moved_documents(spark, folder, name):
+    """A query over documents whose lines moved."""
+    rows = [(i, "\n".join(f"l{(i + j) % 7}" for j in range(i % 9))) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return getattr(more_queries, name)(spark, str(folder))
+
+
+def test_documents_are_read_once_for_sections_to_keep(spark, tmp_path):
+    kept = moved_documents(spark, tmp_path, "reused_sections")
+    # what was saved is settled, so the texts as they are now are all that is read and shuffled
+    assert plan(kept).count("Relation [") == 1
+    assert {r.doc_id: r.delta for r in kept.collect()} == {i: (1 if i % 3 == 0 else 0) for i in range(90) if i % 9 >= 3 and i % 5 and i % 3 < 2}

@@ -15,10 +15,12 @@ BLOCK_OVERHEAD = 10
 RESERVED_TOKENS = 3000
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(text: Column | str) -> Column:
     """Lines without terminators; one empty line at the end is dropped."""
-    lines = F.split(text, "\r?\n", -1)
-    return F.when((F.size(lines) > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    text = F.col(text) if isinstance(text, str) else text
+    # the last terminator goes first, so that the text is split once, and at a plain character, which needs no pattern
+    cut = F.when(F.endswith(text, F.lit("\r\n")), F.left(text, F.length(text) - 2)).when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.split(F.when(F.contains(cut, F.lit("\r")), F.replace(cut, F.lit("\r\n"), F.lit("\n"))).otherwise(cut), "\n", -1)
 
 
 def block_lines(lines: Column, start: Column, end: Column) -> Column:

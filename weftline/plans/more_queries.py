@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import documents, freshness, relational, windows
+from ..operators import documents, freshness, graph, relational, windows
 from ..sources.tables import table
 from .registry import query
 from .table_queries import LINES_SQL, windows_of_pairs
@@ -200,13 +200,14 @@ r AS (SELECT j.*, CASE WHEN same THEN a + 1 ELSE line END AS line FROM j LEFT JO
 
 def _moved(spark, base):
     """Blocks of three lines with a step on the second, saved of each document, and the documents as they are now."""
-    docs = table(spark, base, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("l")).where("size(l) >= 3")
+    docs = table(spark, base, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("l"))
     now = F.when(F.col("doc_id") % 3 == 0, F.concat(F.array(F.lit("// new")), "l")).when(F.col("doc_id") % 3 == 1, F.col("l")).otherwise(F.slice("l", F.lit(2), F.size("l")))
-    file = F.col("doc_id").cast("string").alias("file")
     own = lambda start, n, p: [text.hash_lines(F.slice("l", start, n)).alias(f"{p}hash"), windows.block_print(F.slice("l", start, n)).alias(f"{p}print"), F.lit(start).alias(f"{p}start"), F.lit(start + n - 1).alias(f"{p}end")]
-    blocks = docs.select(F.col("doc_id").alias("section_id"), F.lit(0).alias("position"), file, F.lit(None).cast("string").alias("symbol"), *own(1, 3, ""))
-    steps = docs.select(F.col("doc_id").alias("section_id"), F.lit("s").alias("step_id"), file.alias("step_file"), *own(2, 1, "step_"))
-    return blocks, steps, docs.select(file, now.alias("lines"), text.hash_lines(now).alias("hash"))
+    # what was saved is a table of its own, with digests for texts, so that joins of sections and steps read no document again
+    saved = graph.settle(docs.select(F.col("doc_id").alias("section_id"), F.size("l").alias("n"), F.col("doc_id").cast("string").alias("file"), *own(1, 3, ""), *own(2, 1, "step_"))).where("n >= 3")
+    blocks = saved.select("section_id", F.lit(0).alias("position"), "file", F.lit(None).cast("string").alias("symbol"), "hash", "print", "start", "end")
+    steps = saved.select("section_id", F.lit("s").alias("step_id"), F.col("file").alias("step_file"), "step_hash", "step_print", "step_start", "step_end")
+    return blocks, steps, docs.select(F.col("doc_id").cast("string").alias("file"), now.alias("lines"), text.hash_lines(now).alias("hash"))
 
 
 @query("block_sections", f"WITH {BLOCKS_SQL} SELECT doc_id, CASE WHEN a IS NULL THEN 'missing' WHEN same THEN 'fresh' ELSE 'changed' END AS state, CAST(a AS INTEGER) AS first_line, a IS NOT NULL AND line IS NOT NULL AS step_fresh, CAST(coalesce(CASE WHEN a IS NOT NULL THEN line END, 2) AS INTEGER) AS step_line FROM r")
