@@ -84,6 +84,36 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_are_spelled_out_a_row_at_a_time(spark, monkeypatch):
+    left = spark.range(2500).select((F.col("id") % 2).alias("k"), F.col("id").alias("a")).unionByName(spark.createDataFrame([(0, None), (0, None), (2, 5)], "k long, a long"))
+    right = spark.range(2300).select((F.col("id") % 2).alias("k"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(1, None), (3, 5)], "k long, b long"))
+    sums = lambda rows: rows.agg(F.count("*"), F.count("a"), F.count("b"), F.sum("k"), F.sum(F.col("a") * F.col("b") + F.col("a"))).first()
+    expected = sums(left.join(right, "k"))
+    for most, loops in ((relational.FEW_ROWS, 1), (0, 2)):
+        monkeypatch.setattr(relational, "FEW_ROWS", most)
+        pairs = relational.pairs_on(left, right, ["k"])
+        assert sums(pairs) == expected
+        # what spells right's block out is parted from what is below it
+        steps = re.findall("Generate|Coalesce", pairs._jdf.queryExecution().sparkPlan().toString())
+        assert steps == ["Generate", "Coalesce", "Generate"][: loops + 1]
+
+
+def test_frontiers_go_to_the_calls(spark, monkeypatch):
+    index, frame, *_ = small_index(spark, 7)
+    plans, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda rows: plans.append(plan(rows)) or settle(rows))
+    contexts.collect_callees(index, frame.select("target", "symbol_id").where("symbol_id is not null"), 2)
+    levels = [p for p in plans if p.startswith("Aggregate") and "callee_text" in p.splitlines()[0]]
+    # the calls of the second level are joined where they lie, and those left out are known wherever calls are
+    assert [p.count("strategy=broadcast") for p in levels] == [1, 2]
+
+
+def test_few_and_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    monkeypatch.setattr(relational, "FEW_ROWS", 0)
+    test_spans_that_targets_share(spark)
+
+
 def test_windows_are_looked_up_without_a_row_for_each_line(spark):
     lines = [f"l{i % 700}" for i in range(1400)]
     sources = spark.createDataFrame([("f", lines)], "file string, lines array<string>")
