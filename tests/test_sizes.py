@@ -108,6 +108,17 @@ def test_frontiers_go_to_the_calls(spark, monkeypatch):
     assert [p.count("strategy=broadcast") for p in levels] == [1, 2]
 
 
+def test_callers_are_judged_before_they_are_spelled_out(spark):
+    # 300 targets of one span that 400 calls lead into, half of them from inside
+    symbols = [("s", "f", "function", 10, 20, True), ("in", "f", "function", 12, 13, False), ("out", "f", "function", 30, 40, False)]
+    s = spark.createDataFrame(symbols, "symbol_id string, file string, kind string, start_line int, end_line int, exported boolean").withColumns({"name": F.col("symbol_id"), "signature": F.lit("")})
+    calls = spark.range(400).select(F.when(F.col("id") % 2 == 0, "in").otherwise("out").alias("caller_id"), F.lit("s").alias("callee_id"), F.col("id").cast("int").alias("call_line"))
+    spans = spark.range(300).select(F.col("id").alias("target"), F.lit("f").alias("file"), F.lit(10).alias("start"), F.lit(20).alias("end"), F.lit(None).cast("string").alias("symbol_id"))
+    found = contexts.callers_of_spans({"symbols": s, "calls": calls}, spans)
+    assert found.groupBy("caller_id").agg(F.count("*"), F.countDistinct("target"), F.countDistinct("call_line")).collect() == [("out", 300 * 200, 300, 200)]
+    assert "Filter" not in plan(found).split("Generate")[0]
+
+
 def test_few_and_many_spans(spark, monkeypatch):
     monkeypatch.setattr(graph, "FEW_EDGES", 0)
     monkeypatch.setattr(relational, "FEW_ROWS", 0)
